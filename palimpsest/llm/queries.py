@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, quality
+from . import decontaminate, exact_dedup, line_dedup, packing, quality
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_qda": quality.op10_quality_qda,
 }
