@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import common as C
-from palimpsest.llm import exact_dedup, quality
+from palimpsest.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,28 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality classifier", keep_good), ("exact dedup", keep_distinct)]
+def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the smallest doc_id of each group of near copies stays."""
+    return jaccard_join.keep_first(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a verified test item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: one row for each piece of each document, with its bin and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", keep_distinct),
+    ("n-gram Jaccard join", keep_dissimilar),
+    ("benchmark decontamination", keep_clean),
+    ("best-fit packing", pack),
+]
 
 #: The classifier and later stages are no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, packing, quality
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality
 
 QUERIES = {
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
