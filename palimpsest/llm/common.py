@@ -86,7 +86,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with about ``max_bytes`` of text each, one row at least."""
     _, o = text_bytes(batch.column(column))
     at, n = 0, batch.num_rows
@@ -120,7 +120,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums over bytes; ``span_hash`` takes hashes of spans from them."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[:-1], out=out[1:])
+    codes = _BYTE_CODES[data]
+    codes *= up[:-1]
+    np.cumsum(codes, out=out[1:])
     return out
 
 

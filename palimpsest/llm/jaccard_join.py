@@ -85,7 +85,7 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for b in C.slices(whole, "text", 8 << 20):
+            for b in C.slices(whole, "text"):
                 ids = C.ids_of(b["doc_id"])
                 grams, o = shingles(*C.text_bytes(b["text"]))
                 n = np.diff(o)
@@ -161,7 +161,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(raw)])
                 yield C.batch(_SETS, doc_id=C.ids_of(b["doc_id"]), n=np.diff(o), grams=flat)
 
-    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, _SETS).dropDuplicates(["doc_id"])
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, _SETS)
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
