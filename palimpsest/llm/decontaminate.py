@@ -5,8 +5,9 @@ passage is a window of twice the longest item's length that moves by half of it,
 copy of an item lies wholly in some passage. An item is retrieved when its BM25 score
 reaches ``min_share`` of the score that the item gives itself.
 
-Pruning is exact. An item's postings are essential unless the weakest of them, added up,
-stay below its threshold: a passage that reaches the threshold holds an essential term.
+Pruning is exact. An item's weakest postings, as long as they add up to less than 0.6 of its
+threshold, are granted to every passage; the others are essential, and only a passage that
+holds essential terms worth the rest can reach the threshold.
 Items stand in blocks; for each term and block the largest essential impact is kept. A
 block is opened for a passage only if its block-max bound can reach the least threshold
 in it, an item only if its own partial score plus its other impacts can, and only then is
@@ -40,6 +41,7 @@ from . import common as C
 _FOLD = C.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _BLOCK = 32
+_GRANTED = 0.6  # share of its threshold that an item's weakest terms may make up before they count as essential
 _SCHEMA = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
 
 
@@ -93,7 +95,7 @@ class Index:
             self.impact.append(own)
             self.threshold[k] = min_share * sum(own.values()) * (1 - 1e-9)
             for w, x in sorted(own.items(), key=lambda p: (p[1], p[0])):
-                if self.rest[k] + x < self.threshold[k]:
+                if self.rest[k] + x < _GRANTED * self.threshold[k]:
                     self.rest[k] += x
                 else:
                     essential.append((w, k, x))
