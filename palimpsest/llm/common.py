@@ -116,6 +116,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def byte_codes(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit code for each byte."""
+    return _BYTE_CODES[data]
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums over bytes; ``span_hash`` takes hashes of spans from them."""
     up, _ = powers(len(data) + 1)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, quality, token_store
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, quality, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_wavelet_tokens": token_store.op5_wavelet_tokens,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_qda": quality.op10_quality_qda,
 }
