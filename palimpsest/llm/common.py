@@ -131,6 +131,14 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def code_sums(codes: np.ndarray) -> np.ndarray:
+    """As ``prefix_sums``, over given codes."""
+    up, _ = powers(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[:-1], out=out[1:])
+    return out
+
+
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))

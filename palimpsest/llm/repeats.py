@@ -60,13 +60,6 @@ class Kind:
     hot_from: int = HOT_FROM
 
 
-def code_sums(codes: np.ndarray) -> np.ndarray:
-    up, _ = C.powers(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, _U)
-    np.cumsum(codes * up[:-1], out=out[1:])
-    return out
-
-
 def anchor_runs(sums: np.ndarray, offsets: np.ndarray, kind: Kind):
     """For all runs of windows with one anchor, in order: text, first window, windows, anchor place, anchor hash."""
     n, length, gram = len(sums) - 1, kind.length, kind.gram
@@ -111,7 +104,7 @@ def repeated_runs(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
         for whole in batches:
             for b in C.slices(whole, "text"):
                 codes, offsets = kind.units(*C.text_bytes(b["text"]))
-                text, _, _, _, h = anchor_runs(code_sums(codes), offsets, kind)
+                text, _, _, _, h = anchor_runs(C.code_sums(codes), offsets, kind)
                 ids, run = C.ids_of(b["doc_id"]), _ordinals(text).astype(np.uint32)
                 who = ids[text]
                 order = np.lexsort((who, h))
@@ -257,7 +250,7 @@ def contexts(pair, kind: Kind, parts: int, hot: np.ndarray):
     for group in _group_blobs(texts):
         ids, data, o = _join_texts(group)
         codes, offsets = kind.units(data, o)
-        sums = code_sums(codes)
+        sums = C.code_sums(codes)
         text, first, count, place, h = anchor_runs(sums, offsets, kind)
         run = _ordinals(text)
         size = np.bincount(text, minlength=len(ids))

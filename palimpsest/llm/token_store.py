@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -195,8 +196,39 @@ def write_file(path: str, data: bytes) -> None:
     system.move(own, where)
 
 
+class PieceCache:
+    """Ids of pieces seen before in this process, by 128 bits of hash, in a few arrays; at most ``most`` pieces."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.most = most
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The entry of each piece, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """Pieces with their ids on end."""
+        if len(self.key) >= self.most or not len(key):
+            return
+        start = np.cumsum(count) - count + len(self.flat)
+        self.flat = np.concatenate([self.flat, flat])
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.check, self.start, self.count = (np.concatenate(x)[order] for x in ((self.check, check), (self.start, start), (self.count, count)))
+
+
+_SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64)
+
+
 class BlockEncoder:
-    """Encodes texts with a byte-level BPE tokenizer, each distinct piece once a call."""
+    """Encodes texts with a byte-level BPE tokenizer, each distinct piece once."""
 
     def __init__(self, tokenizer_file: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,42 +236,33 @@ class BlockEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.end_id = end_id
+        self.cache = PieceCache()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(max(vocabulary.values()), end_id, 1).bit_length()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: byte-level tokens have a letter a byte
         for token, i in vocabulary.items():
             self.width[i] = len(token)
 
-    def _encode_each(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, the end id after each, and the number of each text's ids."""
-        n = len(offsets) - 1
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where texts are cut: before single spaces between visible bytes, and at their ends; which bytes are visible."""
         is_open = _OPEN.copy()
-        wide = data[:-1] if len(data) else data
-        if not any(np.isin(data[1:][wide == a], b).any() for a, b in _WIDE_SPACE.items()):
+        if not any(np.isin(data[1:][data[:-1] == a], b).any() for a, b in _WIDE_SPACE.items()):
             is_open[0x80:] = True
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 2:
             cut[1:-2] = (data[1:-1] == 0x20) & is_open[data[:-2]] & is_open[data[2:]]
         cut[offsets] = True
-        edges = np.flatnonzero(cut).astype(np.int32)
-        pieces = pa.StringArray.from_buffers(max(len(edges) - 1, 0), pa.py_buffer(edges), pa.py_buffer(data)) if len(edges) > 1 else pa.array([], pa.string())
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.flatnonzero(cut).astype(np.int32), is_open
+
+    def _encode_new(self, words: pa.Array, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all ids on end."""
         raw, wo = C.text_bytes(words)
-        # joined: pieces that start with the space before a visible byte and end in a visible byte
-        lengths = np.diff(wo)
-        joined = np.zeros(len(words), bool)
-        if len(words):
-            last, head = raw[wo[1:] - 1], raw[wo[:-1]]
-            second = raw[np.minimum(wo[:-1] + 1, len(raw) - 1)]
-            joined = (head == 0x20) & (lengths > 1) & is_open[second] & is_open[last]
-        parts, counts = [None] * 0, np.zeros(len(words) + 1, np.int64)
-        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
-        together = np.flatnonzero(joined)
+        lengths, counts = np.diff(wo), np.zeros(len(words), np.int64)
+        # together: pieces that start with the space before a visible byte and end in a visible byte
+        second = raw[np.minimum(wo[:-1] + 1, len(raw) - 1)]
+        joined = (raw[wo[:-1]] == 0x20) & (lengths > 1) & is_open[second] & is_open[raw[wo[1:] - 1]]
+        together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        parts = []
         for a in range(0, len(together), 20_000):
             some = together[a : a + 20_000]
             text = "".join(words.take(pa.array(some)).to_pylist())
@@ -247,25 +270,50 @@ class BlockEncoder:
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths[some])) + 1
             counts[some] = np.diff(ends, prepend=0)
             parts.append(ids)
-        alone = np.flatnonzero(~joined)
         for a in range(0, len(alone), 20_000):
             some = alone[a : a + 20_000]
-            got = self._encode_each(words.take(pa.array(some)).to_pylist())
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
             counts[some] = [len(x) for x in got]
             parts += got
-        flat = np.concatenate([*parts, np.array([self.end_id], np.uint32)])
-        counts[-1] = 1
-        start = np.empty(len(words) + 1, np.int64)
-        placed = np.cumsum(counts[order]) - counts[order]
-        start[order] = placed
-        start[-1] = len(flat) - 1
+        # back to the order of the pieces
+        order = np.concatenate([together, alone])
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        flat = np.concatenate(parts)
+        return counts, flat[np.arange(len(flat)) + np.repeat(start - (np.cumsum(counts) - counts), counts)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, the end id after each, and the number of each text's ids."""
+        edges, is_open = self._pieces(data, offsets)
+        pieces = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)) if len(edges) > 1 else pa.array([], pa.string())
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary
+        raw, wo = C.text_bytes(words)
+        key, check = (C.span_hash(sums, wo[:-1], wo[1:]) for sums in (C.prefix_sums(raw), C.code_sums(_SECOND[raw])))
+        entry = self.cache.find(key, check)
+        new = np.flatnonzero(entry < 0)
+        count, start = np.empty(len(words) + 1, np.int64), np.empty(len(words) + 1, np.int64)
+        old = np.flatnonzero(entry >= 0)
+        count[old], start[old] = self.cache.count[entry[old]], self.cache.start[entry[old]]
+        held, flat = self.cache.flat, np.zeros(0, np.uint32)
+        if len(new):
+            counts, flat = self._encode_new(words.take(pa.array(new)), is_open)
+            count[new], start[new] = counts, np.cumsum(counts) - counts + len(held)
+            self.cache.add(key[new], check[new], counts, flat)
+        flat = np.concatenate([held, flat, np.array([self.end_id], np.uint32)])
+        count[-1], start[-1] = 1, len(flat) - 1
         # the piece list of each text, and the end piece after it
-        text_end = np.searchsorted(edges, offsets[1:]) if len(edges) else np.zeros(n, np.int64)
-        index = np.insert(index, np.minimum(text_end, len(index)), len(words))
-        size = counts[index]
-        at = np.arange(int(size.sum())) + np.repeat(start[index] - (np.cumsum(size) - size), size)
-        end_at = np.cumsum(size)[np.flatnonzero(index == len(words))]
-        return flat[at], np.diff(end_at, prepend=0)
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(edges, offsets[1:]), len(words))
+        size = count[index]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[index] - (ends - size), size)
+        return flat[at], np.diff(ends[index == len(words)], prepend=0)
+
+
+@lru_cache(maxsize=2)
+def encoder_for(tokenizer_file: str, end_id: int) -> BlockEncoder:
+    """One encoder a process: tasks of the same worker share it and its cache."""
+    return BlockEncoder(tokenizer_file, end_id)
 
 
 _MANIFEST = "task long, sequence long, path string, documents long, tokens long"
@@ -275,7 +323,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     """Write token files in ascending doc_id order; the manifest, one row for each file."""
 
     def run(batches):
-        encoder = BlockEncoder(tokenizer_file, end_id)
+        encoder = encoder_for(tokenizer_file, end_id)
         task, sequence = TaskContext.get().partitionId(), 0
         ids, doc_ids, lengths, held = [], [], [], 0
         kind = np.uint16 if encoder.bits <= 16 else np.uint32
