@@ -13,11 +13,15 @@ links with nothing). The operator finds all components without listing all pairs
    a third of all documents hold is a few entries a task.
 3. The sets of the rest are written once: a sparse document-by-shingle incidence matrix in
    row blocks. A second prefix, in the order of rising frequency, gives the columns in
-   which partners must meet.
+   which partners must meet. Sets of n and m need an overlap of o = ceil(3 (n + m) / 7); the
+   first column in which they meet stands at place n - o or before in the one, m - o or
+   before in the other. Pairs that meet later only are discarded unseen.
 4. Rounds: in every column with several components, each document is offered the column's
-   least document of another component; it takes the one that it meets in most columns.
-   Overlap counts are products of the blocks' rows, in numpy; pairs whose size or overlap
-   bound fails are discarded; the rest are links. Components are contracted.
+   leader (first the document with the largest share of frequent shingles, the likely
+   origin of copies; then a pseudo-random one) if that is of another component; it takes
+   the one that it meets in most columns. Overlap counts are products of the blocks' rows,
+   in numpy; pairs under the bound are discarded, the rest are links. Components are
+   contracted.
 5. Remainder: pairs of documents of *different* components that still meet in a column and
    were not tested are all tested. After the rounds these are few, and none are inside a
    group. So no link between different texts is lost.
@@ -194,9 +198,11 @@ def frequent(sets: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, doc_id, n): the first n - needed + 1 shingles of each set, rare ones first."""
+    """(gram, doc_id, n, place, core): the first n - needed + 1 shingles of each set, rare ones first.
+
+    ``core``: how many of a thousand of the set's shingles are frequent."""
     held = sets.sparkSession.sparkContext.broadcast(hot)
-    schema = "gram long, doc_id long, n long"
+    schema = "gram long, doc_id long, n long, place long, core long"
 
     def run(batches):
         top, freq = held.value
@@ -210,9 +216,11 @@ def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     rank = np.where(top[at] == grams, freq[at], 0)
                 order = np.lexsort((grams, rank, owner))
                 place = np.arange(len(grams)) - np.repeat(o[:-1], n)
-                take = order[place < np.repeat(n - needed(n) + 1, n)]
+                within = place < np.repeat(n - needed(n) + 1, n)
+                take = order[within]
                 ids = C.ids_of(b["doc_id"])
-                yield C.batch(schema, gram=grams[take].view(np.int64), doc_id=ids[owner[take]], n=n[owner[take]])
+                core = np.bincount(owner, weights=rank > 0, minlength=len(n)) * 1000 // np.maximum(n, 1)
+                yield C.batch(schema, gram=grams[take].view(np.int64), doc_id=ids[owner[take]], n=n[owner[take]], place=place[within], core=core.astype(np.int64)[owner[take]])
 
     return sets.mapInArrow(run, schema)
 
@@ -285,17 +293,19 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     tested = None
     for r in range(rounds + 1):
         of = cols.join(labels.hint("merge"), "doc_id")
-        order = F.struct(F.xxhash64("comp", F.lit(r)).alias("o") if r else F.col("comp").alias("o"), F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("comp").alias("dc"))
+        first = -F.col("core") if r == 0 else F.xxhash64("comp", F.lit(r))
+        order = F.struct(first.alias("o"), F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("comp").alias("dc"))
         active = of.groupBy("gram").agg(F.min(order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram", "lead.*")
-        sized = (F.col("n") * SHARE <= F.col("dn") * 100) & (F.col("dn") * SHARE <= F.col("n") * 100)
+        overlap = F.expr("((n + dn) * 3 + 6) div 7")
+        may = (F.col("place") + overlap <= F.col("n")) & (F.col("dplace") + overlap <= F.col("dn"))
         if r < rounds:
-            met = of.join(active.hint("merge"), "gram").filter((F.col("comp") != F.col("dc")) & sized)
+            met = of.join(active.hint("merge"), "gram").filter((F.col("comp") != F.col("dc")) & may)
             best = met.groupBy("doc_id", "d").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("d")).alias("minus"), "d")).alias("x"))
             pairs = best.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
         else:
             mine = of.join(active.select("gram").hint("merge"), "gram")
-            other = mine.select("gram", F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("comp").alias("dc"))
-            pairs = mine.join(other.hint("merge"), "gram").filter((F.col("comp") < F.col("dc")) & sized).select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
+            other = mine.select("gram", F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("comp").alias("dc"))
+            pairs = mine.join(other.hint("merge"), "gram").filter((F.col("comp") < F.col("dc")) & may).select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti") if tested is not None else pairs
         pairs = C.materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
