@@ -31,7 +31,15 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB unless the session says otherwise: rows may be long, Python workers are small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(4 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -65,6 +73,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def part_count(df: DataFrame, bytes_per_part: int = 48 << 20) -> int:
     """Partitions for an exchange: the session's setting, or more if the input's size asks for it."""
     spark = df.sparkSession
+    bound_batches(spark)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # unknown
         size = 0

@@ -37,6 +37,7 @@ from . import common as C
 
 HOT_FROM, HOT_MOST = 256, 1 << 17
 _U, _I = np.uint64, np.int64
+_HELD_BYTES = 24 << 20  # contexts that a task holds back to find equal ones
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ class Kind:
     decide: Callable
     same_document: bool
     hot_from: int = HOT_FROM
+    chunk: int = 1 << 20  # bytes of text that are worked on at a time
 
 
 def anchor_runs(sums: np.ndarray, offsets: np.ndarray, kind: Kind):
@@ -66,27 +68,33 @@ def anchor_runs(sums: np.ndarray, offsets: np.ndarray, kind: Kind):
     if n < length:
         z = np.zeros(0, _I)
         return z, z, z, z, np.zeros(0, _U)
-    at = np.arange(n - gram + 1)
-    grams = C.span_hash(sums, at, at + gram)
+    _, down = C.powers(n + 1)
+    grams = sums[gram:] - sums[: n - gram + 1]
+    grams *= down[: n - gram + 1]
+    grams = C.mix(grams)
     bits = _U(max(20, int(n).bit_length()))
     low = (_U(1) << bits) - _U(1)
-    key = (grams & ~low) | (low - at.astype(_U))  # least hash, then the last place
+    key = grams & ~low
+    key |= low - np.arange(len(key), dtype=_U)  # least hash, then the last place
     width, least, span = length - gram + 1, key, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: len(key) - width + 1], least[width - span : width - span + len(key) - width + 1])
-    place = (low - (least & low)).astype(_I)
-    text = C.row_of(offsets)
-    first = np.arange(n - length + 1)
-    whole = text[: n - length + 1] == text[length - 1 :]
-    first, place = first[whole], place[whole]
+    del key
+    least &= low
+    place = (low - least).astype(np.int32)
+    del least
+    text = C.row_of(offsets).astype(np.int32)
+    first = np.flatnonzero(text[: n - length + 1] == text[length - 1 :])
+    place = place[first]
     new = np.ones(len(first), bool)
     new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)
     start = np.flatnonzero(new)
     count = np.diff(start, append=len(first))
-    return text[first[start]], first[start], count, place[start], grams[place[start]]
+    at = place[start].astype(_I)
+    return text[first[start]].astype(_I), first[start], count, at, grams[at]
 
 
 def _ordinals(text: np.ndarray) -> np.ndarray:
@@ -102,7 +110,7 @@ def repeated_runs(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for b in C.slices(whole, "text"):
+            for b in C.slices(whole, "text", kind.chunk):
                 codes, offsets = kind.units(*C.text_bytes(b["text"]))
                 text, _, _, _, h = anchor_runs(C.code_sums(codes), offsets, kind)
                 ids, run = C.ids_of(b["doc_id"]), _ordinals(text).astype(np.uint32)
@@ -212,13 +220,13 @@ def _gathered(blobs: DataFrame, parts: int):
     return blobs.repartitionById(parts, F.col("part")).rdd.mapPartitions(lambda rows: [[bytes(r["blob"]) for r in rows]])
 
 
-def _group_blobs(blobs: list[bytes]):
-    """Text blobs in groups of some 2 MB."""
+def _group_blobs(blobs: list[bytes], chunk: int):
+    """Text blobs in groups of some ``chunk`` bytes."""
     group, size = [], 0
     for b in blobs:
         group.append(b)
         size += len(b)
-        if size > 2 << 20:
+        if size > chunk:
             yield group
             group, size = [], 0
     if group:
@@ -247,7 +255,8 @@ def contexts(pair, kind: Kind, parts: int, hot: np.ndarray):
         return
     wanted = np.array(sorted(marked), _I)
     holders: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}  # (anchor, content): (document, start, windows)
-    for group in _group_blobs(texts):
+    sum_of = [0]
+    for group in _group_blobs(texts, kind.chunk):
         ids, data, o = _join_texts(group)
         codes, offsets = kind.units(data, o)
         sums = C.code_sums(codes)
@@ -271,6 +280,16 @@ def contexts(pair, kind: Kind, parts: int, hot: np.ndarray):
             spans = list(zip(local[a:e].tolist(), (local[a:e] + count[a:e] - 1 + kind.length).tolist(), strict=True))
             for key, content, (s, _), n in zip(h[a:e].tolist(), kind.contents(data[o[t] : o[t + 1]].tobytes(), spans), spans, count[a:e].tolist(), strict=True):
                 holders.setdefault((key, content), []).append((d, s, n))
+                sum_of[0] += len(content) + 300
+        if sum_of[0] > _HELD_BYTES:
+            yield from _send(holders, kind, parts)
+            holders.clear()
+            sum_of[0] = 0
+    yield from _send(holders, kind, parts)
+
+
+def _send(holders: dict, kind: Kind, parts: int):
+    """Context blobs of what is held, and R blobs of what is decided already."""
     out, done = [], []
     for (key, content), held in holders.items():
         held = sorted(set(held))
@@ -354,7 +373,7 @@ def decided(blobs: list[bytes], kind: Kind, parts: int):
                 close(rows[a:i])
                 if len(shard) > before:
                     size += sum(len(r[4]) for r in shard[-1])
-                if size > 1 << 20:
+                if size > 512 << 10:
                     removed += kind.decide(shard)
                     shard.clear()
                     size = 0
@@ -387,7 +406,7 @@ def apply_removals(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -
             edges = C.runs(w)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 removed.setdefault(int(w[x]), []).extend(zip(a[x:y].tolist(), e[x:y].tolist(), strict=True))
-        for group in _group_blobs(blobs):
+        for group in _group_blobs(blobs, kind.chunk):
             ids, data, o = _join_texts(group)
             yield from finish(ids, data, o, removed)
 

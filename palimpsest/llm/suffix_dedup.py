@@ -3,7 +3,7 @@
 Every byte that a ``length``-byte string covers which also starts earlier (smaller doc_id, or
 the same document at an earlier place) is removed; strings are judged on the input.
 
-The contexts that may hold repeated strings come from ``repeats`` in shards of about 1 MB.
+The contexts that may hold repeated strings come from ``repeats`` in shards of about 0.5 MB.
 Each shard is indexed by its run-compressed Burrows-Wheeler transform: run heads, run
 starts, the LF value at each run's start, and suffix-array samples at run ends. Rows whose
 suffixes agree in their first ``length`` symbols form an interval; each interval keeps its
@@ -163,7 +163,7 @@ def _contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 
 def kind(length: int = LENGTH, hot_from: int = repeats.HOT_FROM) -> repeats.Kind:
     gram = max(1, min(32, length // 3))
-    return repeats.Kind(length, gram, max(1, (length - gram) // 8), _units, _contents, _decider(length), same_document=True, hot_from=hot_from)
+    return repeats.Kind(length, gram, max(1, (length - gram) // 8), _units, _contents, _decider(length), same_document=True, hot_from=hot_from, chunk=512 << 10)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_content: bool = True, hot_from: int = repeats.HOT_FROM) -> DataFrame:
