@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -18,6 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    # Large arrays go back to the system when they are freed: Python workers live on from task to task,
+    # and what they keep counts against the executor.
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library: nothing to set
+    pass
+
 #: The bytes that separate words: space and 0x09-0x0D.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

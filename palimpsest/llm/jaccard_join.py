@@ -113,10 +113,10 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
                 known = np.flatnonzero(here)
                 rows += [(int(p), b"K" + x) for p, x in C.spread(C.part_of(C.mix(ids[known].view(np.uint64)), parts), ids[known], here[known])]
                 heads = edges[:-1][np.diff(edges) > 1] if len(h) else np.zeros(0, np.int64)
-                rows += [(int(p), b"S" + x) for p, x in C.spread(C.part_of(h[heads], parts), h[heads])]
+                rows += [(int(p), b"S" + x) for p, x in C.spread(C.part_of(C.mix(h[heads]), parts), h[heads])]
                 h, who = h[~several], ids[owner[~several]]
                 order = np.argsort(who, kind="stable")
-                for p, x in C.spread(C.part_of(h[order], parts), h[order], who[order]):
+                for p, x in C.spread(C.part_of(C.mix(h[order]), parts), h[order], who[order]):
                     hh, ww = C.unpack(x, np.uint64, np.int64)
                     rows.append((p, b"E" + C.pack(hh, np.diff(ww, prepend=np.int64(0)))))
                 yield C.blob_batch(rows)

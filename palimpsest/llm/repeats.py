@@ -8,14 +8,14 @@ Which windows also occur elsewhere is settled in four steps, all exact:
    anchors. Neighbouring windows mostly share theirs; a run of them is one entry. Entries
    are shuffled by the anchor's hash as sorted blobs (one for every ten to forty units), and
    anchors that occur once are done with.
-2. Contexts. Texts are shuffled once, by document, and meet the list of their repeated
+2. Contexts. Texts are shuffled by document and meet the list of their repeated
    runs. A run's context (from its first window's start to its last window's end) goes to
    the anchor's task. Of equal contexts in one task only the first holder's goes on, the
    others are already decided.
 3. Decision. Contexts of one anchor are compared by the operator's own index: first holders
    of equal contexts need no index, others are looked up window by window.
-4. Removal. Decided spans go back to their documents' parts, where the texts still lie in the
-   shuffle files of step 2.
+4. Removal. Decided spans and, once more, the texts go to the documents' parts. Texts travel
+   as zstd blobs, so that moving them twice costs about what the plain texts would once.
 
 Skew: anchors that repeat within a chunk of texts send one entry for all; equal contexts
 collapse before they are sent; anchors with ``HOT_FROM`` and more entries (the 2**17 most
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +124,11 @@ def repeated_runs(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
                 if len(h) and not kind.same_document:
                     several &= who[edges[:-1]] != who[edges[1:] - 1]
                 local = np.repeat(several, size)
-                rows = [(p, b"S" + x) for p, x in C.spread(C.part_of(h[edges[:-1]][several], parts), h[edges[:-1]][several], size[several].astype(np.int32))] if len(h) else []
+                rows = [(p, b"S" + x) for p, x in C.spread(C.part_of(C.mix(h[edges[:-1]][several]), parts), h[edges[:-1]][several], size[several].astype(np.int32))] if len(h) else []
                 rows += [(p, b"K" + x) for p, x in _by_document(who[local], run[local], parts)]
                 h, who, run = h[~local], who[~local], run[~local]
                 order = np.lexsort((run, who))
-                for p, x in C.spread(C.part_of(h[order], parts), h[order], who[order], run[order]):
+                for p, x in C.spread(C.part_of(C.mix(h[order]), parts), h[order], who[order], run[order]):
                     hh, ww, rr = C.unpack(x, _U, _I, np.uint32)
                     rows.append((p, b"E" + C.pack(hh, np.diff(ww, prepend=_I(0)), rr)))
                 yield C.blob_batch(rows)
@@ -190,9 +191,10 @@ def _frequent(found: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, parts: int) -> DataFrame:
-    """Texts as blobs by the document's part, sorted by id within a blob."""
+    """Texts as compressed blobs by the document's part."""
 
     def cut(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for b in C.slices(whole, "text"):
                 ids = C.ids_of(b["doc_id"])
@@ -203,21 +205,22 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
                 edges = C.runs(part[order])
                 for a, e in zip(edges[:-1], edges[1:], strict=True):
                     some = order[a:e]
-                    rows.append((int(part[some[0]]), b"X" + C.pack(ids[some], np.diff(o)[some]) + b"".join(raw[o[i] : o[i + 1]] for i in some.tolist())))
+                    body = C.pack(ids[some], np.diff(o)[some]) + b"".join(raw[o[i] : o[i + 1]] for i in some.tolist())
+                    rows.append((int(part[some[0]]), b"X" + squeeze(body)))
                 yield C.blob_batch(rows)
 
     return docs.mapInArrow(cut, C.BLOB)
 
 
 def _open_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[1:9], "little")
-    ids, sizes = C.unpack(blob[1 : 9 + 16 * n], _I, _I)
-    return ids, np.frombuffer(blob, np.uint8, offset=9 + 16 * n), np.concatenate([[0], np.cumsum(sizes)])
+    body = zstandard.ZstdDecompressor().decompress(blob[1:])
+    n = int.from_bytes(body[:8], "little")
+    ids, sizes = C.unpack(body[: 8 + 16 * n], _I, _I)
+    return ids, np.frombuffer(body, np.uint8, offset=8 + 16 * n), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _gathered(blobs: DataFrame, parts: int):
-    """An RDD with one element for each part: all its blobs. Its shuffle files serve every later reading."""
-    return blobs.repartitionById(parts, F.col("part")).rdd.mapPartitions(lambda rows: [[bytes(r["blob"]) for r in rows]])
+def _kinds(blobs: list[bytes], *kinds: bytes) -> list[list[bytes]]:
+    return [[b for b in blobs if b[:1] == k] for k in kinds]
 
 
 def _group_blobs(blobs: list[bytes], chunk: int):
@@ -225,7 +228,7 @@ def _group_blobs(blobs: list[bytes], chunk: int):
     group, size = [], 0
     for b in blobs:
         group.append(b)
-        size += len(b)
+        size += 3 * len(b)  # about what a compressed blob holds
         if size > chunk:
             yield group
             group, size = [], 0
@@ -241,9 +244,9 @@ def _join_texts(group: list[bytes]):
     return ids, data, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def contexts(pair, kind: Kind, parts: int, hot: np.ndarray):
-    """For one part: context blobs by anchor, and R blobs of what is decided already."""
-    texts, answers = pair
+def contexts(blobs: list[bytes], kind: Kind, parts: int, hot: np.ndarray):
+    """For one part of documents: context blobs by anchor, and R blobs of what is decided already."""
+    texts, answers = _kinds(blobs, b"X", b"A")
     marked: dict[int, list] = {}
     for blob in answers:
         w, r = C.unpack(blob[1:], _I, np.uint32)
@@ -290,6 +293,7 @@ def contexts(pair, kind: Kind, parts: int, hot: np.ndarray):
 
 def _send(holders: dict, kind: Kind, parts: int):
     """Context blobs of what is held, and R blobs of what is decided already."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     out, done = [], []
     for (key, content), held in holders.items():
         held = sorted(set(held))
@@ -300,15 +304,17 @@ def _send(holders: dict, kind: Kind, parts: int):
             else:
                 done.append((x[0], x[1], x[1] + x[2]))
     yield from _removals(done, parts)
-    out.sort(key=lambda r: r[0])
+    # anchors are least hashes and so bunch near zero: they are scrambled again to be dealt evenly
     h = np.array([r[0] for r in out], _U)
-    part = C.part_of(h, parts)
+    part = C.part_of(C.mix(h), parts)
+    order = np.argsort(part, kind="stable")
+    part, h, out = part[order], h[order], [out[i] for i in order.tolist()]
     edges = C.runs(part)
     for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rows = out[a:e]
         cols = [np.array([r[k] for r in rows], _I) for k in (1, 2, 3)]
         sizes = np.array([len(r[4]) for r in rows], _I)
-        yield int(part[a]), b"C" + C.pack(h[a:e], *cols, sizes) + b"".join(r[4] for r in rows)
+        yield int(part[a]), b"C" + squeeze(C.pack(h[a:e], *cols, sizes) + b"".join(r[4] for r in rows))
 
 
 def _split(sums, text, first, count, place, h, hot, kind: Kind):
@@ -335,17 +341,23 @@ def _removals(spans: list[tuple[int, int, int]], parts: int):
     if spans:
         w, a, e = (np.array(x, _I) for x in zip(*sorted(spans), strict=True))
         for p, x in C.spread(C.part_of(C.mix(w.view(_U)), parts), w, a, e):
-            yield -1 - p, b"R" + x
+            yield p, b"R" + x
 
 
 def decided(blobs: list[bytes], kind: Kind, parts: int):
-    """For one part of anchors: removals from the contexts that met there."""
+    """For one part of anchors: removals from the contexts that met there; R blobs pass on to their documents' parts."""
     rows = []
+    expand = zstandard.ZstdDecompressor().decompress
+    passing, blobs = _kinds(blobs, b"R", b"C")
+    for blob in passing:
+        w, a, e = C.unpack(blob[1:], _I, _I, _I)
+        yield int(C.part_of(C.mix(w[:1].view(_U)), parts)[0]), blob
     for blob in blobs:
-        n = int.from_bytes(blob[1:9], "little")
-        h, d, s, c, sizes = C.unpack(blob[1 : 9 + 40 * n], _U, _I, _I, _I, _I)
+        blob = expand(blob[1:])
+        n = int.from_bytes(blob[:8], "little")
+        h, d, s, c, sizes = C.unpack(blob[: 8 + 40 * n], _U, _I, _I, _I, _I)
         ends = np.cumsum(sizes)
-        body = blob[9 + 40 * n :]
+        body = blob[8 + 40 * n :]
         rows += zip(h.tolist(), d.tolist(), s.tolist(), c.tolist(), [body[a:e] for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], strict=True)
     rows.sort()
     removed: list[tuple[int, int, int]] = []
@@ -383,6 +395,23 @@ def decided(blobs: list[bytes], kind: Kind, parts: int):
     yield from _removals(removed, parts)
 
 
+def _batched(make: Callable):
+    """A reduce step for ``exchange`` from a generator of (part, blob): Arrow batches of some 4 MB."""
+
+    def run(blobs):
+        rows, size = [], 0
+        for r in make(blobs):
+            rows.append(r)
+            size += len(r[1])
+            if size > 4 << 20:
+                yield C.blob_batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield C.blob_batch(rows)
+
+    return run
+
+
 def apply_removals(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataFrame:
     """``finish(ids, data, offsets, removed)`` turns the texts of a group, with each text's list of removed
     window-start spans, into an Arrow batch of ``schema``."""
@@ -390,28 +419,22 @@ def apply_removals(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = C.materialise(repeated_runs(docs, kind, parts), "repeated-anchors")
     hot = spark.sparkContext.broadcast(_frequent(found))
-    texts = _gathered(_texts(docs, parts), parts)
-    answers = _gathered(found.filter("part >= 0"), parts)
-    # contexts go by their anchor's part; removals (negative numbers) wait for the last step
-    sent = C.materialise(spark.createDataFrame(texts.zip(answers).mapPartitions(lambda pairs: (x for p in pairs for x in contexts(p, kind, parts, hot.value))), C.BLOB), "contexts")
-    judged = sent.filter("part >= 0").repartitionById(parts, F.col("part")).rdd.mapPartitions(lambda rows: decided([bytes(r["blob"]) for r in rows], kind, parts))
-    judged = spark.createDataFrame(judged, C.BLOB)
-    removals = C.materialise(sent.filter("part < 0").union(judged).select((-1 - F.col("part")).alias("part"), "blob"), "removals")
-
-    def last(pair):
-        blobs, spans = pair
+    texts = _texts(docs, parts)
+    sent = C.exchange(found.filter("part >= 0").union(texts), parts, _batched(lambda blobs: contexts(blobs, kind, parts, hot.value)), C.BLOB)
+    removals = C.exchange(sent, parts, _batched(lambda blobs: decided(blobs, kind, parts)), C.BLOB)
+
+    def last(blobs):
+        texts, spans = _kinds(blobs, b"X", b"R")
         removed: dict[int, list] = {}
         for blob in spans:
             w, a, e = C.unpack(blob[1:], _I, _I, _I)
             edges = C.runs(w)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 removed.setdefault(int(w[x]), []).extend(zip(a[x:y].tolist(), e[x:y].tolist(), strict=True))
-        for group in _group_blobs(blobs, kind.chunk):
-            ids, data, o = _join_texts(group)
-            yield from finish(ids, data, o, removed)
+        for group in _group_blobs(texts, kind.chunk):
+            yield finish(*_join_texts(group), removed)
 
-    rows = texts.zip(_gathered(removals, parts)).mapPartitions(lambda pairs: (x for p in pairs for x in last(p)))
-    return spark.createDataFrame(rows, schema)
+    return C.exchange(removals.union(texts), parts, last, schema)
 
 
 def merged(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:

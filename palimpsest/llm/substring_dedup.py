@@ -142,6 +142,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     """(doc_id, n_words, n_removed, kept_sha256) and, if ``with_text``, the kept words joined by one space as ``text``."""
 
     def finish(ids, data, o, removed):
+        out = []
         for k, d in enumerate(ids.tolist()):
             words = data[o[k] : o[k + 1]].tobytes().split()
             kept, at, gone = [], 0, 0
@@ -149,10 +150,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 kept += words[at:a]
                 at, gone = e, gone + e - a
             whole = b" ".join(kept + words[at:])
-            row = None if d == -(2**63) else d, len(words), gone, hashlib.sha256(whole).hexdigest()
-            yield (*row, whole.decode("utf-8", "replace")) if with_text else row
+            out.append((None if d == -(2**63) else d, len(words), gone, hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "replace") if with_text else None))
+        cols = dict(zip(("doc_id", "n_words", "n_removed", "kept_sha256", "text"), zip(*out, strict=True), strict=True))
+        return C.batch(schema, **cols)
 
-    return repeats.apply_removals(docs, kind(length, hot_from), finish, _OUT + ", text string" * with_text)
+    schema = _OUT + ", text string" * with_text
+    return repeats.apply_removals(docs, kind(length, hot_from), finish, schema)
 
 
 def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH, shard_words: int = 50_000) -> DataFrame:

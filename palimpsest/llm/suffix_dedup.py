@@ -170,6 +170,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_content: bool = T
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, if ``with_content``, the kept bytes as ``content`` (a cut may part a character)."""
 
     def finish(ids, data, o, removed):
+        out = []
         for k, d in enumerate(ids.tolist()):
             text = data[o[k] : o[k + 1]].tobytes()
             spans = repeats.merged(removed.get(d, []), length)
@@ -178,10 +179,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_content: bool = T
                 kept.append(text[at:a])
                 at = e
             whole = b"".join(kept) + text[at:]
-            row = None if d == -(2**63) else d, len(text), len(text) - len(whole), len(spans), hashlib.sha256(whole).hexdigest()
-            yield (*row, whole) if with_content else row
+            out.append((None if d == -(2**63) else d, len(text), len(text) - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), whole if with_content else None))
+        cols = dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "content"), zip(*out, strict=True), strict=True))
+        return C.batch(schema, **cols)
 
-    return repeats.apply_removals(docs, kind(length, hot_from), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", content binary" * with_content)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", content binary" * with_content
+    return repeats.apply_removals(docs, kind(length, hot_from), finish, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
