@@ -58,7 +58,7 @@ class WaveletMatrix:
             bit = (values >> values.dtype.type(k)) & values.dtype.type(1)
             one = bit.astype(bool)
             yield len(values) - int(np.count_nonzero(one)), np.packbits(one, bitorder="little")
-            values = np.concatenate([values[~one], values[one]])
+            values = np.concatenate([np.compress(~one, values), np.compress(one, values)])
 
     def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         if (plane, block) not in self._cache:
@@ -129,8 +129,8 @@ class WaveletMatrix:
             raw = np.concatenate([self._read(p, b) for b in range(len(self._ones_before[p]))]) if self.n else np.zeros(0, np.uint8)
             one = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
-            back[~one] = values[: self.zeros[p]]
-            back[one] = values[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
+            back[np.flatnonzero(~one)] = values[: self.zeros[p]]
+            back[np.flatnonzero(one)] = values[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
             values = back
         return values
 
@@ -306,7 +306,7 @@ class BlockEncoder:
         index = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(edges, offsets[1:]), len(words))
         size = count[index]
         ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[index] - (ends - size), size)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((start[index] - (ends - size)).astype(np.int32), size)
         return flat[at], np.diff(ends[index == len(words)], prepend=0)
 
 
@@ -337,7 +337,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             return row
 
         for whole in batches:
-            for b in C.slices(whole, "text", 8 << 20):
+            for b in C.slices(whole, "text", 16 << 20):
                 got, n = encoder.encode(*C.text_bytes(b["text"]))
                 ids.append(got.astype(kind))
                 doc_ids.append(C.ids_of(b["doc_id"]))
