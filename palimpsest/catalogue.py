@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import engines, files, pages, texts
+
+QUERIES = texts.QUERIES | engines.QUERIES | files.QUERIES | pages.QUERIES
+ORACLES = texts.ORACLES | engines.ORACLES | files.ORACLES | pages.ORACLES

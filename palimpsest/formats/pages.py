@@ -51,7 +51,7 @@ class _Ids:
         return f"{prefix}_{self.n}"
 
 
-def _tag(name: str, inner: str | None = None, **attributes) -> str:
+def _tag(name: str, inner: str | None = None, /, **attributes) -> str:
     text = "".join(f" {k.rstrip('_')}={quoteattr(str(v))}" for k, v in attributes.items())
     return f"<{name}{text}/>" if inner is None else f"<{name}{text}>{inner}</{name}>"
 

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
@@ -49,7 +50,7 @@ def whitespace_normalize(x: Column) -> Column:
     return F.regexp_replace(few, r"(?U)[\s\x1c-\x1f&&[^\n]]+(?=\n|\z)", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
