@@ -23,8 +23,8 @@ try:
     # Large arrays go back to the system when they are freed: Python workers live on from task to task,
     # and what they keep counts against the executor.
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 except (OSError, AttributeError):  # another C library: nothing to set
     pass
 

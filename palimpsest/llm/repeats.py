@@ -72,7 +72,8 @@ def anchor_runs(sums: np.ndarray, offsets: np.ndarray, kind: Kind):
     _, down = C.powers(n + 1)
     grams = sums[gram:] - sums[: n - gram + 1]
     grams *= down[: n - gram + 1]
-    grams = C.mix(grams)
+    grams ^= grams >> _U(29)
+    grams *= _U(0xD6E8FEB86659FD93)  # the high bits, which alone are compared, depend on all bits
     bits = _U(max(20, int(n).bit_length()))
     low = (_U(1) << bits) - _U(1)
     key = grams & ~low

@@ -41,26 +41,8 @@ class RunLengthIndex:
         symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(_I) + m
         symbols[ends] = np.arange(m)  # end symbols sort before all bytes, in the order of their texts
         n = self.n = len(symbols)
-        rank, depth, at_depth = symbols, 1, {}
-        most = int(self.sizes.max(initial=0)) + 1
-        order = None
-        while True:
-            if depth <= length:
-                at_depth[depth] = rank
-            if depth >= most:
-                break
-            key = rank * (int(rank.max()) + 2)
-            key[:-depth or None] += rank[depth:] + 1 if depth < n else 0
-            order = np.argsort(key, kind="stable")
-            new = np.ones(n, bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, _I)
-            rank[order] = np.cumsum(new) - 1
-            depth *= 2
-        suffixes = order if order is not None else np.argsort(rank, kind="stable")
+        suffixes, deep, half = self._sorted(symbols, m + 257, length)
         # intervals of rows that agree in ``length`` symbols: two overlapping powers of two
-        half = max(at_depth)
-        deep = at_depth[half]
         tail = np.full(n, -1, _I)
         if length - half < n:
             tail[: n - (length - half)] = deep[length - half :]
@@ -81,6 +63,44 @@ class RunLengthIndex:
         self.run_end_samples = suffixes[self.run_starts + sizes - 1]
         self._suffixes = suffixes
 
+    @staticmethod
+    def _sorted(symbols: np.ndarray, most: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The suffix array by prefix doubling; each suffix's rank by its first ``half`` symbols, and ``half``,
+        the largest power of two up to ``length``. Only suffixes that are still tied are sorted again."""
+        n, depth = len(symbols), 1
+        key = symbols.copy()
+        while depth < 4 and depth * 2 <= length and most ** (2 * depth) < 2**62:  # several symbols at once
+            more = np.zeros(n, _I)
+            more[: n - depth] = key[depth:]
+            key = key * most**depth + more
+            depth *= 2
+        order = np.argsort(key)
+        new = np.ones(n, bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        place = np.arange(n)
+        rank = np.empty(n, _I)
+        rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+        deep, half = rank, depth
+        while True:
+            if depth <= length:
+                deep, half = rank.copy(), depth
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            if not len(tied) and depth * 2 > length:
+                return order, deep, half
+            if len(tied):
+                some = order[tied]
+                second = np.zeros(len(some), _I)
+                inside = some + depth < n
+                second[inside] = rank[some[inside] + depth] + 1
+                key = rank[some] * (n + 1) + second
+                by = np.argsort(key)
+                key, some = key[by], some[by]
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = key[1:] != key[:-1]
+                order[tied], new[tied] = some, fresh
+                rank[some] = np.maximum.accumulate(np.where(fresh, tied, 0))
+            depth *= 2
+
     def earliest(self, order: np.ndarray) -> None:
         """Keep each interval's least ``order`` (of the places of the text on end) and forget the suffix array."""
         self.least = np.minimum.reduceat(order[self._suffixes], self.interval_starts)
