@@ -23,8 +23,8 @@ try:
     # Large arrays go back to the system when they are freed: Python workers live on from task to task,
     # and what they keep counts against the executor.
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 6 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 except (OSError, AttributeError):  # another C library: nothing to set
     pass
 
@@ -105,7 +105,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with about ``max_bytes`` of text each, one row at least."""
     _, o = text_bytes(batch.column(column))
     at, n = 0, batch.num_rows
