@@ -289,14 +289,10 @@ def decoded(raw: bytes) -> str:
 def parse_csv(raw: bytes, name: str) -> Parsed:
     t = decoded(raw)
     lines = t.splitlines()
-    if name.lower().endswith((".tsv", ".tab")):
-        dialect = csv.excel_tab
-    else:
-        try:
-            dialect = csv.Sniffer().sniff("\n".join(lines[:50]), ",;\t|")
-        except csv.Error:
-            dialect = csv.excel
-    rows = list(csv.reader(lines, dialect))
+    head = next((x for x in lines if x.strip()), "")
+    plain = re.sub(r'"[^"]*"', "", head)
+    delimiter = "\t" if name.lower().endswith((".tsv", ".tab")) else max(",;\t|", key=plain.count)
+    rows = list(csv.reader(lines, delimiter=delimiter))
     return [table(rows, len(rows[0])) if rows else ""], {}
 
 
