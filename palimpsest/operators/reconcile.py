@@ -34,21 +34,15 @@ def _gather(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.array_sort(F.collect_list(out)).alias("outputs"))
 
 
-def _pairs(texts: Column) -> Column:
-    """All pairs i < j of an array's items."""
-    n = F.size(texts)
-    later = lambda i: F.slice(texts, i + 2, F.greatest(n - i - 1, F.lit(0)))
-    return F.flatten(F.transform(texts, lambda a, i: F.transform(later(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-
-
 def agreement(outputs: Column) -> Column:
-    """Mean similarity of all pairs of outputs without error (blank ones count); very unequal lengths give 0."""
+    """Mean similarity of all pairs of outputs without error (blank ones count); very unequal lengths give 0.
+
+    Pairs that the length rule settles are not compared: their texts are not sent to Python."""
     texts = F.transform(F.filter(outputs, lambda o: o["error"].isNull()), lambda o: T.ptrim(F.coalesce(o["text"], F.lit(""))))
     sizes = F.transform(texts, lambda t: F.length(t))
     low, high = F.array_min(sizes), F.array_max(sizes)
-    sims = F.transform(_pairs(texts), lambda p: metrics.similarity(p["a"], p["b"]))
-    mean = F.aggregate(sims, F.lit(0.0), lambda acc, x: acc + x) / F.size(sims)
-    return F.when(F.size(texts) < 2, 0.0).when((low > 0) & (high > 1.5 * low), 0.0).otherwise(mean)
+    unequal = (low > 0) & (high > 1.5 * low)
+    return F.coalesce(metrics.mean_similarity(F.when(~F.coalesce(unequal, F.lit(True)), texts)), F.lit(0.0))
 
 
 def _usable(outputs: Column) -> Column:

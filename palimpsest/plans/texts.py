@@ -40,7 +40,7 @@ def cer_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character errors of a misread text against its reference, line by line, by language and source."""
     d = M.spread(read(spark, sf_dir, "documents").select("lang", "source", "text")).select("lang", "source", F.explode(F.split(ascii(F.coalesce("text", F.lit(""))), "\n")).alias("line"))
     d = d.select("lang", "source", T.normalized(F.col("line")).alias("r"), T.normalized(_HYP(F.col("line"))).alias("h"))
-    return d.groupBy("lang", "source").agg(F.sum(F.levenshtein("r", "h")).alias("char_errors"), F.sum(F.length("r")).alias("ref_chars"))
+    return d.groupBy("lang", "source").agg(F.sum(M.distance(F.col("r"), F.col("h"))).alias("char_errors"), F.sum(F.length("r")).alias("ref_chars"))
 
 
 @query(
@@ -51,7 +51,7 @@ def cer_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.spread(read(spark, sf_dir, "conversations").select("role", ascii(F.col("text")).alias("t")))
     d = d.select("role", T.normalized(F.col("t")).alias("r"), T.normalized(_HYP(F.col("t"))).alias("h"))
-    return d.groupBy("role").agg(F.sum(F.levenshtein("r", "h")).alias("char_errors"), F.sum(F.length("r")).alias("ref_chars"), F.round(F.avg(M.cer(F.col("r"), F.col("h"))), 6).alias("mean_cer"))
+    return d.groupBy("role").agg(F.sum(M.distance(F.col("r"), F.col("h"))).alias("char_errors"), F.sum(F.length("r")).alias("ref_chars"), F.round(F.avg(M.cer(F.col("r"), F.col("h"))), 6).alias("mean_cer"))
 
 
 @query()
