@@ -26,7 +26,27 @@ try:
     _libc.mallopt(-3, 6 << 20)  # M_MMAP_THRESHOLD
     _libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 except (OSError, AttributeError):  # another C library: nothing to set
-    pass
+    _libc = None
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """``task`` (a function of an iterator of batches), after which freed memory goes back to the system:
+    idle Python workers then hold little more than their modules."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return run
+
 
 #: The bytes that separate words: space and 0x09-0x0D.
 WHITE = np.zeros(256, dtype=bool)
@@ -254,7 +274,7 @@ def exchange(blobs: DataFrame, parts: int, reduce: Callable[[list[bytes]], Itera
         if gathered:
             yield from reduce(gathered)
 
-    return blobs.repartitionById(parts, F.col("part")).mapInArrow(whole, schema)
+    return blobs.repartitionById(parts, F.col("part")).mapInArrow(lean(whole), schema)
 
 
 def batch(schema: str, **columns) -> pa.RecordBatch:

@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
                         d, k, s, q, a = zip(*rows, strict=True)
                         yield C.batch(_SCHEMA, doc_id=b["doc_id"].take(pa.array(d)), item_id=[ix.items[x][0] for x in k], bm25=s, question_overlap=q, answer_overlap=a)
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(run), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -217,7 +217,7 @@ def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
                     mask[[r[0] for r in held.value.search(*word_hashes(*C.text_bytes(b["text"]))) if r[3] >= min_question and r[4] >= min_answer]] = False
                     yield b.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(C.lean(run), docs.schema)
     return docs
 
 

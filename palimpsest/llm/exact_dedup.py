@@ -144,8 +144,8 @@ def fold_groups(docs: DataFrame, carry: bool = False, table_bytes: int = 64 << 2
         cols = {"h": h, "keep_id": ids, "n": n, "text": texts, "row": rows}
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
-    local = d.mapInArrow(fold(False), schema)
-    return local.repartition(C.part_count(docs), "h").mapInArrow(fold(True), schema)
+    local = d.mapInArrow(C.lean(fold(False)), schema)
+    return local.repartition(C.part_count(docs), "h").mapInArrow(C.lean(fold(True)), schema)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

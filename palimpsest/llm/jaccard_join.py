@@ -150,7 +150,7 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
         if len(i):
             yield C.batch(schema, kind=np.ones(len(i), np.int32), doc_id=i, n=n, f1=n, f2=n)
 
-    blobs = docs.select("doc_id", "text").mapInArrow(cut, C.BLOB)
+    blobs = docs.select("doc_id", "text").mapInArrow(C.lean(cut), C.BLOB)
     return C.exchange(blobs, parts, count, schema)
 
 
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(raw)])
                 yield C.batch(_SETS, doc_id=C.ids_of(b["doc_id"]), n=np.diff(o), grams=flat)
 
-    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, _SETS)
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(C.lean(run), _SETS)
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def frequent(sets: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
         if hot.any():
             yield C.batch("h long, n long", h=h[hot].view(np.int64), n=n[hot].astype(np.int64))
 
-    rows = C.exchange(sets.select("grams").mapInArrow(cut, C.BLOB), parts, add, "h long, n long").orderBy(F.desc("n"), "h").limit(_HOT_MOST).collect()
+    rows = C.exchange(sets.select("grams").mapInArrow(C.lean(cut), C.BLOB), parts, add, "h long, n long").orderBy(F.desc("n"), "h").limit(_HOT_MOST).collect()
     h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r[1] for r in rows], np.int64)[order]
@@ -222,7 +222,7 @@ def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 core = np.bincount(owner, weights=rank > 0, minlength=len(n)) * 1000 // np.maximum(n, 1)
                 yield C.batch(schema, gram=grams[take].view(np.int64), doc_id=ids[owner[take]], n=n[owner[take]], place=place[within], core=core.astype(np.int64)[owner[take]])
 
-    return sets.mapInArrow(run, schema)
+    return sets.mapInArrow(C.lean(run), schema)
 
 
 def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok = 100 * overlap >= SHARE * (np.diff(oa) + np.diff(ob) - overlap)
                 yield C.batch("a long, b long", a=x["a"].filter(pa.array(ok)), b=x["b"].filter(pa.array(ok)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(C.lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
                 cols = list(zip(*out, strict=True))
                 yield C.batch(schema, doc_id=cols[0], text=cols[1], n_lines=cols[2], n_dropped=cols[3], kept_sha256=cols[4])
 
-    return d.join(lost.hint("merge"), "_key", "left").select("doc_id", "text", "keys").mapInArrow(reassemble, schema)
+    return d.join(lost.hint("merge"), "_key", "left").select("doc_id", "text", "keys").mapInArrow(C.lean(reassemble), schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, group_token
 
         yield C.batch(_SCHEMA, doc_id=pa.array(ids[row], pa.int64(), mask=null[row]), piece=piece.astype(np.int32), n_tokens=size.astype(np.int32), bin_id=(int(part[0]) << 32) + bins, bin_offset=offsets.astype(np.int32), bin_capacity=capacity[bins].astype(np.int32), bin_used=used[bins].astype(np.int32))
 
-    return placed.repartitionById(groups, F.col("part")).select("part", "doc_id", "n_tokens").mapInArrow(one, _SCHEMA)
+    return placed.repartitionById(groups, F.col("part")).select("part", "doc_id", "n_tokens").mapInArrow(C.lean(one), _SCHEMA)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 _, _, o = C.word_bounds(*C.text_bytes(b["text"]))
                 yield C.batch("doc_id long, n_tokens long", doc_id=b["doc_id"], n_tokens=np.diff(o) + 1)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(count), "doc_id long, n_tokens long")
 
 
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:

@@ -95,7 +95,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), flat], names=[*keep, "x"])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(C.lean(run), schema)
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def fit(rows: DataFrame, shrink: float = 0.1, ridge: float = 0.05) -> Discrimina
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sums = rows.select("x", "label").mapInArrow(add_up, "sums binary").coalesce(32).mapInArrow(fold, "sums binary")
+    sums = rows.select("x", "label").mapInArrow(C.lean(add_up), "sums binary").coalesce(32).mapInArrow(C.lean(fold), "sums binary")
     total = np.sum([np.frombuffer(r["sums"]) for r in sums.collect()] or [np.zeros(2 * (1 + k + k * k))], axis=0).reshape(2, -1)
     n = total[:, 0]
     if n.min() < 2:
@@ -163,7 +163,7 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
             keep = [i for i, f in enumerate(b.schema) if f.name != "x"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(model.score(x))], names=[*(b.schema.field(i).name for i in keep), "score"])
 
-    return rows.mapInArrow(run, rows.drop("x").withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(C.lean(run), rows.drop("x").withColumn("score", F.lit(0.0)).schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -197,4 +197,4 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
                 mask = model.score(statistics(*C.text_bytes(b["text"]))) >= threshold
                 yield b.filter(pa.array(mask)).select(arrow_names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

@@ -165,7 +165,7 @@ def repeated_runs(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
             rows.append((-1, C.pack(h[edges[:-1]][hot], total[hot].astype(_I))))
         yield C.blob_batch(rows)
 
-    return C.exchange(docs.mapInArrow(cut, C.BLOB), parts, meet, C.BLOB)
+    return C.exchange(docs.mapInArrow(C.lean(cut), C.BLOB), parts, meet, C.BLOB)
 
 
 def _by_document(who: np.ndarray, run: np.ndarray, parts: int, prefixed: bool = True):
@@ -187,7 +187,7 @@ def _frequent(found: DataFrame) -> np.ndarray:
                 h, n = C.unpack(x, _U, _I)
                 yield C.batch("h long, n long", h=h.view(_I), n=n)
 
-    rows = found.filter("part < 0").mapInArrow(open_blobs, "h long, n long").orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
+    rows = found.filter("part < 0").mapInArrow(C.lean(open_blobs), "h long, n long").orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
     return np.sort(np.array([r[0] for r in rows], _I).view(_U))
 
 
@@ -210,7 +210,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
                     rows.append((int(part[some[0]]), b"X" + squeeze(body)))
                 yield C.blob_batch(rows)
 
-    return docs.mapInArrow(cut, C.BLOB)
+    return docs.mapInArrow(C.lean(cut), C.BLOB)
 
 
 def _open_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -182,7 +182,7 @@ def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH,
                     if spans:
                         yield C.batch(schema, doc_id=[d] * len(spans), start=[a for a, _ in spans], end=[e for _, e in spans])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(run), schema)
         found = part if found is None else found.unionByName(part)
     if shards == 1:
         return found

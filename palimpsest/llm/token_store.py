@@ -349,7 +349,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             yield flush()
 
     placed = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(C.part_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return placed.mapInArrow(run, _MANIFEST)
+    return placed.mapInArrow(C.lean(run), _MANIFEST)
 
 
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -375,7 +375,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * e]) for a, e in zip((ends - shard.lengths).tolist(), ends.tolist(), strict=True)]
                 yield C.batch(_READ, doc_id=pa.array(shard.doc_ids, mask=shard.doc_ids == -(2**63)), start=start + ends - shard.lengths, n_tokens=shard.lengths, ids_crc32=crc)
 
-    return listed.mapInArrow(run, _READ)
+    return listed.mapInArrow(C.lean(run), _READ)
 
 
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
