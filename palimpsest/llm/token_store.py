@@ -55,8 +55,7 @@ class WaveletMatrix:
     def planes(values: np.ndarray, bits: int):
         """(zeros, bits packed in bytes) of each plane, highest first."""
         for k in range(bits - 1, -1, -1):
-            bit = (values >> values.dtype.type(k)) & values.dtype.type(1)
-            one = bit.astype(bool)
+            one = (values & values.dtype.type(1 << k)) != 0
             yield len(values) - int(np.count_nonzero(one)), np.packbits(one, bitorder="little")
             values = np.concatenate([np.compress(~one, values), np.compress(one, values)])
 
@@ -218,10 +217,10 @@ class PieceCache:
             return
         start = np.cumsum(count) - count + len(self.flat)
         self.flat = np.concatenate([self.flat, flat])
-        key = np.concatenate([self.key, key])
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.check, self.start, self.count = (np.concatenate(x)[order] for x in ((self.check, check), (self.start, start), (self.count, count)))
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
+        self.key = np.insert(self.key, at, key[order])
+        self.check, self.start, self.count = (np.insert(old, at, new[order]) for old, new in ((self.check, check), (self.start, start), (self.count, count)))
 
 
 _SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64)
