@@ -42,6 +42,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     held = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), F.explode(long).alias("key")).select("doc_id", F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("h"))
     # distinct (key, document) first: a key's count is then a plain sum
     common = held.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs).select("h", "last")
+    # as a written table: both sides of the join are then shuffled for it, which lets a frequent key's rows be split
+    common = C.materialise(common, "repeated-lines")
     lost = held.join(common.hint("merge"), "h").filter(F.col("doc_id") < F.col("last"))
     return lost.groupBy("doc_id").agg(F.collect_set("h").alias("keys"))
 
