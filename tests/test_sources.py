@@ -246,3 +246,25 @@ def test_read_folder(spark, tmp_path):
     assert [r.size_mb for r in files.listing(files.scan(spark, str(tmp_path), ["txt"])).collect()] == [0.0]
     plan = files.scan(spark, str(tmp_path)).select("path")._jdf.queryExecution().toString()
     assert "PushedFilters: [LessThanOrEqual(length" in plan or "LessThanOrEqual(length" in plan
+
+
+def test_records_probes_images(spark):
+    from palimpsest.sources import extras
+
+    tei = """<TEI xmlns="t"><teiHeader><titleStmt><title>Whole</title></titleStmt><sourceDesc><biblStruct><author><persName><forename>A</forename><surname>B</surname></persName></author>
+    <monogr><title>J</title><imprint><biblScope unit="volume">3</biblScope><date type="published" when="2020-05-01"/></imprint></monogr><idno type="DOI">10.1/x</idno></biblStruct></sourceDesc>
+    <profileDesc><abstract><p>Abs</p></abstract><textClass><keywords><term>k1</term><term>k2</term></keywords></textClass></profileDesc></teiHeader>
+    <text><listBibl><biblStruct><analytic><title>R</title><author>C D</author></analytic><monogr><title>RJ</title><imprint><date>1999</date></imprint></monogr><note>raw text</note></biblStruct><biblStruct/></listBibl></text></TEI>"""
+    d = spark.createDataFrame([(1, tei), (2, "broken <"), (3, None)], "id int, xml string")
+    h = {r.id: r for r in extras.headers(d, "id").collect()}
+    assert (h[1].title, h[1].authors, h[1].journal, h[1].volume, h[1].year, h[1].doi, h[1].abstract, h[1].keywords) == ("Whole", ["A B"], "J", "3", "2020", "10.1/x", "Abs", ["k1", "k2"])
+    assert h[2].title == "" and h[3].authors == []
+    r = extras.references(d, "id").collect()
+    assert [(x.id, x.title, x.authors, x.journal, x.year, x.raw) for x in r] == [(1, "R", ["C D"], "RJ", "1999", "raw text")]
+    probe = '{"format": {"format_name": "mp3", "duration": "9.5"}, "streams": [{"codec_type": "audio", "codec_name": "mp3", "channels": 2}, {"codec_type": "video", "codec_name": "h264", "width": 10, "height": 20}]}'
+    text = spark.createDataFrame([("a.mp3", "audio", probe)], "n string, k string, p string").select(extras.media_summary(F.col("n"), F.col("k"), F.col("p"))).first()[0]
+    assert text.startswith("# Audio: a.mp3\n\n**Format**: mp3\n**Duration**: 9.5s\n**Bitrate**: unknown") and text.endswith("- Stream 0: audio (mp3), 2 ch\n- Stream 1: video (h264), 10x20")
+    z = zip_of({"w/a.JPEG": "x" * 200, "w/copy.png": "x" * 200, "w/tiny.png": "x", "w/t.txt": "x" * 200})
+    files_ = spark.createDataFrame([("d.docx", "docx", z), ("bad", "docx", b"no")], "path string, format string, content binary")
+    got = extras.embedded_images(files_).collect()
+    assert [(i.path, i.name, i.ext) for i in got] == [("d.docx", "w_a.JPEG", "jpg")]
