@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

@@ -200,3 +200,15 @@ def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH,
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(C.documents(spark, sf_dir), with_text=False)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w WHERE len(ws) >= 13),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS g FROM places),
+f AS (SELECT g, min(doc_id) AS earliest FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM (SELECT win.doc_id, win.i FROM win JOIN f ON win.g = f.g WHERE f.earliest < win.doc_id) h),
+pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT pos.doc_id, count(gone.p) AS n, string_agg(pos.word, ' ' ORDER BY pos.p) FILTER (WHERE gone.p IS NULL) AS kept FROM pos LEFT JOIN gone ON pos.doc_id = gone.doc_id AND pos.p = gone.p GROUP BY pos.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

@@ -209,3 +209,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_content: bool = T
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(C.documents(spark, sf_dir), with_content=False)
+
+
+ORACLE = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS i FROM b WHERE length(h) >= 200),
+win AS (SELECT doc_id, i, md5(substr(h, i * 2 + 1, 200)) AS g FROM places),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) x WHERE k > 1),
+isl AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later),
+num AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM isl),
+spans AS (SELECT doc_id, n, min(i) AS a, max(i) + 100 AS e FROM num GROUP BY doc_id, n),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS h, sum(e - a) AS removed, count(*) AS n FROM (
+  SELECT s.doc_id, s.a, s.e, substr(b.h, coalesce(lag(s.e) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) * 2 + 1, (s.a - coalesce(lag(s.e) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0)) * 2) AS part FROM spans s JOIN b ON s.doc_id = b.doc_id) q GROUP BY doc_id),
+tail AS (SELECT s.doc_id, max(s.e) AS e FROM spans s GROUP BY s.doc_id)
+SELECT b.doc_id, CAST(length(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(kept.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN kept.doc_id IS NULL THEN b.h ELSE kept.h || substr(b.h, tail.e * 2 + 1) END)) AS kept_sha256
+FROM b LEFT JOIN kept ON b.doc_id = kept.doc_id LEFT JOIN tail ON b.doc_id = tail.doc_id
+"""
