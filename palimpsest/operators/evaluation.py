@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics
+from ..functions import script as S
+from ..functions import text as T
 
 def profile_summary(results: DataFrame) -> DataFrame:
     """Means of cer and wer for each profile, and over all items (profile null): a rollup, so the overall mean is of items."""
@@ -27,3 +30,36 @@ def against_baseline(outputs: DataFrame, baselines: DataFrame, page: list[str])
 def unmatched(truth: DataFrame, outputs: DataFrame, key: list[str]) -> DataFrame:
     """Ground truth without an output: reported, not scored."""
     return truth.join(outputs.select(*key).distinct(), key, "left_anti")
+
+
+# The columns of the two reports.
+BENCHMARK_COLUMNS = ["profile", "fixture", "cer", "wer", "ref_chars", "hyp_chars"]
+METRIC_COLUMNS = [
+    "config", "profile", "script", "pdf_hash", "page", "char_count", "word_count", "non_latin_ratio", "cyrillic_found", "cjk_found", "arabic_found", "diacritics_found",
+    "engines_agreement", "engine_count", "cross_cer_vs_baseline",
+]
+
+
+def benchmark(truth: DataFrame, outputs: DataFrame, key: list[str]) -> DataFrame:
+    """One scored row (BENCHMARK_COLUMNS) for each ground truth (profile, fixture, reference) with an output (hypothesis)."""
+    scored = metrics.evaluate(truth.join(outputs, key))
+    return scored.select(*BENCHMARK_COLUMNS).orderBy("fixture")
+
+
+def page_metrics(pages: DataFrame, baselines: DataFrame, page: list[str]) -> DataFrame:
+    """METRIC_COLUMNS of pages (config, profile, script, pdf_hash, page, text, engines_agreement, engine_count).
+
+    A leading comment is cut off first; the error rate is against the first baseline of the page, null without one."""
+    plain = pages.withColumn("text", T.strip_leading_comment(F.coalesce("text", F.lit(""))))
+    d = metrics.spread(against_baseline(plain, baselines, page))
+    t = F.col("text")
+    return d.withColumns({
+        "char_count": F.length(t).cast("long"), "word_count": T.word_count(t), "non_latin_ratio": T.non_latin_ratio(t),
+        **{f"{s}_found": S.has_script(t, s) for s in ("cyrillic", "cjk", "arabic", "diacritics")},
+        "cross_cer_vs_baseline": metrics.study_cer(t, T.strip_leading_comment(F.col("baseline_text"))),
+    }).select(*METRIC_COLUMNS)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as one CSV file with a header: reports are summaries, a few thousand rows at most."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)

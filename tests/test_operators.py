@@ -152,3 +152,17 @@ def test_evaluation(spark):
     outs = spark.createDataFrame([(1, "x"), (2, "y")], "page int, out string")
     assert {(x.page, x.baseline_text) for x in evaluation.against_baseline(outs, base, ["page"]).collect()} == {(1, "first"), (2, None)}
     assert [x.page for x in evaluation.unmatched(outs.select("page"), base, ["page"]).collect()] == [2]
+
+
+def test_reports(spark, tmp_path):
+    truth = spark.createDataFrame([("books", "b", "The  cat"), ("legal", "a", "abc")], "profile string, fixture string, reference string")
+    outs = spark.createDataFrame([("b", "the cat"), ("a", "abd"), ("x", "y")], "fixture string, hypothesis string")
+    r = evaluation.benchmark(truth, outs, ["fixture"]).collect()
+    assert [(x.fixture, x.cer, x.wer, x.ref_chars) for x in r] == [("a", 0.3333, 1.0, 3), ("b", 0.0, 0.0, 7)]
+    pages = spark.createDataFrame([("T", "p", "latin", "h", 1, "<!-- c -->\nabcé", 0.5, 2), ("T", "p", "cjk", "h", 2, "漢", None, 1)], "config string, profile string, script string, pdf_hash string, page int, text string, engines_agreement double, engine_count int")
+    base = spark.createDataFrame([("h", 1, 0, "abce")], "pdf_hash string, page int, candidate_rank int, text string")
+    m = {x.page: x for x in evaluation.page_metrics(pages, base, ["pdf_hash", "page"]).collect()}
+    assert (m[1].char_count, m[1].cross_cer_vs_baseline, m[1].diacritics_found, m[1].cjk_found, m[1].non_latin_ratio) == (4, 0.25, True, False, 0.25)
+    assert (m[2].cross_cer_vs_baseline, m[2].cjk_found) == (None, True)
+    evaluation.write_report(evaluation.benchmark(truth, outs, ["fixture"]), str(tmp_path / "r"))
+    assert spark.read.csv(str(tmp_path / "r"), header=True).columns == evaluation.BENCHMARK_COLUMNS
