@@ -136,7 +136,7 @@ def fit(rows: DataFrame, shrink: float = 0.1, ridge: float = 0.05) -> Discrimina
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sums = rows.select("x", "label").mapInArrow(C.lean(add_up), "sums binary").coalesce(32).mapInArrow(C.lean(fold), "sums binary")
+    sums = rows.select("x", "label").mapInArrow(C.lean(add_up), "sums binary").repartition(32).mapInArrow(C.lean(fold), "sums binary")
     total = np.sum([np.frombuffer(r["sums"]) for r in sums.collect()] or [np.zeros(2 * (1 + k + k * k))], axis=0).reshape(2, -1)
     n = total[:, 0]
     if n.min() < 2:
