@@ -185,7 +185,7 @@ def indexes(items: DataFrame, min_share: float, shard_words: int = 2_000_000):
         yield Index([(r[0], r[1]) for r in rows], min_share)
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.5, min_answer: float = 0.6) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap): verified items of each document."""
     out = None
     for index in indexes(items, min_share):
@@ -205,7 +205,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.5, min_answer: float = 0.6) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6) -> DataFrame:
     """The rows of ``docs`` that hold no verified item, all columns unchanged."""
     for index in indexes(items, min_share):
         held = docs.sparkSession.sparkContext.broadcast(index)
