@@ -127,8 +127,8 @@ class Index:
         row = np.repeat(np.arange(len(term)), n)
         return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[term], n)
 
-    def search(self, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-        """(document, item number, best score, question overlap, answer overlap) of verified items."""
+    def search(self, h: np.ndarray, offsets: np.ndarray, min_question: float = 0.0, min_answer: float = 0.0) -> list[tuple[int, int, float, float, float]]:
+        """(document, item number, score, question overlap, answer overlap) of verified items, from the best passage that passes."""
         if not len(self.terms) or not len(h):
             return []
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
@@ -170,6 +170,8 @@ class Index:
             grams = np.unique(C.rolled(words, self.question_n[k])) if self.question_n[k] else np.zeros(0, np.uint64)
             asked = float(np.isin(self.question[k], grams).mean()) if len(self.question[k]) else 1.0
             told = float(np.isin(self.answer[k], words).mean()) if len(self.answer[k]) else 1.0
+            if asked < min_question or told < min_answer:
+                continue  # another passage may pass, however much this one has of the other part
             if (d, k) not in found or (asked + told, score) > (sum(found[d, k][1:]), found[d, k][0]):
                 found[d, k] = (score, asked, told)
         return [(d, k, *v) for (d, k), v in sorted(found.items())]
@@ -195,7 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
             ix = held.value
             for whole in batches:
                 for b in C.slices(whole, "text"):
-                    rows = [r for r in ix.search(*word_hashes(*C.text_bytes(b["text"]))) if r[3] >= min_question and r[4] >= min_answer]
+                    rows = ix.search(*word_hashes(*C.text_bytes(b["text"])), min_question, min_answer)
                     if rows:
                         d, k, s, q, a = zip(*rows, strict=True)
                         yield C.batch(_SCHEMA, doc_id=b["doc_id"].take(pa.array(d)), item_id=[ix.items[x][0] for x in k], bm25=s, question_overlap=q, answer_overlap=a)
@@ -214,7 +216,7 @@ def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
             for whole in batches:
                 for b in C.slices(whole, "text"):
                     mask = np.ones(b.num_rows, bool)
-                    mask[[r[0] for r in held.value.search(*word_hashes(*C.text_bytes(b["text"]))) if r[3] >= min_question and r[4] >= min_answer]] = False
+                    mask[[r[0] for r in held.value.search(*word_hashes(*C.text_bytes(b["text"])), min_question, min_answer)]] = False
                     yield b.filter(pa.array(mask))
 
         docs = docs.mapInArrow(C.lean(run), docs.schema)

@@ -235,6 +235,21 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench.filter("false")).count() == len(clean) + 30
 
 
+def test_passage_that_fails_hides_none_that_passes(spark):
+    """A document quotes the question without its answer and holds a near copy of both further on."""
+    rng = random.Random(6)
+    question, answer = [f"q{k}" for k in range(40)], [f"a{k}" for k in range(8)]
+    bench = spark.createDataFrame([(k, f"{prose(rng, 40, 500).capitalize()}. {prose(rng, 8, 500)}.") for k in range(20)] + [(77, f"{' '.join(question)}. {' '.join(answer)}.")], "item_id long, text string")
+    quote = " ".join([*question, *answer[:4]])
+    copy = " ".join(f"z{k}" if k % 8 == 7 else w for k, w in enumerate(question + answer))
+    gap = prose(rng, 400, 500)
+    docs = frame(spark, [(1, f"{quote} {gap} {copy}"), (2, f"{copy} {gap} {quote}"), (3, f"{quote} {gap}"), (4, copy)])
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, bench).collect()}
+    assert sorted(got) == [1, 2, 4] and {r.item_id for r in got.values()} == {77}
+    assert all(r.question_overlap >= 0.3 and r.answer_overlap >= 0.6 for r in got.values())
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_index_shards(spark):
     """Several shards find what one finds."""
     bench = spark.createDataFrame([(k, f"item number {k} has these quite special words w{k} x{k} y{k} z{k}") for k in range(40)], "item_id long, text string")
