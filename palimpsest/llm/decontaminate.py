@@ -12,8 +12,8 @@ Items stand in blocks; for each term and block the largest essential impact is k
 block is opened for a passage only if its block-max bound can reach the least threshold
 in it, an item only if its own partial score plus its other impacts can, and only then is
 the full score taken. Retrieved items are verified: word 5-grams of the question part and
-words of the answer part (the item's last sentence, or its last third) must be found in
-the passage.
+words of the answer part (the item's last sentence, or its last third if that sentence has
+under three words) must be found in the passage.
 
 Items come in shards of at most ``shard_words`` words (a checked bound for what is shipped
 to the executors); documents stream past every shard. Nothing is shuffled.
@@ -42,6 +42,7 @@ _FOLD = C.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _BLOCK = 32
 _GRANTED = 0.6  # share of its threshold that an item's weakest terms may make up before they count as essential
+_ANSWER = 3  # words that a last sentence must have to be the answer
 _SCHEMA = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
 
 
@@ -66,9 +67,11 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def parts_of(text: str) -> tuple[str, str]:
-    """Question and answer: the last sentence is the answer, or the last third of the words."""
+    """Question and answer: the last sentence is the answer, or the last third of the words if that has under three.
+
+    Of three words one may change in a copy and two thirds are still found; of two, every one would have to stay."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    if len(sentences) > 1 and len(_hashes(sentences[-1])) > 1:
+    if len(sentences) > 1 and len(_hashes(sentences[-1])) >= _ANSWER:
         return text[: text.rstrip().rindex(sentences[-1])], sentences[-1]
     words = text.split()
     cut = max(1, len(words) * 2 // 3)

@@ -250,6 +250,17 @@ def test_passage_that_fails_hides_none_that_passes(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
 
 
+def test_last_sentence_of_two_words(spark):
+    """A near copy may lose one of the last two words; three words and more are an answer of their own."""
+    rng = random.Random(8)
+    items = [(k, f"{prose(rng, 40, 500).capitalize()}. Be in{k}.") for k in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    copies = [(k, t.replace(f"in{k}.", "zz") if k % 2 else t.replace("Be ", "zz ")) for k, t in items]
+    docs = frame(spark, copies + [(100 + k, prose(rng, 200, 500)) for k in range(20)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(k, k) for k in range(10)}
+    assert decontaminate.parts_of("One two three. Four five six.") == ("One two three. ", "Four five six.")
+
+
 def test_index_shards(spark):
     """Several shards find what one finds."""
     bench = spark.createDataFrame([(k, f"item number {k} has these quite special words w{k} x{k} y{k} z{k}") for k in range(40)], "item_id long, text string")
