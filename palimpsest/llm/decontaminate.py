@@ -30,10 +30,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -78,23 +79,36 @@ def parts_of(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: how many, their mean and greatest length, and in how many each word stands."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
 class Index:
-    """BM25 postings of items with essential postings by term and by block."""
+    """BM25 postings of items with essential postings by term and by block.
 
-    def __init__(self, items: list[tuple[int, str]], min_share: float, k1: float = 1.2, b: float = 0.75) -> None:
+    Scores and passages rest on ``known``, the statistics of all shards' items; without it the items are all there are."""
+
+    def __init__(self, items: list[tuple[int, str]], min_share: float, k1: float = 1.2, b: float = 0.75, known: Statistics | None = None) -> None:
         hashed = [(i, t, _hashes(t)) for i, t in items]
         self.items = [(i, t, h) for i, t, h in hashed if len(h)]
         n = len(self.items)
         lengths = np.array([len(h) for _, _, h in self.items], float)
-        self.stride = int(max(32, lengths.max(initial=1)))
-        df = Counter(w for _, _, h in self.items for w in set(h.tolist()))
-        mean = lengths.mean() if n else 1.0
+        if known is None:
+            df = Counter(w for _, _, h in self.items for w in set(h.tolist()))
+            known = Statistics(n, lengths.mean() if n else 1.0, int(lengths.max(initial=1)), df)
+        self.stride, df = max(32, known.longest), known.df
         self.impact: list[dict[int, float]] = []
         self.threshold, self.rest = np.zeros(n), np.zeros(n)
         essential = []
         for k, (_, _, h) in enumerate(self.items):
-            norm = k1 * (1 - b + b * lengths[k] / mean)
-            own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in Counter(h.tolist()).items()}
+            norm = k1 * (1 - b + b * lengths[k] / known.mean)
+            own = {w: math.log(1 + (known.n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in Counter(h.tolist()).items()}
             self.impact.append(own)
             self.threshold[k] = min_share * sum(own.values()) * (1 - 1e-9)
             for w, x in sorted(own.items(), key=lambda p: (p[1], p[0])):
@@ -180,14 +194,48 @@ class Index:
         return [(d, k, *v) for (d, k), v in sorted(found.items())]
 
 
+def _measured(known: DataFrame) -> tuple[Statistics, DataFrame]:
+    """Statistics of all items (text, shard) but for df, and a table (shard, w, df) with the words of each shard."""
+
+    def lengths(batches):
+        for whole in batches:
+            for b in C.slices(whole, "text"):
+                n = np.diff(word_hashes(*C.text_bytes(b["text"]))[1])
+                yield C.batch("n long, total long, longest long", n=[int((n > 0).sum())], total=[int(n.sum())], longest=[int(n.max(initial=0))])
+
+    def words(batches):
+        for whole in batches:
+            for b in C.slices(whole, "text"):
+                h, o = word_hashes(*C.text_bytes(b["text"]))
+                row = C.row_of(o)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                yield C.batch("shard long, w long", shard=b["shard"].take(pa.array(row[new])), w=h[new].view(np.int64))
+
+    sums = known.select("text").mapInArrow(C.lean(lengths), "n long, total long, longest long").agg(F.sum("n"), F.sum("total"), F.max("longest")).first()
+    of_shard = known.select("text", "shard").mapInArrow(C.lean(words), "shard long, w long").groupBy("shard", "w").agg(F.count("*").alias("c"))
+    table = of_shard.select("shard", "w", F.sum("c").over(Window.partitionBy("w")).alias("df"))
+    n = sums[0] or 0
+    return Statistics(n, (sums[1] or 0) / n if n else 1.0, sums[2] or 1, {}), C.materialise(table, "item-words")
+
+
 def indexes(items: DataFrame, min_share: float, shard_words: int = 2_000_000):
-    """One index for each shard of the items, each of bounded size."""
+    """One index for each shard of the items, each of bounded size; how items are dealt changes no result."""
     known = items.filter("text IS NOT NULL")
-    words = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-words // (4 * shard_words)))  # four characters a word or more
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-size // (4 * shard_words)))  # four characters a word or more
+    known = known.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("long").alias("shard"))
+    whole, words = _measured(known) if shards > 1 else (None, None)
     for s in range(shards):
-        rows = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).select("item_id", "text").orderBy("item_id", "text").collect()
-        yield Index([(r[0], r[1]) for r in rows], min_share)
+        rows = known.filter(F.col("shard") == s).select("item_id", "text").orderBy("item_id", "text").collect()
+        if shards > 1:
+            t = words.filter(F.col("shard") == s).toArrow()
+            df = dict(zip(t["w"].to_numpy().view(np.uint64).tolist(), t["df"].to_pylist(), strict=True))
+            yield Index([(r[0], r[1]) for r in rows], min_share, known=replace(whole, df=df))
+        else:
+            yield Index([(r[0], r[1]) for r in rows], min_share)
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6) -> DataFrame:

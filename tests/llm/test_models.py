@@ -268,3 +268,21 @@ def test_index_shards(spark):
     found = [i for ix in decontaminate.indexes(bench, 0.5, shard_words=50) for i in ix.items]
     assert len(found) == 40
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(k, k) for k in range(40)}
+
+
+def test_shards_score_as_one_index(spark):
+    """Items of uneven length and words, near copies around the threshold: shards change nothing."""
+    rng = random.Random(9)
+    items = [(k, f"{prose(rng, rng.randint(3, 60) if k else 150, 300).capitalize()}. {prose(rng, 5, 300)}.") for k in range(60)] + [(k, t) for k, t in ((90, None), (91, "..."), (92, ""))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    near = lambda t, p: " ".join(w if rng.random() > p else "zz" for w in t.split())
+    texts = [f"{prose(rng, rng.randint(0, 200), 300)} {near(items[k % 60][1], rng.random() * 0.7)} {prose(rng, 90, 300)}" for k in range(200)]
+    h, o = decontaminate.word_hashes(*C.text_bytes(pa.array(texts)))
+
+    def found(shard_words):
+        shards = list(decontaminate.indexes(bench, 0.5, shard_words=shard_words))
+        return len(shards), len({ix.stride for ix in shards}), sorted((d, ix.items[k][0], *v) for ix in shards for d, k, *v in ix.search(h, o))
+
+    one, many = found(2_000_000), found(600)
+    assert one[0] == 1 and many[0] > 3 and many[1] == 1
+    assert one[2] == many[2] and len(one[2]) > 60
