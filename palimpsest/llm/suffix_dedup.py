@@ -4,13 +4,13 @@ Every byte that a ``length``-byte string covers which also starts earlier (small
 the same document at an earlier place) is removed; strings are judged on the input.
 
 The contexts that may hold repeated strings come from ``repeats`` in shards of about 0.5 MB.
-Each shard is indexed by its run-compressed Burrows-Wheeler transform: run heads, run
-starts, the LF value at each run's start, and suffix-array samples at run ends. Rows whose
-suffixes agree in their first ``length`` symbols form an interval; each interval keeps its
-earliest place in the corpus. Contexts are then streamed through the index, all in step:
-LF leads from a context's end symbol backwards to the row of each of its suffixes, and a
-window is removed when its interval has an earlier place (its longest match among earlier
-text is then at least ``length``).
+Each shard's whole suffix array is built; rows whose suffixes agree in their first ``length``
+symbols form an interval, and each interval keeps its earliest place in the corpus: that
+decides. The run-compressed Burrows-Wheeler transform (run heads, run starts, the LF value at
+each run's start) only finds the rows again: contexts are streamed, all in step, and LF leads
+from a context's end symbol backwards to the row of each of its suffixes; a window is removed
+when its interval has an earlier place. The samples at run ends are stored but not read, and
+no matching statistics are computed.
 
 Defined results: null text is empty; rows that share a doc_id are one document, their
 removals joined; a null doc_id sorts before all others; other columns are ignored; an empty
