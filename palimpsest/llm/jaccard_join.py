@@ -19,9 +19,10 @@ links with nothing). The operator finds all components without listing all pairs
 4. Rounds: in every column with several components, each document is offered the column's
    leader (first the document with the largest share of frequent shingles, the likely
    origin of copies; then a pseudo-random one) if that is of another component; it takes
-   the one that it meets in most columns. Overlap counts are products of the blocks' rows,
-   in numpy; pairs under the bound are discarded, the rest are links. Components are
-   contracted.
+   the one that it meets in most columns. Both whole sets are joined to each pair and intersected
+   in numpy, pair by pair (no product of blocks is formed: it would have an entry for
+   every pair of a group); pairs under the bound are discarded, the rest are links.
+   Components are contracted.
 5. Remainder: pairs of documents of *different* components that still meet in a column and
    were not tested are all tested. After the rounds these are few, and none are inside a
    group. So no link between different texts is lost.
@@ -226,7 +227,7 @@ def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link: overlaps by products of blocks of rows."""
+    """The pairs (a, b) whose sets link: both whole sets are joined to each pair and intersected."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
     both = pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "a_grams", "b_grams")
 
