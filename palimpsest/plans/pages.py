@@ -145,13 +145,17 @@ def extension_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of files that a stream reads until there are no more: the region table's rows as small files."""
+    """(page_id, page_index, n_chars, text_sha256) of all web pages, one file each, read by a stream in four micro-batches or more."""
+    from ..pipeline import write_text_files
     from ..streaming import ingest
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-stream-")
     import uuid
 
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    read(spark, sf_dir, "region").select(F.col("r_name").alias("value")).repartition(2).write.text(f"{base}/in")
-    out = ingest.ingest(spark, f"{base}/in", f"{base}/pages", f"{base}/checkpoint", "*.txt")
-    return out.select(F.explode(F.split(F.trim("text"), "\n")).alias("name")).filter("name <> ''")
+    raw = read(spark, sf_dir, "pages").select("page_id", "html")
+    named = raw.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    per_trigger = min(1000, max(1, -(-write_text_files(named, f"{base}/in").count() // 4)))
+    out = ingest.ingest(spark, f"{base}/in", f"{base}/pages", f"{base}/checkpoint", "*.html", per_trigger)
+    page_id = F.regexp_extract("path", r"(-?\d+)[.]html$", 1).cast("long").alias("page_id")
+    return out.select(page_id, F.col("page_index").cast("int").alias("page_index"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))

@@ -17,7 +17,7 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*", per_trigge
     return spark.readStream.format("binaryFile").schema(files.FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
-def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, pattern: str = "*") -> DataFrame:
+def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, pattern: str = "*", per_trigger: int = 1000) -> DataFrame:
     """Parse all files that have come since the last call and append their pages; returns the pages table.
 
     The trigger ends when everything that is there has been read; each file is read once over all calls."""
@@ -25,7 +25,7 @@ def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, patte
     def write(batch: DataFrame, _: int) -> None:
         reader.pages(files.detect(batch)).write.mode("append").parquet(output)
 
-    q = file_stream(spark, folder, pattern).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = file_stream(spark, folder, pattern, per_trigger).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(output)
 

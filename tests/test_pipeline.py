@@ -2,18 +2,20 @@
 
 import json
 import re
+from pathlib import Path
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import cli, dims, services, tools
+from palimpsest import catalogue, cli, dims, services, tools
 from palimpsest import config as settings
 from palimpsest.errors import ConfigError, MergeError
 from palimpsest.formats import formatter
 from palimpsest.formats import pages as formats
 from palimpsest.pipeline import Pipeline, write_text_files
+from palimpsest.sources import files, reader
 from palimpsest.streaming import ingest
 
 
@@ -207,6 +209,18 @@ def test_streams(spark, tmp_path):
     assert {(r.path, r.done) for r in ingest.completed_documents(p).collect()} == {("f", True), ("g", False)}
 
 
+def test_streaming_ingest_takes_all_pages(spark, sf_dir, monkeypatch):
+    """Every web page as a file, over several micro-batches, parsed as without a stream."""
+    real, checkpoints = ingest.ingest, []
+    monkeypatch.setattr(ingest, "ingest", lambda *args: checkpoints.append(args[3]) or real(*args))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["streaming_ingest"](spark, sf_dir).collect())
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    raw = raw.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("long").alias("length"), "content")
+    want = reader.pages(files.detect(raw)).select(F.regexp_extract("path", r"(\d+)[.]html", 1).cast("long"), "page_index", F.length("text"), F.sha2("text", 256))
+    assert got == sorted(tuple(r) for r in want.collect()) and len({r[0] for r in got}) == raw.count() >= 50
+    assert len([p for p in Path(checkpoints[0].removeprefix("file:"), "commits").iterdir() if p.name.isdigit()]) >= 4
+
+
 def test_tools(spark, folder, capsys):
     src, out = folder
     assert tools.formats(spark).count() == len(dims.ENDINGS) and tools.profiles(spark).count() == 8 and tools.languages(spark).count() == 53
