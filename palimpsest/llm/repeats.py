@@ -370,7 +370,7 @@ def decided(blobs: list[bytes], kind: Kind, parts: int):
             f = first.get(r[4])
             if f is None:
                 first[r[4]] = r
-            elif kind.same_document or r[1] != f[1]:
+            elif r[1:3] != f[1:3] and (kind.same_document or r[1] != f[1]):
                 removed.append((r[1], r[2], r[2] + r[3]))
         if len(first) > 1:
             keep = [r for r in group if first[r[4]][:3] == r[:3] or (not kind.same_document and r[1] == first[r[4]][1])]

@@ -218,6 +218,28 @@ def test_suffix_dedup(spark, length, hot):
     assert got == bytes_brute(rows, length)
 
 
+def joined_bytes_brute(rows, length):
+    """Rows that share a doc_id are one document: a place that is removed in one is removed in all."""
+    windows = [((-(2**63) if i is None else i, k), (t or "").encode()[k : k + length]) for i, t in rows for k in range(len((t or "").encode()) - length + 1)]
+    least = {}
+    for at, w in windows:
+        least[w] = min(least.get(w, at), at)
+    gone = defaultdict(set)
+    for (d, k), w in windows:
+        if least[w] < (d, k):
+            gone[d].update(range(k, k + length))
+    return [(i, sha(bytes(x for k, x in enumerate((t or "").encode()) if k not in gone[-(2**63) if i is None else i]))) for i, t in rows]
+
+
+def test_suffix_dedup_repeated_rows_and_null_ids(spark):
+    rng = random.Random(11)
+    shared = [prose(rng, 30) for _ in range(3)]
+    rows = [(k % 5, f"{rng.choice(shared)} {prose(rng, 9)} {rng.choice(shared)}") for k in range(12)] + [(7, shared[0])] * 3 + [(8, shared[0] + shared[0]), (9, shared[1] * 3)]
+    for extra in ([], [(None, shared[2])]):
+        got = suffix_dedup.remove_repeats(frame(spark, rows + extra), 30, hot_from=4).collect()
+        assert sorted(((r.doc_id, r.kept_sha256) for r in got), key=str) == sorted(joined_bytes_brute(rows + extra, 30), key=str)
+
+
 def test_removed_text_and_edges(spark):
     r = {x.doc_id: x for x in substring_dedup.remove_repeats(frame(spark, [(1, "a b c d e"), (2, "x a b c y"), (None, "a b c")]), 3).collect()}
     assert r[1].text == "d e" and r[2].text == "x y" and r[None].n_removed == 0
@@ -251,11 +273,35 @@ def test_run_length_index():
     rng = random.Random(5)
     for length in (3, 5, 8, 20):
         texts = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(0, 40))) for _ in range(30)]
-        ix = suffix_dedup.RunLengthIndex(texts, length)
+        ix = suffix_dedup.RunLengthIndex(texts)
         for p in [b"a", b"ab", b"\0\xff", *(t[2:7] for t in texts if len(t) > 8)]:
             assert ix.occurrences(p) == sum(t[k : k + len(p)] == p for t in texts for k in range(len(t) - len(p) + 1))
 
 
+def test_matching_statistics_by_the_run_length_index():
+    import numpy as np
+
+    rng = random.Random(6)
+    for alphabet, repeat in ((b"ab", 1), (b"abcd\0\xff", 1), (b"abcdefgh", 6)):
+        for _ in range(15):
+            base = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(6)]
+            texts = [b"".join(rng.choice(base) for _ in range(repeat)) for _ in range(8)] + [b""]
+            queries = [bytes(rng.choice(alphabet + b"z") for _ in range(rng.randint(0, 8))) + b"".join(rng.choice(base) for _ in range(2)) for _ in range(10)] + [b""]
+            want = [max((n for n in range(len(q) - k + 1) if any(q[k : k + n] in t for t in texts)), default=0) for q in queries for k in range(len(q))]
+            o = np.concatenate([[0], np.cumsum([len(q) for q in queries])])
+            assert suffix_dedup.RunLengthIndex(texts).matching_statistics(np.frombuffer(b"".join(queries), np.uint8), o).tolist() == want
+
+
+def test_decisions_rest_on_matching_statistics(monkeypatch, spark):
+    """Without statistics nothing is removed in texts whose contexts differ."""
+    rows = [(k, f"{k} " * 40 + "the passage that all of them share is here, and it is more than long enough for this " + f" {k}" * 40) for k in range(6)]
+    contexts = [(7, i, 0, len(t) - 19, t.encode()) for i, t in rows]
+    decide = suffix_dedup._decider(20)
+    assert {d for d, _, _ in decide([contexts])} == set(range(1, 6))
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "matching_statistics", lambda self, data, offsets: data * 0)
+    assert decide([contexts]) == []
+
+
 def test_blobs_round_trip():
     import numpy as np
 
