@@ -19,18 +19,25 @@ links with nothing). The operator finds all components without listing all pairs
 4. Rounds: in every column with several components, each document is offered the column's
    leader (first the document with the largest share of frequent shingles, the likely
    origin of copies; then a pseudo-random one) if that is of another component; it takes
-   the one that it meets in most columns. Both whole sets are joined to each pair and intersected
-   in numpy, pair by pair (no product of blocks is formed: it would have an entry for
-   every pair of a group); pairs under the bound are discarded, the rest are links.
-   Components are contracted.
+   the one that it meets in most columns. These offers are the mask of a sparse product: the
+   incidence rows of some leaders, transposed, are one block; the rows of the documents
+   offered to them stream past it, and overlap counts of the mask's entries add up over
+   blocks of columns (``overlaps``). After each block of columns the entries are discarded whose
+   count, with all that is left of the smaller set, stays under the bound. A leader with many
+   documents stands in several blocks. The mask is what keeps the product linear: the full
+   one has an entry for every pair of a group. What reaches the bound is a link;
+   components are contracted.
 5. Remainder: pairs of documents of *different* components that still meet in a column and
-   were not tested are all tested. After the rounds these are few, and none are inside a
-   group. So no link between different texts is lost.
+   were not tested are the last mask. After the rounds these are few, and none are inside a
+   group. So no link between different texts is lost. Columns with many holders are split, and
+   only sets of fitting sizes meet.
 
 Shingles are 64-bit hashes of the words' hashes. Defined results: null text has no words;
-rows that repeat a doc_id and its text each get the same answer (a doc_id names one text; if
-it stands on several, one of them is compared); a null doc_id is one document that sorts
-before all others; other columns are ignored; an empty table gives an empty table.
+rows that repeat a doc_id and its text each get the same answer; if a doc_id stands on several
+texts, that with the largest set (of equal ones, the largest fingerprint) is held against other
+documents, and each row is in the component of the smallest document with its set; a null
+doc_id is one document that sorts before all others; other columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -44,6 +51,9 @@ from . import common as C
 
 SHARE = 75
 _HOT_FROM, _HOT_MOST = 32, 1 << 17
+_COLUMN_BLOCKS = 8  # by the highest bits of a shingle's hash
+_BLOCK_ENTRIES, _LEADER_ENTRIES = 96, 512  # entries of the mask in a block on average, and of one leader at most
+_HOLDERS = 256  # of one column in one part of the last step
 _SETS = "doc_id long, n long, grams binary"
 
 
@@ -156,17 +166,22 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The whole sets (sorted hashes) of the chosen documents."""
+    """The whole sets (sorted hashes) of the chosen documents (doc_id, f1, f2, several rows?), each once."""
+    schema = _SETS + ", several boolean"
 
     def run(batches):
         for whole in batches:
             for b in C.slices(whole, "text"):
                 grams, o = shingles(*C.text_bytes(b["text"]))
-                raw = grams.view(np.uint8)
-                flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(raw)])
-                yield C.batch(_SETS, doc_id=C.ids_of(b["doc_id"]), n=np.diff(o), grams=flat)
+                f1, f2 = _fingerprints(grams, o)
+                take = pa.array((f1 == b["f1"].to_numpy()) & (f2 == b["f2"].to_numpy()))
+                flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(grams.view(np.uint8))])
+                yield C.batch(schema, doc_id=pa.array(C.ids_of(b["doc_id"])), n=pa.array(np.diff(o)), grams=flat, several=b["several"]).filter(take)
 
-    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(C.lean(run), _SETS)
+    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("doc_id", "text").join(chosen.hint("merge"), "doc_id")
+    sets = C.materialise(known.mapInArrow(C.lean(run), schema), "sets")
+    once, repeated = (sets.filter(x).select("doc_id", "n", "grams") for x in ("NOT several", "several"))
+    return once.union(repeated.dropDuplicates(["doc_id"]))  # equal rows of a repeated document
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -226,25 +241,98 @@ def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
     return sets.mapInArrow(C.lean(run), schema)
 
 
+def overlaps(leaders: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], row: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """The masked product of two sparse blocks: which of the entries (row, leader), distinct and in ascending order, reach the bound.
+
+    Blocks are (shingles, offsets of the sets). Counts add up over blocks of columns; after each one, entries that
+    cannot reach their bound any more are discarded."""
+    (cols, co), (grams, ro) = leaders, rows
+    n, m = np.diff(ro), np.diff(co)
+    need = -(-SHARE * (n[row] + m[leader]) // (100 + SHARE))
+    live = np.flatnonzero(need <= np.minimum(n[row], m[leader]))
+    by = np.argsort(cols, kind="stable")  # the leaders' block, transposed: columns with the leaders that hold them
+    cols, holder = cols[by], C.row_of(co)[by]
+    owner, part = C.row_of(ro), (grams >> np.uint64(61)).astype(np.int64)
+
+    def ahead(of, block, sets):
+        """Of each set: how many of its shingles are in each block of columns and those behind it."""
+        counts = np.bincount(of * _COLUMN_BLOCKS + block, minlength=sets * _COLUMN_BLOCKS).reshape(sets, _COLUMN_BLOCKS)
+        return np.column_stack([counts[:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros(sets, np.int64)])
+
+    row_left, leader_left = ahead(owner, part, len(n)), ahead(holder, (cols >> np.uint64(61)).astype(np.int64), len(m))
+    total = np.zeros(len(row), np.int64)
+    for k in range(_COLUMN_BLOCKS):
+        if not len(live):
+            break
+        asked = np.zeros(len(n), bool)
+        asked[row[live]] = True
+        mine = np.flatnonzero((part == k) & asked[owner])
+        lo, hi = np.searchsorted(cols, grams[mine], "left"), np.searchsorted(cols, grams[mine], "right")
+        times = hi - lo
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+        entry = np.repeat(owner[mine], times) * len(m) + holder[at]
+        mask = row[live] * len(m) + leader[live]
+        place = np.minimum(np.searchsorted(mask, entry), len(mask) - 1)
+        total[live] += np.bincount(place[mask[place] == entry], minlength=len(live))
+        live = live[total[live] + np.minimum(row_left[row[live], k + 1], leader_left[leader[live], k + 1]) >= need[live]]
+    return live
+
+
 def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link: both whole sets are joined to each pair and intersected."""
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
-    both = pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "a_grams", "b_grams")
+    """The pairs (a, b) whose sets link: the mask's entries ``b`` (leader) by ``a`` (document), block by block."""
+    size = pairs.count()
+    blocks = max(1, -(-size // _BLOCK_ENTRIES))
+    many = pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > _LEADER_ENTRIES)
+    # a leader of many documents is dealt to several blocks, by document
+    share = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("c") / _LEADER_ENTRIES), F.lit(1)))
+    mask = pairs.select("a", "b").join(many.hint("merge"), "b", "left").select("a", "b", F.pmod(F.xxhash64("b", share), F.lit(blocks)).alias("block"))
+    mask = C.materialise(mask, "product-mask")
+    of = lambda x: mask.select("block", F.col(x).alias("doc_id")).distinct().join(sets.hint("merge"), "doc_id")
+    none = F.lit(None)
+    records = (
+        of("b").select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("x"), none.cast("long").alias("y"), "grams")
+        .union(mask.select("block", F.lit(1), "a", "b", none.cast("binary")))
+        .union(of("a").select("block", F.lit(2), "doc_id", none.cast("long"), "grams"))
+    )
 
     def run(batches):
+        leaders, ids, entries = [], [], []  # of the block at hand
+        ready, now = None, None
         for whole in batches:
-            for x in C.slices(whole, "a_grams"):
-                (ga, oa), (gb, ob) = _rows(x["a_grams"]), _rows(x["b_grams"])
-                row = np.concatenate([C.row_of(oa), C.row_of(ob)])
-                gram = np.concatenate([ga, gb])
-                order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                met = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
-                overlap = np.bincount(row[1:][met], minlength=x.num_rows)
-                ok = 100 * overlap >= SHARE * (np.diff(oa) + np.diff(ob) - overlap)
-                yield C.batch("a long, b long", a=x["a"].filter(pa.array(ok)), b=x["b"].filter(pa.array(ok)))
-
-    return both.mapInArrow(C.lean(run), "a long, b long")
+            for x in C.slices(whole, "grams"):
+                block, kind = x["block"].to_numpy(), x["kind"].to_numpy()
+                edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+                for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if block[a] != now:
+                        now, leaders, ids, entries, ready = block[a], [], [], [], None
+                    some = x.slice(a, e - a)
+                    if kind[a] == 0:
+                        leaders.append(_rows(some["grams"]))
+                        ids.append(some["x"].to_numpy())
+                    elif kind[a] == 1:
+                        entries.append((some["x"].to_numpy(), some["y"].to_numpy()))
+                    else:
+                        if ready is None:
+                            who = np.concatenate(ids)
+                            flat = np.concatenate([g for g, _ in leaders]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in leaders]))])
+                            by = np.argsort(who)
+                            doc, lead = (np.concatenate(c) for c in zip(*entries, strict=True))
+                            lead = by[np.searchsorted(who[by], lead)]
+                            order = np.argsort(doc, kind="stable")
+                            ready = flat, who, doc[order], lead[order]
+                        flat, who, doc, lead = ready
+                        mine = some["x"].to_numpy()
+                        by = np.argsort(mine)
+                        lo, hi = np.searchsorted(doc, mine[by], "left"), np.searchsorted(doc, mine[by], "right")
+                        at = np.concatenate([np.arange(p, q) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)])
+                        row, column = np.repeat(by, hi - lo), lead[at]
+                        order = np.lexsort((column, row))
+                        row, column = row[order], column[order]
+                        live = overlaps(flat, _rows(some["grams"]), row, column)
+                        yield C.batch("a long, b long", a=mine[row[live]], b=who[column[live]])
+
+    parts = max(1, min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, blocks))
+    return records.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(C.lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,8 +373,11 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     classes = per_doc.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     met = seen.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("met"))
     enough = F.greatest(F.lit(1), F.floor(F.greatest(F.floor(F.col("n") / 8), F.lit(1)) * 3 / 4))
-    chosen = C.materialise(classes.join(met.hint("merge"), classes.rep == met.doc_id).filter(F.col("met") >= enough).select("doc_id"), "chosen")
-    sets = C.materialise(sets_of(docs, chosen), "sets")
+    # a document that stands on several texts goes on with its largest set
+    texts = per_doc.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x"), (F.count("*") > 1).alias("several")).select("doc_id", "x.*", "several")
+    chosen = classes.join(met.hint("merge"), classes.rep == met.doc_id).filter(F.col("met") >= enough).select("doc_id").distinct()
+    chosen = C.materialise(texts.join(chosen.hint("merge"), "doc_id", "left_semi").select("doc_id", "f1", "f2", "several"), "chosen")
+    sets = sets_of(docs, chosen)
     cols = columns_of(sets, frequent(sets, parts))
     shared = cols.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     cols = C.materialise(cols.join(shared.hint("merge"), "gram"), "columns")
@@ -302,12 +393,19 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
         if r < rounds:
             met = of.join(active.hint("merge"), "gram").filter((F.col("comp") != F.col("dc")) & may)
             best = met.groupBy("doc_id", "d").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("d")).alias("minus"), "d")).alias("x"))
-            pairs = best.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
+            pairs = best.select(F.col("doc_id").alias("a"), F.col("x.d").alias("b"))
         else:
-            mine = of.join(active.select("gram").hint("merge"), "gram")
-            other = mine.select("gram", F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("comp").alias("dc"))
-            pairs = mine.join(other.hint("merge"), "gram").filter((F.col("comp") < F.col("dc")) & may).select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti") if tested is not None else pairs
+            held = active.join(of.groupBy("gram").agg(F.count("*").alias("c")).hint("merge"), "gram").select("gram", F.ceil(F.col("c") / _HOLDERS).cast("int").alias("shares"))
+            # partners' sizes differ by a third at most, so by one step of sizes; columns with many holders are split by the one side
+            step = F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int")
+            mine = of.join(held.hint("merge"), "gram").withColumn("step", step)
+            other = mine.select("gram", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("comp").alias("dc"), "shares")
+            other = other.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+            mine = mine.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
+            pairs = mine.join(other.hint("merge"), ["gram", "step", "share"]).filter((F.col("comp") < F.col("dc")) & may).select(F.col("doc_id").alias("a"), F.col("d").alias("b")).distinct()
+            if tested is not None:
+                known = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                pairs = pairs.join(known.hint("merge"), ["a", "b"], "left_anti")
         pairs = C.materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         labels = contract(labels, links_among(pairs, sets))

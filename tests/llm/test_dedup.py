@@ -156,6 +156,58 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 100]
 
 
+def test_masked_product_of_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64)) for _ in range(4)]
+    sets = []
+    for k in range(40):
+        some = base[k % 4][rng.random(60) < 0.9]
+        sets.append(np.unique(np.concatenate([some, rng.integers(0, 2**64, rng.integers(0, 12), dtype=np.uint64)])))
+    block = lambda x: (np.concatenate(x), np.concatenate([[0], np.cumsum([len(y) for y in x])]))
+    leaders, rows = sets[:15], sets[15:]
+    mask = [(r, c) for r in range(len(rows)) for c in range(len(leaders)) if rng.random() < 0.6]
+    row, leader = (np.array(x) for x in zip(*mask, strict=True))
+    live = jaccard_join.overlaps(block(leaders), block(rows), row, leader)
+    both = lambda r, c: len(np.intersect1d(rows[r], leaders[c]))
+    want = [k for k, (r, c) in enumerate(mask) if 100 * both(r, c) >= 75 * (len(rows[r]) + len(leaders[c]) - both(r, c))]
+    assert live.tolist() == want and 10 < len(want) < len(mask) - 10
+
+
+def test_links_are_those_of_the_product(spark):
+    import numpy as np
+
+    rows = near_copies(5, 40)
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b], "a long, b long")
+    seen = jaccard_join.scan(frame(spark, rows), 3).filter("kind = 0").select("doc_id", "f1", "f2").withColumn("several", F.lit(False))
+    sets = jaccard_join.sets_of(frame(spark, rows), seen)
+    got = {(r.a, r.b) for r in jaccard_join.links_among(pairs, sets).collect()}
+    held = {r.doc_id: set(np.frombuffer(r.grams, np.uint64).tolist()) for r in sets.collect()}
+    assert got == {(a, b) for a in held for b in held if a != b and held[a] and 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])} and got
+
+
+def test_jaccard_hot_columns_and_leaders(spark, monkeypatch):
+    """A gram in a third of all documents, tables of frequent shingles of one entry, blocks and columns that must be split."""
+    monkeypatch.setattr(jaccard_join, "_HOT_MOST", 1)
+    monkeypatch.setattr(jaccard_join, "_LEADER_ENTRIES", 4)
+    monkeypatch.setattr(jaccard_join, "_HOLDERS", 3)
+    rng = random.Random(12)
+    rows = near_copies(4, 100) + [(500 + k, f"one passage that very many texts hold {prose(rng, rng.randint(0, 3), 9)}") for k in range(60)]
+    for rounds in (0, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(frame(spark, rows), rounds=rounds).collect()}
+        assert got == jaccard_brute(rows)
+
+
+def test_jaccard_document_on_several_texts(spark):
+    """The largest set speaks for the document; its other texts' rows are in the same component."""
+    long, other = [" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 40), ("b", 20))]
+    rows = [(1, other), (5, long), (5, other), (5, long), (7, long + " z"), (8, other + " z"), (9, other)]
+    for parts in (1, 5):
+        got = sorted(tuple(r) for r in jaccard_join.near_components(frame(spark, rows, parts)).collect())
+        assert got == [(1, 16, 1), (5, 16, 1), (5, 36, 5), (5, 36, 5), (7, 37, 5), (8, 17, 1), (9, 16, 1)]
+
+
 def test_chain_of_links(spark):
     """Links that form a path of many steps end in one component."""
     words = [f"w{k}" for k in range(400)]
