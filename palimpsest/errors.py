@@ -15,6 +15,10 @@ class EngineError(PipelineError):
         self.engine_name = engine_name
 
 
+class SizeError(PipelineError):
+    """A file of refused size."""
+
+
 class CheckpointError(PipelineError):
     """State that cannot be read or written."""
 

@@ -55,6 +55,13 @@ def chosen_blocks(blocks: DataFrame, page: list[str]) -> DataFrame:
     return ranked.join(best, [*page, "_rank"]).drop("_rank")
 
 
+def page_blocks(outputs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, blocks): of each page's outputs that have blocks, those of the engine first in block priority, then in configuration order."""
+    last = len(dims.BLOCK_PRIORITY)
+    rank = F.struct(dims.lookup({e: k for k, e in enumerate(dims.BLOCK_PRIORITY)}, F.col("engine"), F.lit(last)).alias("rank"), "ord")
+    return outputs.filter(F.col("error").isNull() & (F.size("blocks") > 0)).groupBy(*key).agg(F.min_by("blocks", rank).alias("blocks"))
+
+
 def alto_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whole numbers; width and height are never below 0."""
     whole = lambda v: v.cast("int")

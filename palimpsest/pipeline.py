@@ -25,10 +25,11 @@ from . import config as settings
 from . import dims, services
 from .config import Config
 from .formats import formatter
+from .formats.pages import BLOCKS
 from .functions import display
 from .functions import text as T
-from .operators import assemble, metadata, reconcile, state
-from .sources import files, reader
+from .operators import assemble, layout, metadata, reconcile, state
+from .sources import files, images, reader
 
 KEY = ["path", "page_index"]
 
@@ -55,7 +56,7 @@ class Pipeline:
                 raise
             return found
         finished = done.groupBy("path", "sha256").agg(F.bool_and(F.col("status").isin(state.DONE)).alias("ok")).filter("ok").select("path", "sha256")
-        return found.withColumn("sha256", F.sha2("content", 256)).join(finished, ["path", "sha256"], "left_anti").drop("sha256")
+        return found.withColumn("sha256", F.coalesce(F.sha2("content", 256), F.lit(""))).join(finished, ["path", "sha256"], "left_anti").drop("sha256")
 
     def pages(self, found: DataFrame) -> DataFrame:
         d = reader.pages(found, self.parsers, self.config.test_mode)
@@ -63,8 +64,8 @@ class Pipeline:
         return d.withColumn("status", status)
 
     def recognised(self, pages: DataFrame, found: DataFrame) -> DataFrame:
-        """One row for each pending page and engine. Pages are told apart by number; an image is the file's content."""
-        todo = pages.filter("status = 'pending'").select(*KEY).join(found.select("path", F.col("content").alias("image")), "path")
+        """One row for each pending page and engine."""
+        todo = images.of_pages(found, pages.filter("status = 'pending'").select(*KEY))
         return services.recognize(todo, self.engines, KEY, list(self.config.languages))
 
     def reconciled(self, outputs: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ class Pipeline:
         )
 
     def finished_pages(self, pages: DataFrame, merged: DataFrame | None) -> DataFrame:
-        empty = {"confidence": "double", "estimated_cost": "double", "engines_agreement": "double", "model": "string", "merge_strategy": "string"}
+        empty = {"confidence": "double", "estimated_cost": "double", "engines_agreement": "double", "model": "string", "merge_strategy": "string", "blocks": BLOCKS}
         d = pages
         if merged is None:
             d = d.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()}).withColumn("outputs", F.array().cast("array<struct<engine:string,text:string,error:string>>"))
@@ -131,7 +132,8 @@ class Pipeline:
             # calls are made once: their results are a table before anything reads them twice
             self.recognised(pages, found).write.mode("overwrite").parquet(f"{out}/outputs")
             outputs = self.spark.read.parquet(f"{out}/outputs")
-            self.reconciled(outputs).write.mode("overwrite").parquet(f"{out}/merged")
+            seen = layout.page_blocks(outputs, KEY)
+            self.reconciled(outputs).join(seen, KEY, "left").write.mode("overwrite").parquet(f"{out}/merged")
             merged = self.spark.read.parquet(f"{out}/merged")
         self.with_comments(self.finished_pages(pages, merged)).write.mode("append").parquet(f"{out}/pages")
         done = self.spark.read.parquet(f"{out}/pages")

@@ -14,16 +14,19 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .errors import ConfigError, MergeError
+from .formats.pages import BLOCKS
 
 
 class Recognizer(Protocol):
-    """Reads one page image."""
+    """Reads one page image: (text, confidence) or (text, confidence, blocks), see ``answers``."""
 
     engine_name: str
 
-    def recognize(self, image: bytes, page_index: int, languages: list[str]) -> tuple[str, float | None]: ...
+    def recognize(self, image: bytes, page_index: int, languages: list[str]) -> tuple: ...
 
     def health_check(self) -> bool: ...
 
@@ -101,10 +104,11 @@ def recognizers(names: list[str], factories: dict[str, Callable[[], Recognizer]]
 
 
 def recognize(pages: DataFrame, engines: list[Recognizer], key: list[str], languages: list[str] = ("en",), image: str = "image") -> DataFrame:
-    """One row for each (page, engine): text, error, confidence, retries, duration. Errors are values, not failures.
+    """One row for each (page, engine): text, error, confidence, retries, duration, blocks. Errors are values, not failures.
 
     Pages are dealt over all cores before the calls."""
-    schema = ", ".join(f"{n} {t}" for n, t in pages.select(*key).dtypes) + ", engine string, ord int, text string, error string, confidence double, retries int, duration_sec double"
+    schema = ", ".join(f"{n} {t}" for n, t in pages.select(*key).dtypes) + f", engine string, ord int, text string, error string, confidence double, retries int, duration_sec double, blocks {BLOCKS}"
+    shape = to_arrow_type(StructType.fromDDL(f"b {BLOCKS}")["b"].dataType)
 
     def run(batches):
         for b in batches:
@@ -114,15 +118,15 @@ def recognize(pages: DataFrame, engines: list[Recognizer], key: list[str], langu
             rows = []
             for k, img, i in zip(keys, images, index, strict=True):
                 for n, e in enumerate(engines):
-                    began, text, error, conf, again = time.perf_counter(), "", None, None, 0
+                    began, text, error, conf, again, blocks = time.perf_counter(), "", None, None, 0, ()
                     try:
-                        (text, conf), again = with_retry(lambda e=e, img=img, i=i: e.recognize(img, i, list(languages)))
+                        (text, conf, *blocks), again = with_retry(lambda e=e, img=img, i=i: e.recognize(img, i, list(languages)))
                     except Exception as x:
                         error = f"{type(x).__name__}: {x}"
-                    rows.append((*k, e.engine_name, n, text, error, conf, again, time.perf_counter() - began))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(key) + 7)
-            kinds = [b.schema.field(k).type for k in key] + [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*key, "engine", "ord", "text", "error", "confidence", "retries", "duration_sec"])
+                    rows.append((*k, e.engine_name, n, text, error, conf, again, time.perf_counter() - began, next(iter(blocks), None)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(key) + 8)
+            kinds = [b.schema.field(k).type for k in key] + [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), shape]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*key, "engine", "ord", "text", "error", "confidence", "retries", "duration_sec", "blocks"])
 
     cols = list(dict.fromkeys([*key, "page_index", image]))
     dealt = pages.select(*cols).repartition(pages.sparkSession.sparkContext.defaultParallelism * 2)

@@ -21,17 +21,21 @@ def size_verdict(megabytes: Column) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of all files below a folder, those of refused size left out."""
+    """(path, modificationTime, length, content) of all files below a folder; content is null for files of refused
+    size, whose bytes are never read (the condition on length is part of the scan)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         either = ",".join(sorted({e.lstrip(".") for e in extensions}))
         reader = reader.option("pathGlobFilter", f"*.{{{either}}}")
-    return reader.load(folder).filter(F.col("length") <= int(REFUSE_MB * 1048576))
+    found, most = reader.load(folder), int(REFUSE_MB * 1048576)
+    refused = found.filter(F.col("length") > most).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return found.filter(F.col("length") <= most).unionByName(refused)
 
 
 def listing(files: DataFrame) -> DataFrame:
-    """The dry run: distinct paths with their size, in order. Contents are not read."""
-    return files.select("path", F.round(F.col("length") / 1048576.0, 2).alias("size_mb")).distinct().orderBy("path")
+    """The dry run: distinct paths with their size and verdict, in order. Contents are not read."""
+    megabytes = F.col("length") / 1048576.0
+    return files.select("path", F.round(megabytes, 2).alias("size_mb"), size_verdict(megabytes).alias("verdict")).distinct().orderBy("path")
 
 
 def file_name(path: Column) -> Column:
@@ -47,12 +51,21 @@ def ending(path: Column) -> Column:
     return F.when(F.map_contains_key(known, two), two).otherwise(last)
 
 
+def zip_directory(content: Column) -> Column:
+    """The central directory of a zip file (the names of all members), as text; null if its end record is missing."""
+    # the end record is at most 65,557 bytes before the end: size and place of the directory follow its signature
+    tail = F.decode(F.substring(content, -65557, 65557), "ISO-8859-1")
+    record = F.encode(F.when(F.contains(tail, F.lit("PK\x05\x06")), F.substring_index(tail, "PK\x05\x06", -1)), "ISO-8859-1")
+    number = lambda at: F.conv(F.concat(*(F.hex(F.substring(record, at + k, 1)) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+    return F.decode(content.substr((number(13) + 1).cast("int"), number(9).cast("int")), "ISO-8859-1")
+
+
 def sniff(content: Column) -> Column:
-    """A format from the first bytes, or null."""
+    """A format from the first bytes (of a zip file also from its directory), or null."""
     head = F.substring(content, 1, 4096)
     starts = lambda h: F.hex(F.substring(head, 1, len(h) // 2)) == h
-    has = lambda s: F.position(F.lit(s), F.decode(head, "ISO-8859-1")) > 0
-    zipped = starts("504B0304")
+    names = F.when(starts("504B0304"), F.concat(F.decode(head, "ISO-8859-1"), F.coalesce(zip_directory(content), F.lit(""))))
+    has = lambda s: F.contains(names, F.lit(s))
     images = ["89504E470D0A1A0A", "FFD8FF", "49492A00", "4D4D002A", "47494638"]
     image = starts(images[0])
     for h in images[1:]:
@@ -60,7 +73,7 @@ def sniff(content: Column) -> Column:
     webp = starts("52494646") & (F.hex(F.substring(head, 9, 4)) == "57454250")
     return (
         F.when(starts("25504446"), "pdf").when(image | webp, "image")
-        .when(zipped & has("application/epub+zip"), "epub").when(zipped & has("word/"), "docx").when(zipped & has("xl/"), "excel").when(zipped & has("ppt/"), "pptx")
+        .when(has("application/epub+zip"), "epub").when(has("word/"), "docx").when(has("xl/"), "excel").when(has("ppt/"), "pptx")
         .when((F.length(head) > 0) & ~F.rlike(F.decode(head, "ISO-8859-1"), F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]")), "txt")
     )
 

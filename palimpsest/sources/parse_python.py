@@ -2,8 +2,7 @@
 
 Functions here run in Arrow batches on executors (``reader.pages``), with the standard
 library alone. Each returns (pages, metadata); a page is text, '' where recognisers must read
-it. Errors are raised and become the row's ``error``. XML is parsed without external or
-internal entities.
+it. Errors are raised and become the row's ``error``. XML that declares entities is refused.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ import csv
 import email
 import email.policy
 import gzip
-import html
 import io
 import json
 import lzma
@@ -23,13 +21,36 @@ import tarfile
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
+
+from . import latex, parse_text, pdf
 
 Parsed = tuple[list[str], dict]
 
 
-def xml_root(raw: bytes) -> ET.Element:
-    if b"<!ENTITY" in raw[:65536]:
+class _Root(Exception):
+    """The first element is reached: declarations are behind."""
+
+
+def refuse_entities(raw: bytes) -> None:
+    """Raises if the document type declares an entity, wherever and in whatever encoding; reads to the first element only."""
+
+    def declared(*_):
         raise ValueError("XML with entity declarations is refused")
+
+    def element(*_):
+        raise _Root
+
+    p = expat.ParserCreate()
+    p.EntityDeclHandler, p.StartElementHandler = declared, element
+    try:
+        p.Parse(raw, True)
+    except _Root:
+        pass
+
+
+def xml_root(raw: bytes) -> ET.Element:
+    refuse_entities(raw)
     return ET.fromstring(raw)
 
 
@@ -91,23 +112,35 @@ class PageText(HTMLParser):
         return "".join(self.parts).strip()
 
 
-def name_of(x) -> str:
-    if isinstance(x, list):
-        x = x[0] if x else ""
-    return str(x.get("name", "")) if isinstance(x, dict) else str(x) if isinstance(x, str) else ""
+# Where a JSON-LD object has what a document's metadata want, best place first; a dot steps into an
+# object (of a list, into its first).
+LINKED = {
+    "title": ["name", "headline", "title"],
+    "author": ["author.name", "author", "creator.name", "creator"],
+    "date": ["datePublished", "dateCreated"],
+    "description": ["description"],
+    "publisher": ["publisher.name", "publisher"],
+    "license": ["license"],
+    "open_access": ["isAccessibleForFree"],
+}
+
+
+def at_path(item, path: str) -> str:
+    """The value there as a string; '' if it is missing, empty or an object."""
+    for step in (*path.split("."), None):
+        while isinstance(item, list):
+            item = item[0] if item else None
+        if step is not None:
+            item = item.get(step) if isinstance(item, dict) else None
+    return "" if not item or isinstance(item, dict) else str(item)
 
 
 def linked_data(item: dict, meta: dict) -> None:
-    """Title, author, dates, publisher and rights of a JSON-LD object; what is there already stays."""
-    found = {
-        "title": next((str(item[k]) for k in ("name", "headline", "title") if item.get(k)), ""),
-        "author": name_of(item.get("author") or ""), "date": str(item.get("datePublished") or item.get("dateCreated") or ""),
-        "description": str(item.get("description") or ""), "publisher": name_of(item.get("publisher") or ""),
-        "license": str(item.get("license") or ""), "open_access": str(item.get("isAccessibleForFree") or ""),
-    }
-    for k, v in found.items():
-        if v:
-            meta.setdefault(k, v)
+    """Adds what a JSON-LD object says; what is there already stays."""
+    for field, paths in LINKED.items():
+        value = next((v for p in paths if (v := at_path(item, p))), "")
+        if value:
+            meta.setdefault(field, value)
 
 
 def first(meta: dict, *keys: str) -> str:
@@ -145,35 +178,16 @@ def parse_html(raw: bytes, name: str) -> Parsed:
 
 # LaTeX
 
-_COMMAND = re.compile(r"\\(?:[a-zA-Z]+|.)(?:\{[^}]*\})*")
-_BRACED = re.compile(r"\{((?:[^{}]|\{[^{}]*\})*)\}")
-
-
-def latex_plain(text: str) -> str:
-    """Commands become their last braced argument, or nothing; runs of blank lines and spaces shrink."""
-
-    def content(m: re.Match) -> str:
-        arguments = _BRACED.findall(m.group(0))
-        return arguments[-1] if arguments else ""
-
-    return re.sub(" {2,}", " ", re.sub(r"\n{3,}", "\n\n", _COMMAND.sub(content, text)))
-
-
 def parse_latex(raw: bytes, name: str) -> Parsed:
-    t = utf8(raw)
-
-    def argument(command: str) -> str:
-        m = re.search(rf"\\{command}\s*\{{(.+?)\}}(?<!\\)", t, re.S)
-        return m.group(1).strip().replace("{", "").replace("}", "") if m else ""
-
-    def environment(e: str) -> str | None:
-        m = re.search(rf"\\begin\{{{e}\}}(.+?)\\end\{{{e}\}}", t, re.S)
-        return m.group(1) if m else None
-
-    body = environment("document")
-    text = latex_plain(re.sub(r"(?m)(?<!\\)%.*$", "", t if body is None else body)).strip()
-    author, abstract = argument("author"), environment("abstract")
-    return [text], {"title": argument("title"), "authors": [author] if author else [], "date": argument("date"), "abstract": latex_plain(abstract.strip()) if abstract else "", "document_type": "preprint" if "arxiv" in name.lower() else "manuscript", "extraction_method": "latex-parsing"}
+    source = latex.tree(utf8(raw))
+    body, abstract = latex.environment(source, "document"), latex.environment(source, "abstract")
+    if abstract is None and body is not None:
+        abstract = latex.environment(body, "abstract")
+    author = latex.argument(source, "author")
+    return [latex.shown(source if body is None else body).strip()], {
+        "title": latex.argument(source, "title"), "authors": [author] if author else [], "date": latex.argument(source, "date"), "abstract": latex.shown(abstract or []).strip(),
+        "document_type": "preprint" if "arxiv" in name.lower() else "manuscript", "extraction_method": "latex-parsing",
+    }
 
 
 # Markdown, JSON, notebooks, tables
@@ -214,7 +228,7 @@ def walk_linked_data(x, meta: dict) -> None:
     if isinstance(x, dict):
         context = str(x.get("@context", ""))
         if "schema.org" in context or "jsonld" in context.lower():
-            linked_data({**x, "author": x.get("author") or x.get("creator")}, meta)
+            linked_data(x, meta)
         for v in x.values():
             walk_linked_data(v, meta)
     elif isinstance(x, list):
@@ -240,32 +254,34 @@ def parse_jsonl_records(raw: bytes, name: str) -> Parsed:
     return pages, {"document_type": "json", "extraction_method": "json-parsing"}
 
 
-def _joined(x) -> str:
-    return "".join(x) if isinstance(x, list) else str(x)
+def _lines(x) -> str:
+    """A notebook's text: one string, or the list of its lines."""
+    return "".join(map(str, x)) if isinstance(x, list) else str(x or "")
+
+
+def _fenced(text: str, language: str = "") -> str:
+    return f"```{language}\n{text.strip()}\n```" if text.strip() or language else ""
+
+
+#: What is shown of a code cell's outputs, and of cells, by kind; other kinds show nothing.
+OUTPUTS = {"stream": lambda o: _fenced(_lines(o.get("text"))), "execute_result": lambda o: _lines((o.get("data") or {}).get("text/plain"))}
+CELLS = {
+    "markdown": lambda c: [_lines(c.get("source")).strip()],
+    "raw": lambda c: [_lines(c.get("source"))],
+    "code": lambda c: [_fenced(_lines(c.get("source")), "python"), *(OUTPUTS.get(o.get("output_type"), lambda _: "")(o) for o in c.get("outputs") or [])],
+}
 
 
 def parse_notebook(raw: bytes, name: str) -> Parsed:
-    t = utf8(raw)
     try:
-        nb = json.loads(t)
+        book = json.loads(raw)
     except ValueError:
-        return [t], {}
-    m, parts = nb.get("metadata", {}), []
-    for cell in nb.get("cells", []):
-        source, kind = _joined(cell.get("source", [])), cell.get("cell_type", "")
-        if kind == "markdown":
-            parts.append(source.strip())
-        elif kind == "raw":
-            parts.append(source)
-        elif kind == "code":
-            parts.append(f"```python\n{source.strip()}\n```")
-            for out in cell.get("outputs", []):
-                if out.get("output_type") == "stream" and _joined(out.get("text", [])).strip():
-                    parts.append(f"```\n{_joined(out['text']).strip()}\n```")
-                elif out.get("output_type") == "execute_result":
-                    parts.append(_joined(out.get("data", {}).get("text/plain", [])))
-    authors = m.get("authors") or []
-    return ["\n\n".join(p for p in parts if p)], {"title": str(m.get("title") or ""), "authors": [", ".join(map(str, authors))] if authors else [], "language": str(m.get("language_info", {}).get("name") or ""), "document_type": "notebook", "extraction_method": "notebook-parsing"}
+        return [utf8(raw)], {}
+    about = book.get("metadata") or {}
+    shown = [part for cell in book.get("cells") or [] for part in CELLS.get(cell.get("cell_type"), lambda _: [])(cell) if part]
+    people = ", ".join(map(str, about.get("authors") or []))
+    language = at_path(about, "language_info.name")
+    return ["\n\n".join(shown)], {"title": at_path(about, "title"), "authors": [people] if people else [], "language": language, "document_type": "notebook", "extraction_method": "notebook-parsing"}
 
 
 def table(rows: list[list[str]], width: int) -> str:
@@ -286,13 +302,19 @@ def decoded(raw: bytes) -> str:
             return utf8(raw)
 
 
-def parse_csv(raw: bytes, name: str) -> Parsed:
+def parse_txt(raw: bytes, name: str) -> Parsed:
+    """A text file in an encoding that has to be found."""
     t = decoded(raw)
-    lines = t.splitlines()
-    head = next((x for x in lines if x.strip()), "")
+    return [t[: parse_text.TXT_CAP] + parse_text.TXT_NOTE if len(raw) > parse_text.TXT_CAP else t], {"extraction_method": "none"}
+
+
+def parse_csv(raw: bytes, name: str) -> Parsed:
+    """The rows as a Markdown table; a line break in a quoted cell becomes a space."""
+    t = decoded(raw).removeprefix("\ufeff")
+    head = next((x for x in t.splitlines() if x.strip()), "")
     plain = re.sub(r'"[^"]*"', "", head)
     delimiter = "\t" if name.lower().endswith((".tsv", ".tab")) else max(",;\t|", key=plain.count)
-    rows = list(csv.reader(lines, delimiter=delimiter))
+    rows = [[re.sub(r"\r\n|\r|\n", " ", cell) for cell in row] for row in csv.reader(io.StringIO(t, newline=""), delimiter=delimiter)]
     return [table(rows, len(rows[0])) if rows else ""], {}
 
 
@@ -463,10 +485,14 @@ def parse_pages(raw: bytes, name: str) -> Parsed:
 _IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tiff", ".tif")
 
 
+def image_names(z: zipfile.ZipFile) -> list[str]:
+    return sorted(n for n in z.namelist() if n.lower().endswith(_IMAGES))
+
+
 def parse_comic(raw: bytes, name: str) -> Parsed:
     """Images in order; each is a page for the recognisers. cbr needs an outside reader."""
     with members(raw) as z:
-        images = sorted(n for n in z.namelist() if n.lower().endswith(_IMAGES))
+        images = image_names(z)
     return [""] * max(len(images), 1), {"title": name.rsplit(".", 1)[0], "document_type": "comic", "extraction_method": "comic-archive", "extra": {"image_count": str(len(images))}}
 
 
@@ -704,28 +730,25 @@ def parse_gis(raw: bytes, name: str) -> Parsed:
     return ["\n".join(lines)], {"title": name.rsplit(".", 1)[0], "document_type": "gis-data", "extraction_method": "gis-parsing", "extra": {"feature_count": str(data.get("feature_count", 0))}}
 
 
-def tiff_frames(raw: bytes) -> int:
+def tiff_directories(raw: bytes) -> list[int]:
+    """Where the directories of a TIFF's frames are: a chain; one that leads back ends there."""
     order = "<" if raw[:2] == b"II" else ">"
-    at, n = struct.unpack(order + "I", raw[4:8])[0], 0
-    while at and at + 2 <= len(raw) and n < 100_000:
-        n += 1
+    at, found = struct.unpack(order + "I", raw[4:8])[0], {}
+    while at and at + 2 <= len(raw) and at not in found:
+        found[at] = None
         entries = struct.unpack(order + "H", raw[at : at + 2])[0]
         end = at + 2 + 12 * entries
         at = struct.unpack(order + "I", raw[end : end + 4])[0] if end + 4 <= len(raw) else 0
-    return max(n, 1)
+    return list(found)
 
 
 def parse_image(raw: bytes, name: str) -> Parsed:
     """One page, or one for each frame of a TIFF; the text is for the recognisers."""
-    return [""] * (tiff_frames(raw) if raw[:4] in (b"II*\0", b"MM\0*") else 1), {"extraction_method": "none"}
-
-
-def unescape(t: str) -> str:
-    return html.unescape(t)
+    return [""] * (max(len(tiff_directories(raw)), 1) if raw[:4] in (b"II*\0", b"MM\0*") else 1), {"extraction_method": "none"}
 
 
 PARSERS = {
-    "html": parse_html, "latex": parse_latex, "markdown": parse_markdown, "json": parse_json, "notebook": parse_notebook, "csv": parse_csv, "docx": parse_docx, "excel": parse_excel, "pptx": parse_pptx,
+    "pdf": pdf.parse_pdf, "txt": parse_txt, "html": parse_html, "latex": parse_latex, "markdown": parse_markdown, "json": parse_json, "notebook": parse_notebook, "csv": parse_csv, "docx": parse_docx, "excel": parse_excel, "pptx": parse_pptx,
     "odt": parse_odt, "epub": parse_epub, "pages": parse_pages, "comic": parse_comic, "archive": parse_archive, "tei": parse_tei, "fb2": parse_fb2, "svg": parse_svg, "email": parse_email, "marc": parse_marc,
     "rtf": parse_rtf, "gis": parse_gis, "image": parse_image,
 }

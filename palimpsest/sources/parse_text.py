@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Characters kept of a text file of more bytes, and what is said then.
 TXT_CAP = 100 * 1024 * 1024
-TXT_NOTE = "\n\n[... truncated: file exceeds 100 MB]"
+TXT_NOTE = "\n\n[truncated at 100 MB]"
 
 
 def decode(content: Column) -> Column:
@@ -17,8 +18,10 @@ def decode(content: Column) -> Column:
 
 
 def plain_text(content: Column) -> Column:
+    """A text file in UTF-8; null if it is in another encoding, which a parser has to find."""
+    text = decode(content)
     long = F.length(content) > TXT_CAP
-    return F.when(long, F.concat(decode(F.substring(content, 1, TXT_CAP)), F.lit(TXT_NOTE))).otherwise(decode(content))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.when(long, F.concat(F.substring(text, 1, TXT_CAP), F.lit(TXT_NOTE))).otherwise(text))
 
 
 def strip_tags(html: Column) -> Column:
@@ -33,20 +36,6 @@ def html_title(html: Column) -> Column:
     return T.ptrim(raw)
 
 
-def markdown_comment(text: Column) -> Column:
-    """The map of ``<!-- doc: k: v | k: v -->`` at the start of a text."""
-    body = F.regexp_extract(text, r"\A<!--\s*doc:([^\n]*?)-->", 1)
-    pairs = F.filter(F.transform(F.split(body, r"\|"), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit(":")))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(p, r"(?s)\A[^:]*:(.*)\z", 1)).alias("v"))))
-
-
-def markdown_body(text: Column) -> Column:
-    """Frontmatter and comments cut off."""
-    closed = F.rlike(text, F.lit(r"(?s)\A---[ \t\r\f\x0b]*\n.*?(?m:^---\s*$)"))
-    rest = F.regexp_replace(text, r"(?s)\A---[ \t\r\f\x0b]*\n.*?(?m:^---\s*$)", "")
-    return T.ptrim(T.strip_comments(F.when(closed, rest).otherwise(text)))
-
-
 def srt(text: Column) -> Column:
     """One line a cue: numbers and times dropped (and lines of digits alone)."""
     keep = lambda x: ~F.rlike(x, F.lit(r"\A\d+\z")) & ~F.rlike(x, F.lit(r"\A\d{2}:\d{2}:\d{2}[,.]\d{3}\s*-->")) & (x != "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SizeError
 from ..functions import display
 from . import files as _files
 from . import parse_text
@@ -19,10 +20,8 @@ META = (
 )
 PAGES = f"path string, format string, sha256 string, page_index int, page_label string, text string, page_count int, error string, metadata {META}"
 _TEXT = ("title", "date", "language", "publisher", "document_type", "doi", "isbn", "abstract", "extraction_method")
-#: Formats whose text columns express; the others need a parser.
-NATIVE = ("txt", "subtitle", "dxf")
 #: Formats that an outside program must read; a function (bytes, name) -> (pages, metadata) can be given for each.
-EXTERNAL = ("pdf", "djvu", "ebook", "media")
+EXTERNAL = ("djvu", "ebook", "media")
 
 
 def _record(meta: dict) -> dict:
@@ -31,52 +30,71 @@ def _record(meta: dict) -> dict:
     return strings | lists | {"extra": [(str(k), str(v)) for k, v in (meta.get("extra") or {}).items()]}
 
 
+def bound_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Arrow batches by size, unless the session says otherwise: a batch of whole files may not be 10,000 of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 def parsed_pages(found: DataFrame, extra: dict[str, Callable] | None = None) -> DataFrame:
-    """Pages of files (path, format, content) by parsers, in Arrow batches; a file that fails is one row with its error."""
+    """Pages of files (path, format, content[, text]) by parsers, in Arrow batches.
+
+    ``text``, where it is not null, is the only page already. A file that fails is one row with its error,
+    and so is one without content (``files.scan`` leaves it out of files of refused size)."""
+    bound_batches(found.sparkSession)
     parsers = PARSERS | (extra or {})
-    d = found.select("path", "format", F.sha2("content", 256).alias("sha256"), "content")
+    given = F.col("text") if "text" in found.columns else F.lit(None).cast("string")
+    # one pass over the bytes: what needs no parser leaves them behind
+    d = found.select("path", "format", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"), F.when(given.isNull(), F.col("content")).alias("content"), given.alias("text"))
     schema = f"path string, format string, sha256 string, page_index int, text string, page_count int, error string, metadata {META}"
     text = pa.string()
     arrow = pa.struct([*((k, text) for k in ("title",)), ("authors", pa.list_(text)), *((k, text) for k in ("date", "language", "publisher", "document_type", "doi", "isbn", "abstract")), ("keywords", pa.list_(text)), ("extraction_method", text), ("extra", pa.map_(text, text))])
+    kinds = pa.schema([("path", text), ("format", text), ("sha256", text), ("page_index", pa.int32()), ("text", text), ("page_count", pa.int32()), ("error", text), ("metadata", arrow)])
+
+    def of_file(path, kind, content, only) -> tuple[list[str], dict, str | None]:
+        if only is not None:
+            sub = kind == "subtitle"
+            return [only], {"document_type": kind if sub else "", "extraction_method": "subtitle-parsing" if sub else "none"}, None
+        try:
+            if content is None:
+                raise SizeError("too large to be read")
+            if kind not in parsers:
+                raise ValueError(f"no reader for {kind} is given")
+            return *parsers[kind](content, path.rsplit("/", 1)[-1]), None
+        except Exception as e:
+            return [], {}, f"{type(e).__name__}: {e}"
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
-            for path, kind, sha, content in zip(*(b[c].to_pylist() for c in ("path", "format", "sha256", "content")), strict=True):
-                name = path.rsplit("/", 1)[-1]
-                try:
-                    if kind not in parsers:
-                        raise ValueError(f"no reader for {kind} is given")
-                    pages, meta = parsers[kind](content, name)
-                    error = None
-                except Exception as e:
-                    pages, meta, error = [], {}, f"{type(e).__name__}: {e}"
-                n = len(pages)
-                rows = [(k, t) for k, t in enumerate(pages)] or [(0, None)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(rows)), pa.array([kind] * len(rows)), pa.array([sha] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([t for _, t in rows], text),
-                     pa.array([n] * len(rows), pa.int32()), pa.array([error] * len(rows), text), pa.array([_record(meta)] * len(rows), arrow)],
-                    names=["path", "format", "sha256", "page_index", "text", "page_count", "error", "metadata"],
-                )
+            for path, kind, sha, content, only in zip(*(b[c] for c in ("path", "format", "sha256", "content", "text")), strict=True):
+                path, kind, sha = path.as_py(), kind.as_py(), sha.as_py()
+                pages, meta, error = of_file(path, kind, content.as_py(), only.as_py())
+                record = _record(meta)
+                for k, t in enumerate(pages or [None]):
+                    rows.append((path, kind, sha, k, t, len(pages), error, record))
+                    size += len(t or "") + 500
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     return d.mapInArrow(run, schema).withColumn("page_label", display.page_label(F.col("page_index")))
 
 
-def native_pages(found: DataFrame) -> DataFrame:
-    """Pages of formats that columns express."""
-    t = parse_text.decode(F.col("content"))
-    text = F.when(F.col("format") == "subtitle", parse_text.subtitles(t, F.col("ext"))).when(F.col("format") == "dxf", parse_text.dxf(t)).otherwise(parse_text.plain_text(F.col("content")))
-    kind = F.when(F.col("format") == "subtitle", "subtitle").otherwise("")
-    empty = {k: F.lit("") for k in _TEXT} | {"document_type": kind, "extraction_method": F.when(F.col("format") == "subtitle", "subtitle-parsing").otherwise("none")}
-    none = F.array().cast("array<string>")
-    fields = [empty["title"].alias("title"), none.alias("authors"), *(empty[k].alias(k) for k in ("date", "language", "publisher", "document_type", "doi", "isbn", "abstract")), none.alias("keywords"), empty["extraction_method"].alias("extraction_method"), F.create_map().cast("map<string,string>").alias("extra")]
-    return found.select("path", "format", F.sha2("content", 256).alias("sha256"), F.lit(0).alias("page_index"), display.page_label(F.lit(0)).alias("page_label"), text.alias("text"), F.lit(1).alias("page_count"), F.lit(None).cast("string").alias("error"), F.struct(*fields).cast(META).alias("metadata"))
+def native_text(found: DataFrame) -> Column:
+    """The text of formats that columns express; null for others and for files without content."""
+    content = F.col("content")
+    t = parse_text.decode(content)
+    text = F.when(F.col("format") == "subtitle", parse_text.subtitles(t, F.col("ext"))).when(F.col("format") == "dxf", parse_text.dxf(t)).when(F.col("format") == "txt", parse_text.plain_text(content))
+    return F.when(content.isNotNull(), text)
 
 
 def pages(found: DataFrame, extra: dict[str, Callable] | None = None, test_mode: bool = False) -> DataFrame:
-    """Pages of detected files (``files.detect``): both ways, by format. ``test_mode``: three pages a file."""
-    native = native_pages(found.filter(F.col("format").isin(*NATIVE)))
-    parsed = parsed_pages(found.filter(~F.coalesce(F.col("format"), F.lit("")).isin(*NATIVE)), extra)
-    out = native.unionByName(parsed)
+    """Pages of detected files (``files.detect``), in one pass over them. ``test_mode``: three pages a file."""
+    out = parsed_pages(found.withColumn("text", native_text(found)), extra)
     return out.filter("page_index < 3") if test_mode else out
 
 

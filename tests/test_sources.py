@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.sources import files, parse_text, reader
+from palimpsest.sources import files, latex, parse_text, reader
 from palimpsest.sources import parse_python as P
 
 
@@ -50,7 +50,12 @@ def test_latex():
     pages, m = text_of("latex", src, "arxiv1.tex")
     assert (m["title"], m["authors"], m["abstract"], m["document_type"]) == ("The Big One", ["A. B."], "An abstract.", "preprint")
     assert "world" in pages[0] and "gone" not in pages[0] and "\\textbf" not in pages[0] and "S" in pages[0]
-    assert P.latex_plain(r"\frac{a}{b}") == "b"
+    assert latex.shown(latex.tree(r"\frac{a}{b}")) == "b"
+    nested = r"\title{On {\em nested {deep {groups}}} \& signs}\author[x]{A {B}}\begin{document}\section*{S} a\\b \unknown c {d} 5\% % gone {" + "\n" + r"\begin{abstract}In \emph{it}\end{abstract}\end{document} after"
+    pages, m = text_of("latex", nested, "a.tex")
+    assert (m["title"], m["authors"], m["abstract"]) == ("On nested deep groups & signs", ["A B"], "In it")
+    assert pages == ["S a\nb c d 5% \nIn it"]
+    assert text_of("latex", "{" * 5000 + "x" + "}" * 5001 + r"\textbf{", "a.tex")[0] == ["x"]
 
 
 def test_markdown():
@@ -80,6 +85,7 @@ def test_tables():
     assert text_of("csv", "a\tb\n1\t2\n", "a.tsv")[0] == ["| a | b |\n| --- | --- |\n| 1 | 2 |"]
     assert text_of("csv", b"n\xe4me,x\n1,2\n", "a.csv")[0][0].startswith("| n")
     assert text_of("csv", "", "a.csv")[0] == [""]
+    assert text_of("csv", 'a,b\r\n"x\r\ny","p ""q"", r"\r\n', "a.csv")[0] == ['| a | b |\n| --- | --- |\n| x y | p "q", r |']
     wb = '<workbook xmlns:r="r"><sheets><sheet name="S1" r:id="i1"/><sheet name="S2" r:id="i2"/></sheets></workbook>'
     rels = '<Relationships><Relationship Id="i1" Target="worksheets/s1.xml"/><Relationship Id="i2" Target="/xl/worksheets/s2.xml"/></Relationships>'
     s1 = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="B2"><v>1.5</v></c><c r="C2" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
@@ -127,8 +133,10 @@ def test_xml():
     svg = '<svg xmlns="http://www.w3.org/2000/svg"><title>T</title><text>a<tspan>b</tspan> c</text></svg>'
     assert text_of("svg", svg, "a.svg") == (["a c\nb"], {"title": "T", "document_type": "vector-graphic", "extraction_method": "svg-parsing"})
     assert text_of("svg", gzip.compress(svg.encode()), "a.svgz")[0] == ["a c\nb"]
-    with pytest.raises(ValueError):
-        text_of("tei", '<!DOCTYPE x [<!ENTITY e "boom">]><x>&e;</x>', "a.tei")
+    bomb = '<!DOCTYPE x [<!ENTITY e "boom">]><x>&e;</x>'
+    for raw in (bomb, "<!--" + "c" * 70_000 + "-->" + bomb, '<?xml version="1.0" encoding="UTF-16"?>'.encode("utf-16") + bomb.encode("utf-16-le"), '<!DOCTYPE x [<!ENTITY % p "q">]><x/>'):
+        with pytest.raises(ValueError, match="entity"):
+            text_of("tei", raw, "a.tei")
 
 
 def test_mail_and_records():
@@ -191,9 +199,6 @@ def test_native_formats(spark):
     assert one(spark, parse_text.vtt(F.col("x")), vtt) == "Hi\nyou"
     dxf = "0\nSECTION\n2\nHEADER\n1\nno\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n0\nTEXT\n8\nlayer\n1\nfirst\n0\nLINE\n1\nno\n0\nMTEXT\n1\nsecond\n0\nENDSEC\n0\nSECTION\n1\nno\n0\nEOF\n"
     assert one(spark, parse_text.dxf(F.col("x")), dxf) == "first\n\nsecond"
-    assert one(spark, parse_text.markdown_body(F.col("x")), "---\na: b\n---\ntext <!-- c\nd --> end ") == "text  end"
-    assert one(spark, parse_text.markdown_body(F.col("x")), "--- no\ntext") == "--- no\ntext"
-    assert one(spark, parse_text.markdown_comment(F.col("x")), "<!-- doc: title: A: B | author: C | junk -->x") == {"title": "A: B", "author": "C"}
     assert one(spark, parse_text.strip_tags(F.col("x")), "<p>a<br>b</p>\n\n c") == "a b c"
     assert one(spark, parse_text.json_first_valid(F.col("x")), '{bad\n{"a": 1}\n{}') == '{"a": 1}'
     g = '{"type": "FeatureCollection", "features": [{"geometry": {"type": "Point"}, "properties": {"b": 1}}, {"properties": {"a": 1}}]}'
@@ -238,7 +243,7 @@ def test_read_folder(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in reader.read_folder(spark, str(tmp_path), ["txt", ".srt", "html", "pdf"]).collect()}
     assert set(got) == {"a.txt", "b.srt", "c.html", "d.pdf"}
     assert got["a.txt"].text == "hello\fworld" and got["b.srt"].text == "Hi" and got["c.html"].metadata.title == "T"
-    assert got["d.pdf"].error == "ValueError: no reader for pdf is given"
+    assert got["d.pdf"].error == "ValueError: the PDF file has no pages"
     more = reader.read_folder(spark, str(tmp_path), ["pdf"], {"pdf": lambda raw, name: (["p1", "p2", "p3", "p4"], {"title": name})}, test_mode=True).collect()
     assert sorted(r.page_label for r in more) == ["page_0001", "page_0002", "page_0003"] and more[0].page_count == 4
     s = reader.sidecars(spark, str(tmp_path)).first()
