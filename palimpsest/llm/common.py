@@ -100,6 +100,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """As ``materialise``, as a table in buckets by ``column``: joins on it shuffle only their other side."""
+    spark, table = df.sparkSession, f"palimpsest_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", scratch(spark, name)).saveAsTable(table)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session may be gone already when the driver ends
+            pass
+
+    atexit.register(drop)
+    return spark.table(table)
+
+
 def part_count(df: DataFrame, bytes_per_part: int = 48 << 20) -> int:
     """Partitions for an exchange: the session's setting, or more if the input's size asks for it."""
     spark = df.sparkSession

@@ -165,23 +165,30 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
     return C.exchange(blobs, parts, count, schema)
 
 
-def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The whole sets (sorted hashes) of the chosen documents (doc_id, f1, f2, several rows?), each once."""
-    schema = _SETS + ", several boolean"
+def sets_of(docs: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
+    """The whole sets (sorted hashes) of the chosen documents (doc_id, f1, f2), each once: a table in buckets by doc_id,
+    so that no join by document moves them again."""
 
     def run(batches):
+        last = None
         for whole in batches:
             for b in C.slices(whole, "text"):
+                ids = C.ids_of(b["doc_id"])
                 grams, o = shingles(*C.text_bytes(b["text"]))
                 f1, f2 = _fingerprints(grams, o)
-                take = pa.array((f1 == b["f1"].to_numpy()) & (f2 == b["f2"].to_numpy()))
+                take = (f1 == b["f1"].to_numpy()) & (f2 == b["f2"].to_numpy())
+                # rows come in order of doc_id: of equal rows of a document the first stays
+                mine = np.flatnonzero(take)
+                if len(mine):
+                    take[mine[1:][ids[mine[1:]] == ids[mine[:-1]]]] = False
+                    take[mine[0]] &= last is None or ids[mine[0]] != last
+                    last = ids[mine[-1]]
                 flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(grams.view(np.uint8))])
-                yield C.batch(schema, doc_id=pa.array(C.ids_of(b["doc_id"])), n=pa.array(np.diff(o)), grams=flat, several=b["several"]).filter(take)
+                yield C.batch(_SETS, doc_id=ids, n=np.diff(o), grams=flat).filter(pa.array(take))
 
-    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("doc_id", "text").join(chosen.hint("merge"), "doc_id")
-    sets = C.materialise(known.mapInArrow(C.lean(run), schema), "sets")
-    once, repeated = (sets.filter(x).select("doc_id", "n", "grams") for x in ("NOT several", "several"))
-    return once.union(repeated.dropDuplicates(["doc_id"]))  # equal rows of a repeated document
+    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("doc_id", "text").join(chosen, "doc_id")
+    placed = known.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    return C.bucketed(placed.mapInArrow(C.lean(run), _SETS), "doc_id", parts, "sets")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +294,7 @@ def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     share = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("c") / _LEADER_ENTRIES), F.lit(1)))
     mask = pairs.select("a", "b").join(many.hint("merge"), "b", "left").select("a", "b", F.pmod(F.xxhash64("b", share), F.lit(blocks)).alias("block"))
     mask = C.materialise(mask, "product-mask")
-    of = lambda x: mask.select("block", F.col(x).alias("doc_id")).distinct().join(sets.hint("merge"), "doc_id")
+    of = lambda x: mask.select("block", F.col(x).alias("doc_id")).distinct().join(sets, "doc_id")
     none = F.lit(None)
     records = (
         of("b").select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("x"), none.cast("long").alias("y"), "grams")
@@ -331,8 +338,7 @@ def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         live = overlaps(flat, _rows(some["grams"]), row, column)
                         yield C.batch("a long, b long", a=mine[row[live]], b=who[column[live]])
 
-    parts = max(1, min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, blocks))
-    return records.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(C.lean(run), "a long, b long")
+    return records.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(C.lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -374,10 +380,10 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     met = seen.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("met"))
     enough = F.greatest(F.lit(1), F.floor(F.greatest(F.floor(F.col("n") / 8), F.lit(1)) * 3 / 4))
     # a document that stands on several texts goes on with its largest set
-    texts = per_doc.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x"), (F.count("*") > 1).alias("several")).select("doc_id", "x.*", "several")
+    texts = per_doc.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x")).select("doc_id", "x.*")
     chosen = classes.join(met.hint("merge"), classes.rep == met.doc_id).filter(F.col("met") >= enough).select("doc_id").distinct()
-    chosen = C.materialise(texts.join(chosen.hint("merge"), "doc_id", "left_semi").select("doc_id", "f1", "f2", "several"), "chosen")
-    sets = sets_of(docs, chosen)
+    chosen = C.materialise(texts.join(chosen.hint("merge"), "doc_id", "left_semi").select("doc_id", "f1", "f2"), "chosen")
+    sets = sets_of(docs, chosen, parts)
     cols = columns_of(sets, frequent(sets, parts))
     shared = cols.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     cols = C.materialise(cols.join(shared.hint("merge"), "gram"), "columns")
