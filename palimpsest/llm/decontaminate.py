@@ -1,35 +1,42 @@
 """Benchmark decontamination: BM25 index of the test items, block-max WAND, overlap check.
 
-The index is inverted over test items; each passage of a training document is a query. A
-passage is a window of twice the longest item's length that moves by half of it, so every
-copy of an item lies wholly in some passage. An item is retrieved when its BM25 score
-reaches ``min_share`` of the score that the item gives itself.
+The index is inverted over test items; each passage of a training document is a query. Items
+are kept in classes by length (powers of two of words): a class's passages are windows of twice
+its length that move by it, so every copy of an item lies wholly in some passage, and what a
+passage is for an item depends on that item alone. An item is retrieved when its BM25 score in
+a passage reaches ``min_share`` of the score that the item gives itself.
 
 Pruning is exact. An item's weakest postings, as long as they add up to less than 0.6 of its
-threshold, are granted to every passage; the others are essential, and only a passage that
-holds essential terms worth the rest can reach the threshold.
-Items stand in blocks; for each term and block the largest essential impact is kept. A
-block is opened for a passage only if its block-max bound can reach the least threshold
-in it, an item only if its own partial score plus its other impacts can, and only then is
-the full score taken. Retrieved items are verified: word 5-grams of the question part and
-words of the answer part (the item's last sentence, or its last third if that sentence has
-under three words) must be found in the passage.
-
+threshold, are granted to every passage; the others are essential. Essential impacts are
+divided by what is missing then, so that an item must add up to 1. All passages of a batch
+are first held against the block maxima (items stand in blocks of 32): only passages in which
+some block can reach 1 go on. Each of those is searched document at a time by block-max WAND:
+the posting lists stand in the order of their current items; the pivot is the first
+item at which the lists' maxima add up to 1; if the pivot's block maxima do not, all lists up to
+it skip the block, else the pivot is scored, or the lists behind it skip to it. Retrieved items
+get their full score and are verified: word 5-grams of the question part and words of the
+answer part (the item's last sentence, or its last third if that sentence has under three
+words) must be found in the passage.
+
+BM25 statistics (number of items, mean length, document frequencies) are those of all items.
 Items come in shards of at most ``shard_words`` words (a checked bound for what is shipped
-to the executors); documents stream past every shard. Nothing is shuffled.
+to the executors); documents are read once for every ``_SHARDS`` shards, which a task visits in
+turn. Nothing is shuffled.
 
 Words are runs of letters and digits (any non-ASCII counts as a letter), in lower case, so
 changes of case and punctuation do not hide a copy. Defined results: null or empty texts
 match nothing; items without words are never found; equal items are each reported;
-rows that repeat a document are reported each; other columns are ignored or, in
-``clean``, kept.
+rows that repeat a document are reported each; a null doc_id is reported as null; other columns
+are ignored or, in ``clean``, kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -42,6 +49,8 @@ from . import common as C
 _FOLD = C.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _BLOCK = 32
+_SHARDS = 4  # shards held at a time
+_REACHED = 1 - 1e-9
 _GRANTED = 0.6  # share of its threshold that an item's weakest terms may make up before they count as essential
 _ANSWER = 3  # words that a last sentence must have to be the answer
 _SCHEMA = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
@@ -81,73 +90,61 @@ def parts_of(text: str) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Statistics:
-    """Of all items with words: how many, their mean and greatest length, and in how many each word stands."""
+    """Of all items with words: how many, their mean length, and in how many each word stands."""
 
     n: int
     mean: float
-    longest: int
     df: dict[int, int]
 
 
-class Index:
-    """BM25 postings of items with essential postings by term and by block.
+@dataclass(frozen=True)
+class Item:
+    """A test item: its words, BM25 impacts, threshold, and what verifies it."""
 
-    Scores and passages rest on ``known``, the statistics of all shards' items; without it the items are all there are."""
+    item_id: int
+    words: np.ndarray
+    impact: dict[int, float]
+    threshold: float
+    question: np.ndarray
+    question_n: int
+    answer: np.ndarray
 
-    def __init__(self, items: list[tuple[int, str]], min_share: float, k1: float = 1.2, b: float = 0.75, known: Statistics | None = None) -> None:
-        hashed = [(i, t, _hashes(t)) for i, t in items]
-        self.items = [(i, t, h) for i, t, h in hashed if len(h)]
-        n = len(self.items)
-        lengths = np.array([len(h) for _, _, h in self.items], float)
-        if known is None:
-            df = Counter(w for _, _, h in self.items for w in set(h.tolist()))
-            known = Statistics(n, lengths.mean() if n else 1.0, int(lengths.max(initial=1)), df)
-        self.stride, df = max(32, known.longest), known.df
-        self.impact: list[dict[int, float]] = []
-        self.threshold, self.rest = np.zeros(n), np.zeros(n)
+
+class Postings:
+    """Essential postings of items of one class of lengths, by term and by block."""
+
+    def __init__(self, items: list[Item], stride: int) -> None:
+        self.items, self.stride = items, stride
         essential = []
-        for k, (_, _, h) in enumerate(self.items):
-            norm = k1 * (1 - b + b * lengths[k] / known.mean)
-            own = {w: math.log(1 + (known.n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in Counter(h.tolist()).items()}
-            self.impact.append(own)
-            self.threshold[k] = min_share * sum(own.values()) * (1 - 1e-9)
-            for w, x in sorted(own.items(), key=lambda p: (p[1], p[0])):
-                if self.rest[k] + x < _GRANTED * self.threshold[k]:
-                    self.rest[k] += x
+        for k, item in enumerate(items):
+            rest, mine = 0.0, []
+            for w, x in sorted(item.impact.items(), key=lambda p: (p[1], p[0])):
+                if rest + x < _GRANTED * item.threshold:
+                    rest += x
                 else:
-                    essential.append((w, k, x))
+                    mine.append((w, x))
+            essential += [(w, k, x / (item.threshold - rest)) for w, x in mine]
         essential.sort()
-        self.terms = np.unique(np.array([e[0] for e in essential], np.uint64))
-        self.term_of = np.searchsorted(self.terms, np.array([e[0] for e in essential], np.uint64))
-        self.item_of = np.array([e[1] for e in essential], np.int64)
-        self.weight = np.array([e[2] for e in essential])
-        self.start = np.searchsorted(self.term_of, np.arange(len(self.terms) + 1))
+        words, of_item = np.array([e[0] for e in essential], np.uint64), np.array([e[1] for e in essential], np.int64)
+        weight = np.array([e[2] for e in essential])
+        self.terms = np.unique(words)
+        term = np.searchsorted(self.terms, words)
+        edges = np.searchsorted(term, np.arange(len(self.terms) + 1)).tolist()
+        self.lists = [(of_item[a:e].tolist(), weight[a:e].tolist()) for a, e in zip(edges[:-1], edges[1:], strict=True)]
         # block-max: for each term, its blocks with the largest impact in each
-        key = self.term_of * (n // _BLOCK + 1) + self.item_of // _BLOCK
-        blocks, place = np.unique(key, return_inverse=True)
-        self.block_max = np.zeros(len(blocks))
-        np.maximum.at(self.block_max, place, self.weight)
-        self.block_of = blocks % (n // _BLOCK + 1)
-        self.block_start = np.searchsorted(blocks // (n // _BLOCK + 1), np.arange(len(self.terms) + 1))
-        # the least score that is missing in any item of the block once its other impacts are granted
-        self.block_need = np.full(n // _BLOCK + 1, np.inf)
-        np.minimum.at(self.block_need, np.arange(n) // _BLOCK, self.threshold - self.rest)
-        self.answers = [parts_of(t) for _, t, _ in self.items]
-        self.question = [np.unique(C.rolled(h, min(5, len(h)))) if len(h := _hashes(q)) else np.zeros(0, np.uint64) for q, _ in self.answers]
-        self.question_n = [min(5, len(_hashes(q))) for q, _ in self.answers]
-        self.answer = [np.unique(_hashes(a)) for _, a in self.answers]
-
-    @staticmethod
-    def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of ``term``: its row number and the places of its list."""
-        n = start[term + 1] - start[term]
-        row = np.repeat(np.arange(len(term)), n)
-        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[term], n)
-
-    def search(self, h: np.ndarray, offsets: np.ndarray, min_question: float = 0.0, min_answer: float = 0.0) -> list[tuple[int, int, float, float, float]]:
-        """(document, item number, score, question overlap, answer overlap) of verified items, from the best passage that passes."""
+        self.blocks = len(items) // _BLOCK + 1
+        key, place = np.unique(term * self.blocks + of_item // _BLOCK, return_inverse=True)
+        self.block_max = np.zeros(len(key))
+        np.maximum.at(self.block_max, place, weight)
+        self.block_of = key % self.blocks
+        self.block_start = np.searchsorted(key // self.blocks, np.arange(len(self.terms) + 1))
+        self.maxima = [dict(zip(self.block_of[a:e].tolist(), self.block_max[a:e].tolist(), strict=True)) for a, e in zip(self.block_start[:-1].tolist(), self.block_start[1:].tolist(), strict=True)]
+        self.top = [max(m.values()) for m in self.maxima]
+
+    def passages(self, h: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(document, first word, end, terms) of each passage in which the block maxima of some block add up to 1."""
         if not len(self.terms) or not len(h):
-            return []
+            return
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         hit = np.flatnonzero(self.terms[at] == h)
         term, doc = at[hit], np.searchsorted(offsets, hit, "right") - 1
@@ -160,38 +157,95 @@ class Index:
         term = np.concatenate([term, term[before]])
         pair = np.unique(passage * len(self.terms) + term)
         passage, term = pair // len(self.terms), pair % len(self.terms)
-        nb = len(self.block_need)
-        row, place = self._expand(self.block_start, term)
-        key, group = np.unique(passage[row] * nb + self.block_of[place], return_inverse=True)
-        bound = np.bincount(group, weights=self.block_max[place], minlength=len(key))
-        opened = key[bound >= self.block_need[key % nb] - 1e-9]
-        if not len(opened):
-            return []
-        live = np.isin(passage, opened // nb)
-        passage, term = passage[live], term[live]
-        row, place = self._expand(self.start, term)
-        item = self.item_of[place]
-        keep = np.isin(passage[row] * nb + item // _BLOCK, opened)
-        key, group = np.unique((passage[row] * len(self.items) + item)[keep], return_inverse=True)
-        partial = np.bincount(group, weights=self.weight[place][keep], minlength=len(key))
-        found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for q in key[partial + self.rest[key % len(self.items)] >= self.threshold[key % len(self.items)]].tolist():
-            number, k = divmod(q, len(self.items))
-            d = int(np.searchsorted(first, number, "right")) - 1
-            a = int(offsets[d] + (number - first[d]) * self.stride)
-            words = h[a : min(a + 2 * self.stride, offsets[d + 1])]
-            held = set(words.tolist())
-            score = sum(x for w, x in self.impact[k].items() if w in held)
-            if score < self.threshold[k]:
-                continue
-            grams = np.unique(C.rolled(words, self.question_n[k])) if self.question_n[k] else np.zeros(0, np.uint64)
-            asked = float(np.isin(self.question[k], grams).mean()) if len(self.question[k]) else 1.0
-            told = float(np.isin(self.answer[k], words).mean()) if len(self.answer[k]) else 1.0
-            if asked < min_question or told < min_answer:
-                continue  # another passage may pass, however much this one has of the other part
-            if (d, k) not in found or (asked + told, score) > (sum(found[d, k][1:]), found[d, k][0]):
-                found[d, k] = (score, asked, told)
-        return [(d, k, *v) for (d, k), v in sorted(found.items())]
+        n = self.block_start[term + 1] - self.block_start[term]
+        row = np.repeat(np.arange(len(term)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.block_start[term], n)
+        key, group = np.unique(passage[row] * self.blocks + self.block_of[place], return_inverse=True)
+        opened = np.unique(key[np.bincount(group, weights=self.block_max[place], minlength=len(key)) >= _REACHED] // self.blocks)
+        lo, hi = np.searchsorted(passage, opened, "left"), np.searchsorted(passage, opened, "right")
+        d = np.searchsorted(first, opened, "right") - 1
+        start = offsets[d] + (opened - first[d]) * self.stride
+        for k, a, end, x, y in zip(d.tolist(), start.tolist(), np.minimum(start + 2 * self.stride, offsets[d + 1]).tolist(), lo.tolist(), hi.tolist(), strict=True):
+            yield k, a, end, term[x:y].tolist()
+
+    def wand(self, terms: list[int]) -> list[int]:
+        """The items whose essential impacts add up to 1 in a passage with these terms: block-max WAND."""
+        lists, maxima, top = [self.lists[t] for t in terms], [self.maxima[t] for t in terms], [self.top[t] for t in terms]
+        at, found = [0] * len(terms), []
+        live = [(x[0][0], i) for i, x in enumerate(lists)]
+        while True:
+            live.sort()
+            bound, pivot = 0.0, -1
+            for item, i in live:
+                bound += top[i]
+                if bound >= _REACHED:
+                    pivot = item
+                    break
+            if pivot < 0:
+                return found
+            upto = [i for item, i in live if item <= pivot]
+            block = pivot // _BLOCK
+            if sum(maxima[i].get(block, 0.0) for i in upto) < _REACHED:
+                to = (block + 1) * _BLOCK
+                if len(upto) < len(live):
+                    to = min(to, live[len(upto)][0])
+            elif live[0][0] == pivot:
+                if sum(lists[i][1][at[i]] for i in upto) >= _REACHED:
+                    found.append(pivot)
+                to = pivot + 1
+            else:
+                to = pivot
+            for i in upto:
+                at[i] = bisect_left(lists[i][0], to, at[i])
+            live = [(lists[i][0][at[i]], i) for _, i in live if at[i] < len(lists[i][0])]
+
+
+class Index:
+    """BM25 postings of items by classes of length.
+
+    Scores rest on ``known``, the statistics of all shards' items; without it the items are all there are."""
+
+    def __init__(self, items: list[tuple[int, str]], min_share: float, k1: float = 1.2, b: float = 0.75, known: Statistics | None = None) -> None:
+        hashed = [(i, t, h) for i, t in items if len(h := _hashes(t))]
+        if known is None:
+            known = Statistics(len(hashed), sum(len(h) for _, _, h in hashed) / max(len(hashed), 1), Counter(w for _, _, h in hashed for w in set(h.tolist())))
+        classes: dict[int, list[Item]] = {}
+        for i, t, h in hashed:
+            norm = k1 * (1 - b + b * len(h) / known.mean)
+            own = {w: math.log(1 + (known.n - known.df[w] + 0.5) / (known.df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in Counter(h.tolist()).items()}
+            question, answer = (_hashes(x) for x in parts_of(t))
+            size = min(5, len(question))
+            item = Item(i, h, own, min_share * sum(own.values()) * (1 - 1e-9), np.unique(C.rolled(question, size)) if size else np.zeros(0, np.uint64), size, np.unique(answer))
+            classes.setdefault(max(32, 1 << (len(h) - 1).bit_length()), []).append(item)
+        self.classes = [Postings(classes[stride], stride) for stride in sorted(classes)]
+
+    @property
+    def items(self) -> list[Item]:
+        return [item for c in self.classes for item in c.items]
+
+    def search(self, h: np.ndarray, offsets: np.ndarray, min_question: float = 0.0, min_answer: float = 0.0) -> list[tuple[int, int, float, float, float]]:
+        """(document, item_id, score, question overlap, answer overlap) of verified items, from the best passage that passes."""
+        found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+        for c, postings in enumerate(self.classes):
+            for d, a, e, terms in postings.passages(h, offsets):
+                held = None
+                for k in postings.wand(terms):
+                    item = postings.items[k]
+                    if held is None:
+                        words, grams = h[a:e], {}
+                        held = set(words.tolist())
+                    score = math.fsum(x for w, x in item.impact.items() if w in held)
+                    if score < item.threshold:
+                        continue
+                    if item.question_n not in grams:
+                        grams[item.question_n] = np.unique(C.rolled(words, item.question_n)) if item.question_n else np.zeros(0, np.uint64)
+                    asked = float(np.isin(item.question, grams[item.question_n]).mean()) if len(item.question) else 1.0
+                    told = float(np.isin(item.answer, words).mean()) if len(item.answer) else 1.0
+                    if asked < min_question or told < min_answer:
+                        continue  # another passage may pass, however much this one has of the other part
+                    if (d, c, k) not in found or (asked + told, score) > (sum(found[d, c, k][1:]), found[d, c, k][0]):
+                        found[d, c, k] = (score, asked, told)
+        return [(d, self.classes[c].items[k].item_id, *v) for (d, c, k), v in sorted(found.items())]
 
 
 def _measured(known: DataFrame) -> tuple[Statistics, DataFrame]:
@@ -201,7 +255,7 @@ def _measured(known: DataFrame) -> tuple[Statistics, DataFrame]:
         for whole in batches:
             for b in C.slices(whole, "text"):
                 n = np.diff(word_hashes(*C.text_bytes(b["text"]))[1])
-                yield C.batch("n long, total long, longest long", n=[int((n > 0).sum())], total=[int(n.sum())], longest=[int(n.max(initial=0))])
+                yield C.batch("n long, total long", n=[int((n > 0).sum())], total=[int(n.sum())])
 
     def words(batches):
         for whole in batches:
@@ -214,14 +268,14 @@ def _measured(known: DataFrame) -> tuple[Statistics, DataFrame]:
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 yield C.batch("shard long, w long", shard=b["shard"].take(pa.array(row[new])), w=h[new].view(np.int64))
 
-    sums = known.select("text").mapInArrow(C.lean(lengths), "n long, total long, longest long").agg(F.sum("n"), F.sum("total"), F.max("longest")).first()
+    sums = known.select("text").mapInArrow(C.lean(lengths), "n long, total long").agg(F.sum("n"), F.sum("total")).first()
     of_shard = known.select("text", "shard").mapInArrow(C.lean(words), "shard long, w long").groupBy("shard", "w").agg(F.count("*").alias("c"))
     table = of_shard.select("shard", "w", F.sum("c").over(Window.partitionBy("w")).alias("df"))
     n = sums[0] or 0
-    return Statistics(n, (sums[1] or 0) / n if n else 1.0, sums[2] or 1, {}), C.materialise(table, "item-words")
+    return Statistics(n, (sums[1] or 0) / n if n else 1.0, {}), C.materialise(table, "item-words")
 
 
-def indexes(items: DataFrame, min_share: float, shard_words: int = 2_000_000):
+def indexes(items: DataFrame, min_share: float, shard_words: int = 2_000_000) -> Iterator[Index]:
     """One index for each shard of the items, each of bounded size; how items are dealt changes no result."""
     known = items.filter("text IS NOT NULL")
     size = known.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -238,36 +292,47 @@ def indexes(items: DataFrame, min_share: float, shard_words: int = 2_000_000):
             yield Index([(r[0], r[1]) for r in rows], min_share)
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6) -> DataFrame:
+def _held(docs: DataFrame, items: DataFrame, min_share: float, shard_words: int) -> Iterator:
+    """Broadcasts of some shards' indexes, one after the other."""
+    some: list[Index] = []
+    for index in indexes(items, min_share, shard_words):
+        some.append(index)
+        if len(some) == _SHARDS:
+            yield docs.sparkSession.sparkContext.broadcast(some)
+            some = []
+    if some:
+        yield docs.sparkSession.sparkContext.broadcast(some)
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6, shard_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap): verified items of each document."""
     out = None
-    for index in indexes(items, min_share):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in _held(docs, items, min_share, shard_words):
 
         def run(batches, held=held):
-            ix = held.value
             for whole in batches:
                 for b in C.slices(whole, "text"):
-                    rows = ix.search(*word_hashes(*C.text_bytes(b["text"])), min_question, min_answer)
+                    words = word_hashes(*C.text_bytes(b["text"]))
+                    rows = [r for index in held.value for r in index.search(*words, min_question, min_answer)]
                     if rows:
-                        d, k, s, q, a = zip(*rows, strict=True)
-                        yield C.batch(_SCHEMA, doc_id=b["doc_id"].take(pa.array(d)), item_id=[ix.items[x][0] for x in k], bm25=s, question_overlap=q, answer_overlap=a)
+                        d, i, s, q, a = zip(*rows, strict=True)
+                        yield C.batch(_SCHEMA, doc_id=b["doc_id"].take(pa.array(d)), item_id=i, bm25=s, question_overlap=q, answer_overlap=a)
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(run), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_question: float = 0.3, min_answer: float = 0.6, shard_words: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no verified item, all columns unchanged."""
-    for index in indexes(items, min_share):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in _held(docs, items, min_share, shard_words):
 
         def run(batches, held=held):
             for whole in batches:
                 for b in C.slices(whole, "text"):
-                    mask = np.ones(b.num_rows, bool)
-                    mask[[r[0] for r in held.value.search(*word_hashes(*C.text_bytes(b["text"])), min_question, min_answer)]] = False
+                    words, mask = word_hashes(*C.text_bytes(b["text"])), np.ones(b.num_rows, bool)
+                    for index in held.value:
+                        mask[[r[0] for r in index.search(*words, min_question, min_answer)]] = False
                     yield b.filter(pa.array(mask))
 
         docs = docs.mapInArrow(C.lean(run), docs.schema)
