@@ -107,10 +107,10 @@ def grace(records: Iterator[tuple], table_bytes: int, level: int = 0) -> Iterato
 def fold_groups(docs: DataFrame, carry: bool = False, table_bytes: int = 64 << 20) -> DataFrame:
     """One row for each distinct text: (h, keep_id, n, text), and with ``carry`` the kept row's
     other columns as the struct ``row``."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if carry else []
+    others = [F.col(f"`{c}`").alias(f"c{k + 1}") for k, c in enumerate(c for c in docs.columns if c != "text")] if carry else []
     d = docs.select(
         F.coalesce("doc_id", F.lit(_LEAST)).alias("keep_id"), F.lit(1).cast("long").alias("n"), F.coalesce("text", F.lit("")).cast("binary").alias("text"),
-        F.struct(F.col("text").isNull().alias("_null"), *others).alias("row"),
+        F.struct(F.col("text").isNull().alias("null_text"), F.struct(F.lit(0).alias("c0"), *others).alias("others")).alias("row"),
     )
     if not carry:
         d = d.drop("row")
@@ -151,8 +151,10 @@ def fold_groups(docs: DataFrame, carry: bool = False, table_bytes: int = 64 << 2
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged."""
     g = fold_groups(docs, carry=True)
-    text = F.when(~F.col("row._null"), F.col("text").cast("string"))
-    return g.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    text = F.when(~F.col("row.null_text"), F.col("text").cast("string"))
+    others = iter(range(1, len(docs.columns)))  # by place: names may clash
+    kept = [text.alias("text") if c == "text" else F.col("row.others").getField(f"c{next(others)}").alias(c) for c in docs.columns]
+    return g.select(*kept)
 
 
 def memberships(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -356,13 +356,11 @@ _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files."""
-    # a few numbers a file: where each file's first token stands among all
-    files = manifest.select("task", "sequence", "path", "tokens").orderBy("task", "sequence").collect()
-    spark, start, rows = manifest.sparkSession, 0, []
-    for f in files:
-        rows.append((f["path"], start))
-        start += f["tokens"]
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, min(len(rows), 10_000)))
+    # where each file's first token stands among all: one window over a few numbers a file, each of some 10**7 tokens
+    before = F.sum("tokens").over(Window.orderBy("task", "sequence")) - F.col("tokens")
+    placed = manifest.select("path", before.cast("long").alias("start"), (F.row_number().over(Window.orderBy("task", "sequence")) - 1).alias("number"))
+    files = min(max(manifest.count(), 1), 10_000)
+    listed = placed.repartitionById(files, F.pmod("number", F.lit(files)).cast("int")).select("path", "start")
 
     def run(batches):
         for b in batches:
@@ -377,11 +375,13 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     return listed.mapInArrow(C.lean(run), _READ)
 
 
-def op5_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
-    if tokenizer_file is None:
-        import public_tokenizers
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-        tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
+
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     folder = C.scratch(spark, "token-files")
-    manifest = C.materialise(write_shards(C.documents(spark, sf_dir), folder, tokenizer_file), "token-manifest")
+    manifest = C.materialise(write_shards(C.documents(spark, sf_dir), folder, tokenizer_file or default_tokenizer()), "token-manifest")
     return read_documents(manifest)

@@ -72,6 +72,9 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size) for r in exact_dedup.memberships(frame(spark, rows)).collect())
     assert got == [(-1, -1, 1), (-1, 1, 3), (1, 1, 3), (1, 1, 3)]
     assert exact_dedup.deduplicate(frame(spark, rows)).count() == 2
+    clash = frame(spark, rows).withColumns({c: F.lit(c) for c in ("_null", "null_text", "row", "c0", "c1", "others", "keep_id", "a.b")})
+    kept = exact_dedup.deduplicate(clash)
+    assert kept.schema == clash.schema and {(r["_null"], r["a.b"], r["n"]) for r in kept.collect()} == {("_null", "a.b", 7)}
     assert exact_dedup.memberships(frame(spark, [])).count() == 0 and exact_dedup.deduplicate(frame(spark, [])).count() == 0
 
 
@@ -180,8 +183,8 @@ def test_links_are_those_of_the_product(spark):
 
     rows = near_copies(5, 40)
     pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b], "a long, b long")
-    seen = jaccard_join.scan(frame(spark, rows), 3).filter("kind = 0").select("doc_id", "f1", "f2").withColumn("several", F.lit(False))
-    sets = jaccard_join.sets_of(frame(spark, rows), seen)
+    seen = jaccard_join.scan(frame(spark, rows), 3).filter("kind = 0").select("doc_id", "f1", "f2")
+    sets = jaccard_join.sets_of(frame(spark, rows), seen, 3)
     got = {(r.a, r.b) for r in jaccard_join.links_among(pairs, sets).collect()}
     held = {r.doc_id: set(np.frombuffer(r.grams, np.uint64).tolist()) for r in sets.collect()}
     assert got == {(a, b) for a in held for b in held if a != b and held[a] and 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])} and got

@@ -156,30 +156,79 @@ def test_token_store_round_trip(spark, tmp_path):
 
 
 def test_packing(spark):
+    path, tk = tokenizer()
     rng = random.Random(3)
-    rows = [(i, "w " * rng.choice([0, 1, 5, 100, 511, 512, 900, 3000, 9000])) for i in range(300)] + EDGES + [(None, "a"), (7, "again")]
-    docs = frame(spark, rows)
-    got = packing.pack_documents(docs).collect()
-    lengths = Counter()
-    for i, t in rows:
-        lengths[i] += len((t or "").split()) + 1
-    packed, bins = Counter(), {}
-    for r in got:
-        packed[r.doc_id] += r.n_tokens
+    rows = [(i, "w " * rng.choice([0, 1, 5, 100, 511, 512, 900, 3000, 9000])) for i in range(200)] + EDGES + [(None, "a"), (7, "again"), (7, "again"), (9000, "long text " * 900_000)]
+    packed = packing.pack(packing.encoded(frame(spark, rows), path), group_tokens=200_000)
+    bins, ids = {}, {}
+    for r in packed.collect():
         bins.setdefault(r.bin_id, []).append(r)
-    assert packed == lengths
+        ids.setdefault(r.doc_id, []).append((r.piece, r.n_tokens, bytes(r.ids)))
     for b in bins.values():
         b.sort(key=lambda r: r.bin_offset)
         at = 0
         for r in b:
-            assert r.bin_offset == at
+            assert r.bin_offset == at and len(r.ids) == 2 * r.n_tokens
             at += r.n_tokens
         assert at == b[0].bin_used <= b[0].bin_capacity
         assert b[0].bin_capacity == min(c for c in packing.CAPACITIES if c >= at)
-    again = packing.pack_documents(docs.repartition(7)).collect()
-    key = lambda r: tuple(-1 if x is None else x for x in r)
-    assert sorted(again, key=key) == sorted(got, key=key)
-    assert packing.pack_documents(frame(spark, [])).count() == 0
+    one = lambda t: np.array(tk.encode(t or "", add_special_tokens=False).ids + [2], "<u2").tobytes()
+    for i, t in rows:
+        if i != 7:
+            assert [p for p, _, _ in sorted(ids[i])] == list(range(len(ids[i]))) and b"".join(x for _, _, x in sorted(ids[i])) == one(t), i
+    texts = sorted([one("w " * 0) if rows[7][1] == "" else one(rows[7][1]), one("again"), one("again")])
+    assert sorted(x for _, n, x in ids[7] if n < 100) == [x for x in texts if len(x) < 200]
+    for r in packing.sequences(packed).collect():
+        assert bytes(r.ids) == b"".join(bytes(x.ids) for x in bins[r.bin_id]) and sum(r.lengths) == r.used and r.doc_ids == [x.doc_id for x in bins[r.bin_id]]
+    assert packing.pack_documents(frame(spark, []), path).count() == 0
+
+
+def total_cost(packing_of):
+    return sum(packing.cost(int(c)) for c in packing_of[2])
+
+
+def cheapest(lengths, sizes):
+    """By trying every way to part the pieces."""
+    best = [math.inf]
+
+    def go(k, sums):
+        price = sum(packing.cost(min(c for c in sizes if c >= s)) for s in sums)
+        if price >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = price
+            return
+        for j in range(len(sums)):
+            if sums[j] + lengths[k] <= sizes[-1]:
+                go(k + 1, [*sums[:j], sums[j] + lengths[k], *sums[j + 1 :]])
+        go(k + 1, [*sums, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_optimum():
+    rng = random.Random(15)
+    ratios = []
+    for _ in range(150):
+        n = np.array([rng.choice([rng.randint(1, 500), rng.randint(300, 1200), rng.randint(1, 4096)]) for _ in range(rng.randint(1, 8))])
+        ratios.append(total_cost(packing.pack_pieces(n)) / cheapest(n.tolist(), sorted(packing.CAPACITIES)))
+    assert min(ratios) >= 1 - 1e-12 and max(ratios) < 1.25 and sum(ratios) / len(ratios) < 1.02
+
+
+def test_sizes_are_chosen_jointly():
+    """The size opened depends on what waits; never dearer than the best single size; several sizes are used."""
+    sizes = sorted(packing.CAPACITIES)
+    assert packing.best_fit(np.array([600] * 30), sizes)[2][0] != packing.best_fit(np.array([600] + [400] * 30), sizes)[2][0]
+    rng = random.Random(16)
+    for low, high in ((1, 60), (50, 900), (500, 700), (600, 3000), (300, 1500), (1, 4096)):
+        n = np.array([rng.randint(low, high) for _ in range(3000)])
+        got = total_cost(packing.pack_pieces(n))
+        alone = [total_cost(packing.best_fit(n, sizes, only)) for only in sizes]
+        assert got <= min(alone) and got <= total_cost(packing.best_fit(n, sizes))
+        if (low, high) not in ((1, 60), (1, 4096)):
+            assert got < min(alone) and len(set(packing.pack_pieces(n)[2].tolist())) > 1
+    assert packing.pack_pieces(np.zeros(0, np.int64))[2].tolist() == []
 
 
 def test_best_fit_choices():
@@ -192,28 +241,84 @@ def test_best_fit_choices():
     assert o.best(15) == (2, 20) and o.best(15) == (1, 30) and o.best(15) is None
 
 
-def bm25_brute(index, words_of, offsets_of):
-    """All (document, item) whose best passage reaches the threshold, by scoring everything."""
-    found = set()
-    for d, h in enumerate(words_of):
-        for p in range(len(h) // index.stride + 1):
-            held = set(h[p * index.stride : (p + 2) * index.stride].tolist())
-            for k in range(len(index.items)):
-                if sum(x for w, x in index.impact[k].items() if w in held) >= index.threshold[k]:
-                    found.add((d, k))
-    return found
+def leaks_brute(items, texts, min_share=0.5, min_question=0.0, min_answer=0.0, k1=1.2, b=0.75):
+    """(document, item, score, question overlap, answer overlap) from strings alone: every passage against every item."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    known = {i: words(t) for i, t in items if t and words(t)}
+    df, mean = Counter(w for x in known.values() for w in set(x)), sum(map(len, known.values())) / max(len(known), 1)
+    five = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+    out = []
+    for i, t in items:
+        if i not in known:
+            continue
+        x = known[i]
+        impact = {w: math.log(1 + (len(known) - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(x) / mean)) for w, f in Counter(x).items()}
+        threshold = min_share * sum(impact.values()) * (1 - 1e-9)
+        sentences = [y for y in re.split(r"(?<=[.!?])\s+", t.strip()) if y]
+        if len(sentences) > 1 and len(words(sentences[-1])) >= 3:
+            question, answer = words(" ".join(sentences[:-1])), words(sentences[-1])
+        else:
+            cut = max(1, len(t.split()) * 2 // 3)
+            question, answer = words(" ".join(t.split()[:cut])), words(" ".join(t.split()[cut:]))
+        stride = 32
+        while stride < len(x):
+            stride *= 2
+        n = min(5, len(question))
+        for d, text in enumerate(texts):
+            h, best = words(text), None
+            for p in range(len(h) // stride + 1):
+                w = h[p * stride : (p + 2) * stride]
+                score = sum(v for u, v in impact.items() if u in set(w))
+                if score < threshold:
+                    continue
+                asked = len(five(question, n) & five(w, n)) / len(five(question, n)) if n else 1.0
+                told = len(set(answer) & set(w)) / len(set(answer)) if answer else 1.0
+                if asked >= min_question and told >= min_answer and (best is None or (asked + told, score) > (best[1] + best[2], best[0])):
+                    best = (score, asked, told)
+            if best:
+                out.append((d, i, *best))
+    return sorted(out)
+
+
+def same_leaks(got, want):
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for x, y in zip(got, want, strict=True):
+        assert x[2:] == pytest.approx(y[2:], rel=1e-9)
+
+
+@pytest.mark.parametrize("limits", [(0.0, 0.0), (0.3, 0.6)])
+def test_wand_finds_what_scoring_everything_finds(limits):
+    """Near copies at all distances, equal items, items of one word and of several lengths, documents without words."""
+    rng = random.Random(4)
+    items = [(k, prose(rng, rng.randint(3, 80), 200) + rng.choice(["", ". " + prose(rng, rng.randint(1, 6), 200) + "."])) for k in range(90)]
+    items += [(200, items[0][1]), (201, "w7"), (202, "..."), (203, "")]
+    near = lambda t, p: " ".join(w if rng.random() > p else "zz" for w in t.split())
+    texts = [f"{prose(rng, rng.randint(0, 200), 200)} {near(rng.choice(items[:90])[1], rng.random() * 0.7)} {prose(rng, rng.randint(0, 90), 200)}" for _ in range(100)] + ["", "w7", "!"]
+    h, o = decontaminate.word_hashes(*C.text_bytes(pa.array(texts)))
+    got = decontaminate.Index(items, 0.5).search(h, o, *limits)
+    same_leaks(sorted(got), leaks_brute(items, texts, 0.5, *limits))
+    assert len(got) > 60
 
 
-def test_wand_prunes_nothing_that_counts():
-    rng = random.Random(4)
-    items = [(k, prose(rng, rng.randint(3, 30), 200)) for k in range(90)]
-    texts = [prose(rng, rng.randint(0, 200), 200) + " " + (rng.choice(items)[1] if rng.random() < 0.5 else "") for _ in range(120)]
-    index = decontaminate.Index(items, 0.5)
-    column = pa.array(texts)
-    h, o = decontaminate.word_hashes(*C.text_bytes(column))
-    got = {(d, k) for d, k, *_ in index.search(h, o)}
-    want = bm25_brute(index, [h[a:b] for a, b in zip(o[:-1], o[1:], strict=True)], o)
-    assert got == want and len(got) > 40
+def test_nothing_is_found_without_wand(monkeypatch):
+    items = [(1, "one two three four five six. seven eight nine ten.")]
+    h, o = decontaminate.word_hashes(*C.text_bytes(pa.array([items[0][1]])))
+    assert len(decontaminate.Index(items, 0.5).search(h, o)) == 1
+    monkeypatch.setattr(decontaminate.Postings, "wand", lambda self, terms: [])
+    assert decontaminate.Index(items, 0.5).search(h, o) == []
+
+
+def test_near_copies_and_near_misses(spark):
+    """One word in eight replaced is a copy; two in three replaced, or the question's topic words alone, is none."""
+    rng = random.Random(10)
+    items = [(k, f"{prose(rng, 40, 3000).capitalize()}. {prose(rng, 9, 3000)}.") for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    change = lambda t, every, at: " ".join(f"z{j}" if j % every != at else w for j, w in enumerate(t.split()))
+    copies = [(k, f"{prose(rng, 60, 3000)} " + " ".join("zz" if j % 8 == k % 8 else w for j, w in enumerate(t.split())) + f" {prose(rng, 60, 3000)}") for k, t in items]
+    misses = [(100 + k, f"{prose(rng, 60, 3000)} {change(t, 3, k % 3)}") for k, t in items]
+    shuffled = [(200 + k, " ".join(rng.sample(t.split(), len(t.split())))) for k, t in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, copies + misses + shuffled), bench).collect()}
+    assert got == {(k, k) for k in range(40)}
 
 
 def test_decontamination(spark):
@@ -262,27 +367,43 @@ def test_last_sentence_of_two_words(spark):
 
 
 def test_index_shards(spark):
-    """Several shards find what one finds."""
-    bench = spark.createDataFrame([(k, f"item number {k} has these quite special words w{k} x{k} y{k} z{k}") for k in range(40)], "item_id long, text string")
-    docs = frame(spark, [(k, f"before item number {k} has these quite special words w{k} x{k} y{k} z{k} after") for k in range(40)])
-    found = [i for ix in decontaminate.indexes(bench, 0.5, shard_words=50) for i in ix.items]
-    assert len(found) == 40
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(k, k) for k in range(40)}
-
-
-def test_shards_score_as_one_index(spark):
-    """Items of uneven length and words, near copies around the threshold: shards change nothing."""
+    """However items are dealt to shards, every row is the same, scores included; uneven lengths, near copies around the threshold."""
     rng = random.Random(9)
     items = [(k, f"{prose(rng, rng.randint(3, 60) if k else 150, 300).capitalize()}. {prose(rng, 5, 300)}.") for k in range(60)] + [(k, t) for k, t in ((90, None), (91, "..."), (92, ""))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     near = lambda t, p: " ".join(w if rng.random() > p else "zz" for w in t.split())
     texts = [f"{prose(rng, rng.randint(0, 200), 300)} {near(items[k % 60][1], rng.random() * 0.7)} {prose(rng, 90, 300)}" for k in range(200)]
-    h, o = decontaminate.word_hashes(*C.text_bytes(pa.array(texts)))
-
-    def found(shard_words):
-        shards = list(decontaminate.indexes(bench, 0.5, shard_words=shard_words))
-        return len(shards), len({ix.stride for ix in shards}), sorted((d, ix.items[k][0], *v) for ix in shards for d, k, *v in ix.search(h, o))
-
-    one, many = found(2_000_000), found(600)
-    assert one[0] == 1 and many[0] > 3 and many[1] == 1
-    assert one[2] == many[2] and len(one[2]) > 60
+    docs = frame(spark, list(enumerate(texts)))
+    size = sum(len(t or "") for _, t in items)
+    rows = {}
+    for shards in (1, 2, 16):
+        assert len(list(decontaminate.indexes(bench, 0.5, shard_words=-(-size // (4 * shards))))) == shards
+        rows[shards] = sorted(tuple(r) for r in decontaminate.leaks(docs, bench, 0.5, 0.0, 0.0, shard_words=-(-size // (4 * shards))).collect())
+    assert rows[1] == rows[2] == rows[16] and len(rows[1]) > 60
+    same_leaks(rows[1], leaks_brute(items, texts))
+    kept = [sorted(r.doc_id for r in decontaminate.clean(docs, bench, shard_words=w).collect()) for w in (2_000_000, size // 40)]
+    assert kept[0] == kept[1]
+
+
+def test_a_long_item_moves_no_other_items_passages(spark):
+    rng = random.Random(13)
+    items = [(k, f"{prose(rng, 40, 400).capitalize()}. {prose(rng, 8, 400)}.") for k in range(30)]
+    texts = [f"{prose(rng, rng.randint(0, 300), 400)} {items[k][1]} {prose(rng, rng.randint(0, 300), 400)}" for k in range(30)]
+    docs = frame(spark, list(enumerate(texts)))
+    found = []
+    for extra in ([], [(99, " ".join(f"long{k}" for k in range(5000)))]):
+        bench = spark.createDataFrame(items + extra, "item_id long, text string")
+        found.append(sorted((r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, bench).collect()))
+    assert found[0] == found[1] and len(found[0]) >= 30
+
+
+def test_decontamination_edges(spark):
+    """Repeated rows, null ids, equal items, one text longer than any slice."""
+    rng = random.Random(14)
+    item = f"{prose(rng, 40, 400).capitalize()}. {prose(rng, 8, 400)}."
+    bench = spark.createDataFrame([(1, item), (2, item), (3, None)], "item_id long, text string")
+    long = "plain filler words " * 500_000
+    docs = frame(spark, [(None, item), (5, item), (5, item), (6, long + item), (7, long), (8, None)])
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == {(None, 1): 1, (None, 2): 1, (5, 1): 2, (5, 2): 2, (6, 1): 1, (6, 2): 1}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [7, 8]

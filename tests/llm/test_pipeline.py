@@ -1,10 +1,11 @@
 """The corpus pipeline against a plain version, and the queries' contracts."""
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from palimpsest.llm import common as C
-from palimpsest.llm import quality, queries
+from palimpsest.llm import quality, queries, token_store
 
 from ..oracle import connect, same_rows
 from .test_dedup import jaccard_brute
@@ -43,4 +44,5 @@ def test_stages(spark, sf_dir):
     packed = {}
     for r in kept[4].collect():
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.n_tokens
-    assert packed == {i: len(rows[i].encode().split()) + 1 for i in clean}
+    tk = Tokenizer.from_file(token_store.default_tokenizer())
+    assert packed == {i: len(tk.encode(rows[i], add_special_tokens=False).ids) + 1 for i in clean}
