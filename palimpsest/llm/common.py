@@ -76,6 +76,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder, removed when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = getattr(spark, "_own_scratch", None) or tempfile.mkdtemp(prefix="palimpsest-")
         spark._own_scratch = root
@@ -115,6 +117,20 @@ def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark gives each 64-bit integer: its Murmur3 hash with seed 42, modulo ``buckets``."""
+    turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    h = np.full(len(ids), 42, np.uint32)
+    for half in (ids.view(np.uint64).astype(np.uint32), (ids.view(np.uint64) >> np.uint64(32)).astype(np.uint32)):
+        h ^= turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return (h.view(np.int32) % buckets).astype(np.int32)
+
+
 def part_count(df: DataFrame, bytes_per_part: int = 48 << 20) -> int:
     """Partitions for an exchange: the session's setting, or more if the input's size asks for it."""
     spark = df.sparkSession

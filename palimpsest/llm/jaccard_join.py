@@ -44,6 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ from . import common as C
 SHARE = 75
 _HOT_FROM, _HOT_MOST = 32, 1 << 17
 _COLUMN_BLOCKS = 8  # by the highest bits of a shingle's hash
-_BLOCK_ENTRIES, _LEADER_ENTRIES = 96, 512  # entries of the mask in a block on average, and of one leader at most
+_BLOCK_ENTRIES, _LEADER_ENTRIES = 96, 128  # entries of the mask in a block on average, and of one leader at most
 _HOLDERS = 256  # of one column in one part of the last step
 _SETS = "doc_id long, n long, grams binary"
 
@@ -167,28 +168,61 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
     """The whole sets (sorted hashes) of the chosen documents (doc_id, f1, f2), each once: a table in buckets by doc_id,
-    so that no join by document moves them again."""
+    so that no join by document moves them again. Texts go to the buckets' tasks compressed."""
 
-    def run(batches):
-        last = None
+    def send(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for b in C.slices(whole, "text"):
                 ids = C.ids_of(b["doc_id"])
-                grams, o = shingles(*C.text_bytes(b["text"]))
-                f1, f2 = _fingerprints(grams, o)
-                take = (f1 == b["f1"].to_numpy()) & (f2 == b["f2"].to_numpy())
-                # rows come in order of doc_id: of equal rows of a document the first stays
-                mine = np.flatnonzero(take)
-                if len(mine):
-                    take[mine[1:][ids[mine[1:]] == ids[mine[:-1]]]] = False
-                    take[mine[0]] &= last is None or ids[mine[0]] != last
-                    last = ids[mine[-1]]
-                flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(grams.view(np.uint8))])
-                yield C.batch(_SETS, doc_id=ids, n=np.diff(o), grams=flat).filter(pa.array(take))
+                data, o = C.text_bytes(b["text"])
+                part, rows, raw = C.bucket_of(ids, parts), [], data.tobytes()
+                order = np.argsort(part, kind="stable")
+                edges = C.runs(part[order])
+                for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    some = order[a:e]
+                    rows.append((int(part[some[0]]), b"X" + squeeze(C.pack(ids[some], np.diff(o)[some]) + b"".join(raw[o[i] : o[i + 1]] for i in some.tolist()))))
+                yield C.blob_batch(rows)
 
-    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("doc_id", "text").join(chosen, "doc_id")
-    placed = known.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    return C.bucketed(placed.mapInArrow(C.lean(run), _SETS), "doc_id", parts, "sets")
+    def name(batches):
+        for b in batches:
+            ids, f1, f2 = (b[k].to_numpy() for k in ("doc_id", "f1", "f2"))
+            yield C.blob_batch([(p, b"C" + x) for p, x in C.spread(C.bucket_of(ids, parts), ids, f1, f2)])
+
+    def build(blobs):
+        named = [C.unpack(x[1:], *[np.int64] * 3) for x in blobs if x[:1] == b"C"]
+        if not named:
+            return
+        wanted, w1, w2 = (np.concatenate(x) for x in zip(*named, strict=True))
+        order = np.argsort(wanted)
+        wanted, w1, w2 = wanted[order], w1[order], w2[order]
+        done = np.zeros(len(wanted), bool)  # of equal rows of a document the first counts
+        for x in blobs:
+            if x[:1] != b"X":
+                continue
+            body = zstandard.ZstdDecompressor().decompress(x[1:])
+            n = int.from_bytes(body[:8], "little")
+            ids, sizes = C.unpack(body[: 8 + 16 * n], np.int64, np.int64)
+            at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+            mine = np.flatnonzero((wanted[at] == ids) & ~done[at])
+            if not len(mine):
+                continue
+            data, o = np.frombuffer(body, np.uint8, offset=8 + 16 * n), np.concatenate([[0], np.cumsum(sizes)])
+            data = np.concatenate([data[o[i] : o[i + 1]] for i in mine.tolist()])
+            ids, at, o = ids[mine], at[mine], np.concatenate([[0], np.cumsum(sizes[mine])])
+            grams, o = shingles(data, o)
+            f1, f2 = _fingerprints(grams, o)
+            take = (f1 == w1[at]) & (f2 == w2[at])
+            _, first = np.unique(np.where(take, at, -1), return_index=True)
+            once = np.zeros(len(at), bool)
+            once[first] = True
+            take &= once
+            done[at[take]] = True
+            flat = pa.BinaryArray.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o * 8).astype(np.int32)), pa.py_buffer(grams.view(np.uint8))])
+            yield C.batch(_SETS, doc_id=ids, n=np.diff(o), grams=flat).filter(pa.array(take))
+
+    blobs = chosen.mapInArrow(C.lean(name), C.BLOB).union(docs.select("doc_id", "text").mapInArrow(C.lean(send), C.BLOB))
+    return C.bucketed(C.exchange(blobs, parts, build, _SETS), "doc_id", parts, "sets")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +255,10 @@ def frequent(sets: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, doc_id, n, place, core): the first n - needed + 1 shingles of each set, rare ones first.
-
-    ``core``: how many of a thousand of the set's shingles are frequent."""
+    """(gram, doc_id, place): the first n - needed + 1 shingles of each set, rare ones first; one row without gram
+    for each set holds n as ``place``, and in ``core`` how many of a thousand of its shingles are frequent."""
     held = sets.sparkSession.sparkContext.broadcast(hot)
-    schema = "gram long, doc_id long, n long, place long, core long"
+    schema = "gram long, doc_id long, place int, core int"
 
     def run(batches):
         top, freq = held.value
@@ -243,7 +276,8 @@ def columns_of(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 take = order[within]
                 ids = C.ids_of(b["doc_id"])
                 core = np.bincount(owner, weights=rank > 0, minlength=len(n)) * 1000 // np.maximum(n, 1)
-                yield C.batch(schema, gram=grams[take].view(np.int64), doc_id=ids[owner[take]], n=n[owner[take]], place=place[within], core=core.astype(np.int64)[owner[take]])
+                yield C.batch(schema, gram=grams[take].view(np.int64), doc_id=ids[owner[take]], place=place[within].astype(np.int32), core=np.full(len(take), -1, np.int32))
+                yield C.batch(schema, gram=pa.nulls(len(n), pa.int64()), doc_id=ids, place=n.astype(np.int32), core=core.astype(np.int32))
 
     return sets.mapInArrow(C.lean(run), schema)
 
@@ -285,10 +319,10 @@ def overlaps(leaders: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.
     return live
 
 
-def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def links_among(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) whose sets link: the mask's entries ``b`` (leader) by ``a`` (document), block by block."""
-    size = pairs.count()
-    blocks = max(1, -(-size // _BLOCK_ENTRIES))
+    # as many blocks for each task
+    blocks = parts * max(1, -(-pairs.count() // (_BLOCK_ENTRIES * parts)))
     many = pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > _LEADER_ENTRIES)
     # a leader of many documents is dealt to several blocks, by document
     share = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("c") / _LEADER_ENTRIES), F.lit(1)))
@@ -338,16 +372,41 @@ def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         live = overlaps(flat, _rows(some["grams"]), row, column)
                         yield C.batch("a long, b long", a=mine[row[live]], b=who[column[live]])
 
-    return records.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(C.lean(run), "a long, b long")
+    return records.repartitionById(parts, (F.col("block") % parts).cast("int")).sortWithinPartitions("block", "kind").mapInArrow(C.lean(run), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the least vertex that each vertex of the edges (a, b) reaches.
+def forest(edges: DataFrame) -> DataFrame:
+    """(v, w): for each part of the edges (a, b), its vertices under the least of the part's component."""
 
-    Hooking to the least neighbour's root and pointer jumping, as joins; every round is a
-    written table and no vertex's neighbours are ever gathered."""
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).filter("v <> w")
-    both = C.materialise(both.distinct(), "edges")
+    def run(batches):
+        got = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches if b.num_rows]
+        if not got:
+            return
+        ids, place = np.unique(np.concatenate([x for pair in got for x in pair]), return_inverse=True)
+        edges = np.cumsum([0] + [len(x) for pair in got for x in pair])
+        a, b = (np.concatenate([place[edges[k] : edges[k + 1]] for k in range(side, len(edges) - 1, 2)]) for side in (0, 1))
+        root = np.arange(len(ids))
+        while (root[a] != root[b]).any():
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        under = np.flatnonzero(root != np.arange(len(ids)))
+        if len(under):
+            yield C.batch("v long, w long", v=ids[under], w=ids[root[under]])
+
+    return edges.select("a", "b").distinct().mapInArrow(C.lean(run), "v long, w long")
+
+
+def components(edges: DataFrame) -> DataFrame | None:
+    """(v, root): the least vertex that each vertex of the edges (a, b) reaches; None without edges.
+
+    Each part's edges become trees of depth one; then hooking to the least neighbour's root and pointer jumping, as
+    joins; every round is a written table and no vertex's neighbours are ever gathered."""
+    trees = C.materialise(forest(edges), "edges")
+    if trees.isEmpty():
+        return None
+    both = trees.union(trees.select("w", "v"))
     roots = C.materialise(both.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("root")), "roots")
     while True:
         # jump: v's root's root; hook: the least root among the neighbours
@@ -358,7 +417,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = jumped.join(near.hint("merge"), "v").select("v", "old", "up", F.least("up", "near").alias("new"))
         lift = moved.groupBy(F.col("up").alias("v")).agg(F.min("new").alias("lifted"))
         after = C.materialise(moved.join(lift.hint("merge"), "v", "left").select("v", "old", F.least("new", F.coalesce("lifted", "new")).alias("root")), "roots")
-        if not after.filter("root <> old").limit(1).count():
+        if after.filter("root <> old").isEmpty():
             return after.select("v", "root")
         roots = after.select("v", "root")
 
@@ -367,8 +426,11 @@ def contract(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (doc_id, comp) after linking by edges (a, b)."""
     of = lambda x: labels.select(F.col("doc_id").alias(x), F.col("comp").alias(f"{x}c")).hint("merge")
     between = edges.join(of("a"), "a").join(of("b"), "b").filter("ac <> bc").select(F.col("ac").alias("a"), F.col("bc").alias("b"))
-    roots = components(between).select(F.col("v").alias("comp"), "root")
-    return C.materialise(labels.join(roots.hint("merge"), "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp")), "labels")
+    roots = components(between)
+    if roots is None:
+        return labels
+    roots = roots.select(F.col("v").alias("comp"), "root")
+    return C.materialise(labels.join(roots.hint("merge"), "comp", "left").select("doc_id", "n", "core", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
 def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
@@ -384,13 +446,15 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     chosen = classes.join(met.hint("merge"), classes.rep == met.doc_id).filter(F.col("met") >= enough).select("doc_id").distinct()
     chosen = C.materialise(texts.join(chosen.hint("merge"), "doc_id", "left_semi").select("doc_id", "f1", "f2"), "chosen")
     sets = sets_of(docs, chosen, parts)
-    cols = columns_of(sets, frequent(sets, parts))
-    shared = cols.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
-    cols = C.materialise(cols.join(shared.hint("merge"), "gram"), "columns")
-    labels = C.materialise(sets.select("doc_id", F.col("doc_id").alias("comp")), "labels")
+    raw = C.materialise(columns_of(sets, frequent(sets, parts)), "all-columns")
+    about = raw.filter("gram IS NULL").select("doc_id", F.col("place").alias("n"), "core")
+    raw = raw.filter("gram IS NOT NULL").select("gram", "doc_id", "place")
+    shared = raw.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    cols = C.bucketed(raw.join(shared.hint("merge"), "gram").repartition(parts, "doc_id"), "doc_id", parts, "columns")
+    labels = C.materialise(about.withColumn("comp", F.col("doc_id")), "labels")
     tested = None
     for r in range(rounds + 1):
-        of = cols.join(labels.hint("merge"), "doc_id")
+        of = cols.join(labels, "doc_id").repartition(parts, "gram")
         first = -F.col("core") if r == 0 else F.xxhash64("comp", F.lit(r))
         order = F.struct(first.alias("o"), F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("comp").alias("dc"))
         active = of.groupBy("gram").agg(F.min(order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram", "lead.*")
@@ -414,7 +478,7 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
                 pairs = pairs.join(known.hint("merge"), ["a", "b"], "left_anti")
         pairs = C.materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = contract(labels, links_among(pairs, sets))
+        labels = contract(labels, links_among(pairs, sets, parts))
     comp = classes.join(labels.select(F.col("doc_id").alias("rep"), "comp").hint("merge"), "rep", "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     out = per_doc.join(comp.hint("merge"), ["n", "f1", "f2"], "left")
     known = F.nullif("doc_id", F.lit(-(2**63)))
