@@ -161,21 +161,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
 def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH, shard_words: int = 50_000) -> DataFrame:
     """(doc_id, start, end): maximal word spans of ``docs`` that windows of ``reference`` texts cover.
 
-    The reference is cut into shards of bounded size, one automaton each, broadcast in turn; it is
-    meant for references that are small beside ``docs`` (test sets, licences)."""
+    The reference is cut into shards of some ``shard_words`` words; the automaton of each is built once and
+    broadcast, and whole documents stream past it. It is meant for references that are small beside ``docs``
+    (test sets, licences): every shard reads all documents once more."""
     known = reference.filter("text IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // (4 * shard_words)))
     schema = "doc_id long, start long, end long"
     found = None
     for k in range(shards):
-        texts = [r[0] for r in known.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).select("text").distinct().collect()]
-        held = docs.sparkSession.sparkContext.broadcast(texts)
+        built = SuffixAutomaton()
+        for r in known.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).select("text").distinct().collect():
+            built.add(r[0].encode().split(), 0)
+        held = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches, held=held):
-            automaton = SuffixAutomaton()
-            for t in held.value:
-                automaton.add(t.encode().split(), 0)
+            automaton = held.value
             for b in batches:
                 for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                     spans = repeats.merged(_spans(automaton.earlier((t or "").encode().split(), length, 1)), length)

@@ -185,7 +185,7 @@ def test_links_are_those_of_the_product(spark):
     pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b], "a long, b long")
     seen = jaccard_join.scan(frame(spark, rows), 3).filter("kind = 0").select("doc_id", "f1", "f2")
     sets = jaccard_join.sets_of(frame(spark, rows), seen, 3)
-    got = {(r.a, r.b) for r in jaccard_join.links_among(pairs, sets).collect()}
+    got = {(r.a, r.b) for r in jaccard_join.links_among(pairs, sets, 3).collect()}
     held = {r.doc_id: set(np.frombuffer(r.grams, np.uint64).tolist()) for r in sets.collect()}
     assert got == {(a, b) for a in held for b in held if a != b and held[a] and 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])} and got
 
@@ -211,6 +211,20 @@ def test_jaccard_document_on_several_texts(spark):
         assert got == [(1, 16, 1), (5, 16, 1), (5, 36, 5), (5, 36, 5), (7, 37, 5), (8, 17, 1), (9, 16, 1)]
 
 
+def test_components_over_several_parts(spark):
+    """A path, a star and a ring whose edges lie in many parts."""
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(7, 7)]
+    random.Random(2).shuffle(edges)
+    want = {v: 0 for v in range(41)} | {v: 100 for v in range(100, 130)} | {v: 200 for v in range(200, 209)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.v: r.root for r in got} == want
+    assert jaccard_join.components(spark.createDataFrame([(3, 3)], "a long, b long")) is None
+
+
 def test_chain_of_links(spark):
     """Links that form a path of many steps end in one component."""
     words = [f"w{k}" for k in range(400)]
@@ -303,6 +317,25 @@ def test_removed_text_and_edges(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0 and suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_texts_longer_than_any_slice(spark):
+    """Nine million bytes in one row, twice: line, word and byte deduplication and the n-gram join."""
+    rng = random.Random(21)
+    long = "\n".join(prose(rng, 12, 5000) for _ in range(140_000))
+    rows = [(1, long), (2, "head " + long), (3, "short text of its own here")]
+    assert len(long) > 8 << 20
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows), with_text=False).collect()}
+    n = len(long.split())
+    assert words == {1: (n, 0), 2: (n + 1, n), 3: (6, 0)}
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, rows), with_content=False).collect()}
+    assert cut == {1: (len(long), 0, 0), 2: (len(long) + 5, len(long), 1), 3: (26, 0, 0)}
+    near = {r.doc_id: r.component_id for r in jaccard_join.near_components(frame(spark, rows)).collect()}
+    assert near == {1: 1, 2: 1, 3: 3}
+    lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.drop_repeated_lines(frame(spark, [*rows, (4, long)])).collect()}
+    assert lines[1] == (140_000, 140_000) and lines[4] == (140_000, 0) and lines[2] == (140_000, 139_999)
+    kept = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.memberships(frame(spark, [*rows, (4, long)])).collect()}
+    assert kept == {1: (4, 2), 2: (2, 1), 3: (3, 1), 4: (4, 2)}
+
+
 def test_match_reference(spark):
     reference = spark.createDataFrame([("alpha beta gamma delta epsilon",), (None,), ("one two three four",)], "text string")
     docs = frame(spark, [(1, "x beta gamma delta y"), (2, "one two"), (3, None), (4, "zero one two three four alpha beta gamma")])
@@ -357,6 +390,14 @@ def test_decisions_rest_on_matching_statistics(monkeypatch, spark):
     assert decide([contexts]) == []
 
 
+def test_buckets_are_those_of_spark(spark):
+    import numpy as np
+
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345, *range(5, 60)]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.hash("i"), F.lit(13))).collect()]
+    assert C.bucket_of(np.array(ids, np.int64), 13).tolist() == got
+
+
 def test_blobs_round_trip():
     import numpy as np
 

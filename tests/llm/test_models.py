@@ -23,45 +23,51 @@ def lm_brute(rows, folds=7, held=2, deleted=3):
         texts[i] = [w.decode() for w in lower(t or "").encode().split()] + [None]
         r = zlib.crc32(str(i).encode()) % folds
         role[i] = 0 if r == held else 2 if r == deleted else 1
-    c1, c2, f1, f2 = Counter(), Counter(), Counter(), Counter()
+    c, f = Counter(), Counter()  # of n-grams of all orders
+    trigrams = lambda t: zip([None, None, *t], [None, *t], t, strict=False)
     for i, t in texts.items():
-        for v, w in zip([None, *t], t, strict=False):
-            if role[i]:
-                c1[w] += 1
-                c2[v, w] += 1
-            if role[i] == 2:
-                f1[w] += 1
-                f2[v, w] += 1
-    n, v_size = sum(c1.values()), len(c1)
-    held_n = n - sum(f1.values())
-    a = [[1 / 3] * 3 for _ in range(64)]
+        for u, v, w in trigrams(t):
+            for g in ((w,), (v, w), (u, v, w)):
+                c[g] += role[i] > 0
+                f[g] += role[i] == 2
+    n, v_size = sum(x for g, x in c.items() if len(g) == 1), sum(x > 0 for g, x in c.items() if len(g) == 1)
+    held_n = n - sum(x for g, x in f.items() if len(g) == 1)
+    level = lambda x: math.floor(2 * math.log2(x + 1) + 1e-9)
+
+    def parts(u, v, w, first, c, n):
+        """The bucket, and the four estimates; the words before a text are as frequent as ends."""
+        two, one = c[(None,)] if first else c[u, v], c[(v,)]
+        return (level(two) if two > 0 else 128 + level(one)), [1 / (v_size + 1), c[(w,)] / max(n, 1), c[v, w] / max(one, 1), c[u, v, w] / max(two, 1)]
+
+    rest = Counter({g: c[g] - f[g] for g in c})
+    seen = [parts(u, v, w, k == 0, rest, held_n) for i, t in texts.items() if role[i] == 2 for k, (u, v, w) in enumerate(trigrams(t))]
+    a = [[1 / 4] * 4 for _ in range(256)]
     for _ in range(10):
-        total = [[0.0] * 3 for _ in range(64)]
-        for (v, w), times in f2.items():
-            cv = c1[v] - f1[v]
-            b = int(math.floor(math.log2(cv + 1)))
-            p = [a[b][0] / (v_size + 1), a[b][1] * (c1[w] - f1[w]) / max(held_n, 1), a[b][2] * (c2[v, w] - times) / max(cv, 1)]
-            for k in range(3):
-                total[b][k] += times * p[k] / max(sum(p), 1e-300)
-        every = [sum(t[k] for t in total) + 1e-3 for k in range(3)]
-        smooth = [[t[k] + 3 * every[k] / sum(every) for k in range(3)] for t in total]
+        total = [[0.0] * 4 for _ in range(256)]
+        for b, p in seen:
+            mixed = [x * y for x, y in zip(a[b], p, strict=True)]
+            for k in range(4):
+                total[b][k] += mixed[k] / max(sum(mixed), 1e-300)
+        every = [sum(t[k] for t in total) + 1e-3 for k in range(4)]
+        smooth = [[t[k] + 3 * every[k] / sum(every) for k in range(4)] for t in total]
         a = [[x / sum(t) for x in t] for t in smooth]
     out = {}
     for i, t in texts.items():
-        score = 0.0
-        for v, w in zip([None, *t], t, strict=False):
-            m = a[int(math.floor(math.log2(c1[v] + 1)))]
-            score += math.log10(m[2] * c2[v, w] / max(c1[v], 1) + m[1] * c1[w] / max(n, 1) + m[0] / (v_size + 1))
-        out[i] = (role[i] == 0, len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10((c1[w] + 1) / (n + v_size + 1)) for w in t), score)
+        own = Counter(g for u, v, w in trigrams(t) for g in ((w,), (v, w), (u, v, w))) if role[i] else Counter()
+        others = Counter({g: c[g] - own[g] for u, v, w in trigrams(t) for g in ((w,), (v,), (u, v), (v, w), (u, v, w), (None,))})
+        mixed = [parts(u, v, w, k == 0, others, n - len(t) if role[i] else n) for k, (u, v, w) in enumerate(trigrams(t))]
+        score = sum(math.log10(sum(x * y for x, y in zip(a[b], p, strict=True))) for b, p in mixed)
+        out[i] = (role[i] == 0, len(t), sum(c[(w,)] > 0 for w in t), n, sum(math.log10((c[(w,)] + 1) / (n + v_size + 1)) for w in t), score)
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_words": 12, "hot_pairs": 4}, {"hot_words": 1, "hot_pairs": 1}])
-def test_lm_scoring(spark, limits):
+def test_lm_scoring(spark, monkeypatch):
+    """Also in chunks of a few texts, so that n-grams are asked for by many chunks."""
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(0, 40), 60).replace("w1", "W1")) for i in range(80)] + EDGES
+    rows += [(500 + i, f"a gram that a third of all documents hold {prose(rng, rng.randint(0, 5), 60)}") for i in range(40)]
     want = lm_brute(rows)
-    got = lm_scoring.score(frame(spark, rows), **limits).collect()
+    got = lm_scoring.score(frame(spark, rows, 7)).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r.doc_id]
@@ -69,12 +75,32 @@ def test_lm_scoring(spark, limits):
         assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-9)
 
 
+def test_lm_scores_texts_that_occur_twice_apart(spark):
+    """Held out or in training: a text that another document repeats is likelier, token by token, than one that stands alone."""
+    rng = random.Random(2)
+    once = [(i, prose(rng, 60, 800)) for i in range(150)]
+    twice = [(1000 + i, prose(rng, 60, 800)) for i in range(20)]
+    rows = once + twice + [(2000 + i, t) for i, (_, t) in enumerate(twice)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score(frame(spark, rows)).collect()}
+    line = sorted(got[i] for i, _ in once)[int(0.9 * len(once))]
+    trained = [i for i in got if i >= 1000 and zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(got[i] > line for i in trained) > 0.8 * len(trained)
+
+
 def test_lm_edges(spark):
     assert lm_scoring.score(frame(spark, [])).count() == 0
     got = lm_scoring.score(frame(spark, [(None, "a b"), (None, None), (3, "a"), (3, "b")])).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 4), (3, 4)]
 
 
+def test_lm_long_text_and_repeated_rows(spark):
+    """One text longer than any slice; rows that repeat an id are pieces of one document."""
+    rows = [(1, "one two three " * 700_000), (2, "two three four"), (2, "two three four"), (4, None)]
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, rows)).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {1: 2_100_001, 2: 8, 4: 1}
+    assert all(r.score < 0 and r.n_known <= r.n_tokens for r in got.values())
+
+
 def test_lm_beats_base_on_held_out(spark, sf_dir):
     r = lm_scoring.op1_lm_scoring(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
@@ -88,6 +114,27 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in d.collect())
 
 
+def test_densities_against_plain_matrices(spark):
+    """Scores from inverses and determinants, without Cholesky factors or running sums."""
+    rng = np.random.default_rng(5)
+    k, n = len(quality.FEATURES), 400
+    x = np.concatenate([rng.normal(0, 1, (n, k)) @ rng.normal(0, 1, (k, k)), rng.normal(0.7, 2, (n // 4, k))])
+    y = np.array([0] * n + [1] * (n // 4))
+    rows = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, label int")
+    model = quality.fit(rows, shrink=0.1, ridge=0.05)
+    pooled = sum(np.cov(x[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / len(y)
+    base = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(k)
+    log = []
+    for c in (0, 1):
+        own, count = np.cov(x[y == c].T, bias=True), (y == c).sum()
+        s = 0.1 + 0.9 * k / (k + count)
+        cov = (1 - s) * own + s * base
+        gap = x - x[y == c].mean(axis=0)
+        log.append(math.log(count / len(y)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap))
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
+    assert np.allclose(model.score(x), want, rtol=1e-6, atol=1e-9)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     rows = [(k, "plain words in a row, all well" if k % 2 else "SHOUT!! $$$ ### |||") for k in range(200)] + EDGES + [(None, "x")]
