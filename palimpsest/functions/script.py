@@ -18,13 +18,20 @@ STUDY_CLASSES = {
 
 
 def script_counts(x: Column) -> dict[str, Column]:
-    return {s: F.regexp_count(x, F.lit(c)).cast("long") for s, c in dims.SCRIPT_CLASSES.items()}
+    """Characters of each script: what a text loses with all runs of them, which is one match a run and not a character."""
+    return {s: (F.length(x) - F.length(F.regexp_replace(x, f"{c}+", ""))).cast("long") for s, c in dims.SCRIPT_CLASSES.items()}
 
 
 def detect_script(x: Column) -> Column:
     """The most frequent script; of equals the one whose character comes first; none: latin."""
-    found = F.array(*(F.struct(F.regexp_count(x, F.lit(c)).alias("n"), (-F.regexp_instr(x, F.lit(c))).alias("at"), F.lit(s).alias("script")) for s, c in dims.SCRIPT_CLASSES.items()))
-    return F.coalesce(F.array_max(F.filter(found, lambda s: s["n"] > 0))["script"], F.lit("latin"))
+    counts = script_counts(x)
+    found = F.filter(F.array(*(F.struct(n.alias("n"), F.lit(s).alias("script")) for s, n in counts.items())), lambda s: s["n"] > 0)
+    best = F.array_max(found)
+    # places are looked for only where two scripts are equally frequent
+    places = F.create_map(*(v for s, c in dims.SCRIPT_CLASSES.items() for v in (F.lit(s), F.regexp_instr(x, F.lit(c)))))
+    equals = F.filter(found, lambda s: s["n"] == best["n"])
+    first = F.array_max(F.transform(equals, lambda s: F.struct((-F.try_element_at(places, s["script"])).alias("at"), s["script"].alias("script"))))["script"]
+    return F.coalesce(F.when(F.size(equals) > 1, first).otherwise(best["script"]), F.lit("latin"))
 
 
 def has_script(x: Column, script: str) -> Column:

@@ -122,9 +122,12 @@ def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.transform(assemble.frontmatter_map(d), lambda p: F.concat(p["key"], F.lit("="), p["value"])), "|").alias("fields"))
 
 
-@query()
+@query(
+    """SELECT conv_id, '---' || chr(10) || 'title: "Conversation: ' || conv_id || '"' || chr(10) || 'language: "en"' || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) AS document
+    FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY conv_id"""
+)
 def frontmatter_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with YAML frontmatter; tests parse them back."""
+    """Documents with YAML frontmatter."""
     d = assemble.documents(read(spark, sf_dir, "conversations"), ["conv_id"], "turn").withColumns({"title": F.concat(F.lit("Conversation: "), F.col("conv_id").cast("string")), "language": F.lit("en")})
     return d.select("conv_id", assemble.frontmatter_document(d).alias("document"))
 

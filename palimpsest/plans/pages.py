@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..errors import ConfigError
 from ..formats import pages as formats
 from ..operators import metadata
 from ..sources import files, parse_text, reader
-from .inputs import engine_outputs, read
+from .inputs import ENGINE_OUTPUTS, engine_outputs, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,9 +36,13 @@ def _page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", F.col("turn").cast("int").alias("page_index"), display.page_label(F.col("turn")).alias("page_label"), "text", F.lit("complete").alias("status"), F.lit(None).cast("double").alias("confidence"))
 
 
-@query()
+@query(
+    f"""WITH {ENGINE_OUTPUTS}, o AS (SELECT conv_id, turn, string_agg(to_json(engine) || ':{{"text":' || to_json(text) || ',"error":' || coalesce(to_json(error), 'null') || '}}', ',' ORDER BY ord) AS outs FROM eo GROUP BY conv_id, turn)
+    SELECT c.conv_id, CAST(c.turn AS INTEGER) AS page_index, '{{"page_index":' || c.turn || ',"page_label":"page_' || lpad(CAST(c.turn + 1 AS VARCHAR), 4, '0') || '","markdown":' || coalesce(to_json(c.text), 'null') || ',"status":"complete","engine_outputs":{{' || o.outs || '}}}}' AS content
+    FROM conversations c JOIN o ON c.conv_id = o.conv_id AND c.turn = o.turn"""
+)
 def json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as JSON with their engines' outputs; tests parse them back."""
+    """Pages as JSON with their engines' outputs."""
     outs = engine_outputs(spark, sf_dir).groupBy("conv_id", F.col("turn").cast("int").alias("page_index")).agg(F.array_sort(F.collect_list(F.struct("ord", "engine", "text", "error"))).alias("outputs"))
     d = _page_table(spark, sf_dir).join(outs, ["conv_id", "page_index"])
     return formats.json_page(d).select("conv_id", "page_index", "content")
@@ -52,15 +58,44 @@ def _blocks(d: DataFrame) -> DataFrame:
     return d.withColumn("blocks", F.concat(head, rest).cast(formats.BLOCKS))
 
 
-@query()
+# One row a line of a page, with its place, its words and their number; lines without words have none.
+_LINES_OF = r"""l AS (SELECT conv_id, turn, generate_subscripts(x, 1) - 1 AS i, trim(regexp_replace(unnest(x), '<!--.*?-->', '', 'gs'), ' ' || chr(9) || chr(13) || chr(11) || chr(12) || chr(160)) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x FROM conversations)),
+e AS (SELECT conv_id, turn, i, line, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM l),
+w AS (SELECT conv_id, turn, i, list_filter(regexp_split_to_array(safe, '[\s\x{a0}]+'), lambda v: v <> '') AS ws FROM e)"""
+
+
+def _attribute(value: str) -> str:
+    return f"CASE WHEN NOT contains({value}, chr(34)) THEN chr(34) || {value} || chr(34) WHEN NOT contains({value}, chr(39)) THEN chr(39) || {value} || chr(39) ELSE chr(34) || replace({value}, chr(34), '&quot;') || chr(34) END"
+
+
+_PLACE = "' HPOS=\"10\" VPOS=\"' || (20 * i) || '\" WIDTH=\"490\" HEIGHT=\"20\"'"
+_ALTO = formats.alto_xml("@label@", "", [], time="").replace("'", "''")
+_PRINTED = _ALTO.index("</PrintSpace>") if "</PrintSpace>" in _ALTO else _ALTO.index("></PrintSpace")
+
+
+@query(
+    f"""WITH {_LINES_OF}, b AS (SELECT conv_id, turn, i, '<TextBlock ID="elem_' || (i + 1) || '"' || {_PLACE} || '>' || CASE WHEN len(ws) = 0 THEN '' ELSE '<TextLine' || {_PLACE} || '>' ||
+      array_to_string(list_transform(ws, lambda v: '<String CONTENT=' || {_attribute("v")} || {_PLACE} || ' WC="0.9000"/>'), '<SP/>') || '</TextLine>' END || '</TextBlock>' AS block FROM w)
+    SELECT conv_id, CAST(turn AS INTEGER) AS page_index, replace('{_ALTO[:_PRINTED]}', '@label@', 'page_' || lpad(CAST(turn + 1 AS VARCHAR), 4, '0')) || string_agg(block, '' ORDER BY i) || '{_ALTO[_PRINTED:]}' AS content FROM b GROUP BY conv_id, turn"""
+)
 def alto_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as ALTO; tests parse them back."""
+    """Pages as ALTO."""
     return formats.alto(_blocks(_page_table(spark, sf_dir))).select("conv_id", "page_index", "content")
 
 
-@query()
+_HOCR = formats.hocr_html("@label@", 0, "", []).replace("'", "''").replace("ppageno 1", "ppageno @number@")
+_AREA = _HOCR.index("</div></body>")
+_BOX = "'title=\"bbox 10 ' || (20 * i) || ' 500 ' || (20 * i + 20)"
+
+
+@query(
+    f"""WITH {_LINES_OF}, n AS (SELECT *, coalesce(sum(1 + CASE WHEN len(ws) > 0 THEN 2 + len(ws) ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM w),
+    b AS (SELECT conv_id, turn, i, '<div class="ocr_carea" id="block_' || (k + 1) || '" ' || {_BOX} || '">' || CASE WHEN len(ws) = 0 THEN '' ELSE '<p class="ocr_par" id="par_' || (k + 2) || '" ' || {_BOX} || '"><span class="ocr_line" id="line_' || (k + 3) || '" ' || {_BOX} || '">' ||
+      array_to_string(list_transform(ws, lambda v, j: '<span class="ocrx_word" id="word_' || (k + 3 + j) || '" ' || {_BOX} || '; x_wconf 90">' || v || '</span>'), ' ') || '</span></p>' END || '</div>' AS block FROM n)
+    SELECT conv_id, CAST(turn AS INTEGER) AS page_index, replace(replace('{_HOCR[:_AREA]}', '@label@', 'page_' || lpad(CAST(turn + 1 AS VARCHAR), 4, '0')), '@number@', CAST(turn + 1 AS VARCHAR)) || string_agg(block, '' ORDER BY i) || '{_HOCR[_AREA:]}' AS content FROM b GROUP BY conv_id, turn"""
+)
 def hocr_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as hOCR; tests parse them back."""
+    """Pages as hOCR."""
     return formats.hocr(_blocks(_page_table(spark, sf_dir))).select("conv_id", "page_index", "content")
 
 
@@ -74,7 +109,12 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", parse_text.html_title(F.col("html")).alias("title"))
 
 
-@query()
+_TEXT_OF = r"""h AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, h, trim(regexp_replace(h, '<[/a-zA-Z!?][^>]*>', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM h),
+p AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text, h FROM t)"""
+
+
+@query(f"""WITH {_TEXT_OF} SELECT page_id, text, trim(replace(replace(replace(replace(replace(regexp_extract(h, '(?is)<title[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')) AS title FROM p""")
 def html_text_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parser's text and title of whole pages."""
     found = read(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"))
@@ -143,15 +183,16 @@ def extension_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.detect(d).select("page_id", "ext", "format")
 
 
-@query()
+@query(f"""WITH {_TEXT_OF} SELECT page_id, 0 AS page_index, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM p""")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, page_index, n_chars, text_sha256) of all web pages, one file each, read by a stream in four micro-batches or more."""
     from ..pipeline import write_text_files
     from ..streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-stream-")
-    import uuid
-
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="palimpsest-stream-")
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     raw = read(spark, sf_dir, "pages").select("page_id", "html")
     named = raw.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))

@@ -233,8 +233,20 @@ def script_config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.script_config_summary(d).drop("avg_non_latin")
 
 
-@query()
+_BY_SCRIPT = {"cyrillic": "ru", "cjk": "zh", "arabic": "ar", "greek": "el", "devanagari": "hi"}
+_WORD_HITS = ", ".join(f"{{'n': len(list_filter(ws, lambda v: v IN ({', '.join(repr(w) for w in stop.split())}))), 'k': {-k}, 'lang': '{c}'}}" for k, (c, stop) in enumerate(S.STOP_WORDS.items()))
+_SCRIPT_OF = " ".join(f"WHEN script = '{s}' THEN '{c}'" for s, c in _BY_SCRIPT.items())
+_PAIRS = " ".join(f"WHEN lang = '{a}' THEN '{b}'" for a, b in dims.CONFUSION_PAIRS.items())
+_THREE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dims.ISO639_3.items())
+
+
+@query(
+    _DETECT.replace(_SCRIPT_SRC, "WITH t AS (SELECT doc_id, text AS x FROM documents)", 1)
+    + rf""", v AS (SELECT doc_id, x, regexp_split_to_array(lower(x), '[^\p{{L}}]+') AS ws FROM t), h AS (SELECT doc_id, x, list_sort([{_WORD_HITS}])[-1] AS best FROM v),
+    g AS (SELECT h.doc_id, CASE WHEN length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) < 10 OR x IS NULL THEN '' {_SCRIPT_OF} WHEN best.n > 0 THEN best.lang ELSE '' END AS lang FROM h JOIN d ON h.doc_id = d.doc_id),
+    z AS (SELECT doc_id, CASE {_PAIRS} ELSE lang END AS language FROM g) SELECT doc_id, language, CASE language {_THREE} ELSE language END AS language3 FROM z"""
+)
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in detector over all texts, with three-letter codes; tests cover its rules."""
+    """The stand-in detector over all texts, with three-letter codes."""
     d = read(spark, sf_dir, "documents").select("doc_id", S.detect_language(F.col("text")).alias("language"))
     return d.select("doc_id", "language", S.iso639_3(F.col("language")).alias("language3"))
