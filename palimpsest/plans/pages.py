@@ -109,9 +109,16 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", parse_text.html_title(F.col("html")).alias("title"))
 
 
-_TEXT_OF = r"""h AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g') AS h FROM pages),
-t AS (SELECT page_id, h, trim(regexp_replace(h, '<[/a-zA-Z!?][^>]*>', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM h),
-p AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text, h FROM t)"""
+_RAW = "(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
+_PLAIN = "{}"
+for _entity, _sign in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("nbsp", 160), ("copy", 169), ("middot", 183), ("mdash", 8212), ("ndash", 8211), ("hellip", 8230), ("raquo", 187), ("laquo", 171)):
+    _PLAIN = f"replace({_PLAIN}, '&{_entity};', chr({_sign}))"
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
+# Scripts and styles are text as they stand; elsewhere tags go and entities are read.
+_TEXT_OF = rf"""h AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<![a-zA-Z][^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, h, regexp_split_to_array(h, '{_RAW}') AS outside, regexp_extract_all(h, '{_RAW}') AS raw FROM h),
+t AS (SELECT page_id, h, array_to_string(list_transform(outside, lambda x, i: {_PLAIN.format("regexp_replace(x, '<[/a-zA-Z?][^>]*>', '', 'g')")} || coalesce(regexp_replace(regexp_replace(raw[i], '^<[^>]*>', ''), '</[^>]*>$', ''), '')), '') AS t FROM b),
+p AS (SELECT page_id, h, trim(t, ' ' || chr(10) || chr(9) || chr(13) || chr(160)) AS text FROM t)"""
 
 
 @query(f"""WITH {_TEXT_OF} SELECT page_id, text, trim(replace(replace(replace(replace(replace(regexp_extract(h, '(?is)<title[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')) AS title FROM p""")
