@@ -274,6 +274,12 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n]])
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting: several times as fast here as numpy's own, which hashes first."""
+    s = np.sort(x)
+    return s[np.concatenate([np.ones(min(len(s), 1), bool), s[1:] != s[:-1]])]
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """The partition of each hash: by its high 32 bits."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)

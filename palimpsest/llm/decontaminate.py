@@ -155,7 +155,7 @@ class Postings:
         before = p > 0
         passage = np.concatenate([first[doc] + p, (first[doc] + p - 1)[before]])
         term = np.concatenate([term, term[before]])
-        pair = np.unique(passage * len(self.terms) + term)
+        pair = C.distinct(passage * len(self.terms) + term)
         passage, term = pair // len(self.terms), pair % len(self.terms)
         n = self.block_start[term + 1] - self.block_start[term]
         row = np.repeat(np.arange(len(term)), n)
