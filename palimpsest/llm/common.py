@@ -295,6 +295,12 @@ def spread(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]
         yield int(part[a]), pack(*(c[a:b] for c in columns))
 
 
+def keep_rows(docs: DataFrame, run: Callable) -> DataFrame:
+    """``run`` over Arrow batches of all columns of ``docs``, whatever their names; all but doc_id and text go by number."""
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)))
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
+
+
 BLOB = "part int, blob binary"
 _BLOB_ARROW = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 

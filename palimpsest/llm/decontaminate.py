@@ -335,7 +335,7 @@ def clean(docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_questio
                         mask[[r[0] for r in index.search(*words, min_question, min_answer)]] = False
                     yield b.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(C.lean(run), docs.schema)
+        docs = C.keep_rows(docs, run)
     return docs
 
 

@@ -189,12 +189,11 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     The model is learnt from the labelled rows among ``docs``; each text is then scored where it
     stands, so texts are not shuffled."""
     model = learn(C.materialise(with_statistics(docs, ["doc_id"]), "quality-statistics"), labels)
-    arrow_names = docs.columns
 
     def run(batches):
         for whole in batches:
             for b in C.slices(whole, "text"):
                 mask = model.score(statistics(*C.text_bytes(b["text"]))) >= threshold
-                yield b.filter(pa.array(mask)).select(arrow_names)
+                yield b.filter(pa.array(mask))
 
-    return docs.mapInArrow(C.lean(run), docs.schema)
+    return C.keep_rows(docs, run)
