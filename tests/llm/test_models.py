@@ -17,7 +17,7 @@ from palimpsest.llm import decontaminate, lm_scoring, packing, quality, token_st
 from .test_dedup import EDGES, frame, lower, prose
 
 
-def lm_brute(rows, folds=7, held=2, deleted=3):
+def lm_brute(rows, folds=7, held=2, deleted=3, order=3):
     texts, role = {}, {}
     for i, t in rows:
         texts[i] = [w.decode() for w in lower(t or "").encode().split()] + [None]
@@ -27,7 +27,7 @@ def lm_brute(rows, folds=7, held=2, deleted=3):
     trigrams = lambda t: zip([None, None, *t], [None, *t], t, strict=False)
     for i, t in texts.items():
         for u, v, w in trigrams(t):
-            for g in ((w,), (v, w), (u, v, w)):
+            for g in ((w,), (v, w), (u, v, w))[:order]:
                 c[g] += role[i] > 0
                 f[g] += role[i] == 2
     n, v_size = sum(x for g, x in c.items() if len(g) == 1), sum(x > 0 for g, x in c.items() if len(g) == 1)
@@ -36,7 +36,7 @@ def lm_brute(rows, folds=7, held=2, deleted=3):
 
     def parts(u, v, w, first, c, n):
         """The bucket, and the four estimates; the words before a text are as frequent as ends."""
-        two, one = c[(None,)] if first else c[u, v], c[(v,)]
+        two, one = 0 if order < 3 else c[(None,)] if first else c[u, v], c[(v,)]
         return (level(two) if two > 0 else 128 + level(one)), [1 / (v_size + 1), c[(w,)] / max(n, 1), c[v, w] / max(one, 1), c[u, v, w] / max(two, 1)]
 
     rest = Counter({g: c[g] - f[g] for g in c})
@@ -53,7 +53,7 @@ def lm_brute(rows, folds=7, held=2, deleted=3):
         a = [[x / sum(t) for x in t] for t in smooth]
     out = {}
     for i, t in texts.items():
-        own = Counter(g for u, v, w in trigrams(t) for g in ((w,), (v, w), (u, v, w))) if role[i] else Counter()
+        own = Counter(g for u, v, w in trigrams(t) for g in ((w,), (v, w), (u, v, w))[:order]) if role[i] else Counter()
         others = Counter({g: c[g] - own[g] for u, v, w in trigrams(t) for g in ((w,), (v,), (u, v), (v, w), (u, v, w), (None,))})
         mixed = [parts(u, v, w, k == 0, others, n - len(t) if role[i] else n) for k, (u, v, w) in enumerate(trigrams(t))]
         score = sum(math.log10(sum(x * y for x, y in zip(a[b], p, strict=True))) for b, p in mixed)
@@ -61,13 +61,14 @@ def lm_brute(rows, folds=7, held=2, deleted=3):
     return out
 
 
-def test_lm_scoring(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scoring(spark, order):
     """Also in chunks of a few texts, so that n-grams are asked for by many chunks."""
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(0, 40), 60).replace("w1", "W1")) for i in range(80)] + EDGES
     rows += [(500 + i, f"a gram that a third of all documents hold {prose(rng, rng.randint(0, 5), 60)}") for i in range(40)]
-    want = lm_brute(rows)
-    got = lm_scoring.score(frame(spark, rows, 7)).collect()
+    want = lm_brute(rows, order=order)
+    got = lm_scoring.score(frame(spark, rows, 7), order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r.doc_id]
