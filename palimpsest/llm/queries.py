@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, quality, substring_dedup, suffix_dedup, token_store, vector_codes
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, vector_codes
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_qda": quality.op10_quality_qda,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
