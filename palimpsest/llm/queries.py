@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, vector_codes
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, lm_scoring, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, vector_codes
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_qda": quality.op10_quality_qda,
+    "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
