@@ -7,12 +7,12 @@ The probability of word w after the words u v mixes four maximum-likelihood esti
 with weights a that depend on the context's frequency bucket: floor(2 log2(c(u v) + 1)), or, where
 u v was never seen, the same of c(v) in buckets of its own. The weights are learned by
 expectation-maximisation on held-out counts: one fold of the training documents is deleted from all
-counts and predicted from the rest; the final estimates use all training documents, but for the
-one that is scored: a training document's own counts are deleted too, so that a score says what
-the rest of the corpus makes of a text, in training or not, and a text that stands twice in the
-corpus is told from one that merely knows itself. (The base score is the plain one, with all
-counts.) The text's end is a token, and also the words before the first (each text has one end and
-one beginning, so c(end) counts both).
+counts and predicted from the rest; the final estimates use all training documents. ``score`` is the
+log10 probability that this one model gives a text. ``score_without_own`` deletes a training document's
+own counts for its own score, so that it says what the rest of the corpus makes of a text, in training
+or not, and a text that stands twice in the corpus is told from one that merely knows itself. The
+text's end is a token, and also the words before the first (each text has one end and one beginning,
+so c(end) counts both).
 
 Everything is counted over all training tokens, in three steps. Texts are written once as compressed
 chunks. Each chunk sends its distinct n-grams of every order with their counts in it to the
@@ -47,7 +47,8 @@ END = np.uint64(0x51ED270B7A6C9E35)
 ORDERS = (1, 2, 3)
 _HALF = 128  # buckets of one kind of context
 _CHUNK = 1 << 20  # bytes of text that are worked on at a time
-_OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_RANGES = 8  # ranges of hashes in which a part adds up
+_OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double, score_without_own double"
 _U, _I, _F = np.uint64, np.int64, np.float64
 _STEP = {2: _U(0x9FB21C651E98DF25), 3: _U(0xC2B2AE3D27D4EB4F)}
 
@@ -141,16 +142,30 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
             if not mine:
                 continue
             hashes = [np.cumsum(m[1]) for m in mine]
-            u, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            c, f = (np.bincount(place, weights=np.concatenate([m[k] for m in mine]), minlength=len(u)).astype(_I) for k in (2, 3))
-            at = 0
-            for (chunk, *_), h in zip(mine, hashes, strict=True):
-                some = place[at : at + len(h)]
-                at += len(h)
-                here = int(C.part_of(h[:1], parts)[0])
-                yield C.blob_batch([(home_of(chunk, parts), b"A" + struct.pack("<Bqi", n, chunk, here) + squeeze(C.pack(c[some], f[some])))])
+            chunks, c, f = [m[0] for m in mine], [m[2] for m in mine], [m[3] for m in mine]
+            del mine
+            here = int(C.part_of(hashes[0][:1], parts)[0])
+            total = np.zeros(3, _I)
+            sums = [[] for _ in chunks]
+            # a range of the hashes after the other: what sorting them needs is a fraction of the part
+            low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes)
+            at = [0] * len(chunks)
+            for k in range(1, _RANGES + 1):
+                end = [len(h) for h in hashes] if k == _RANGES else [int(np.searchsorted(h, _U(low + (high - low) * k // _RANGES))) for h in hashes]
+                u, place = np.unique(np.concatenate([h[a:b] for h, a, b in zip(hashes, at, end, strict=True)]), return_inverse=True)
+                both = [np.bincount(place, weights=np.concatenate([x[a:b] for x, a, b in zip(y, at, end, strict=True)]), minlength=len(u)).astype(_I) for y in (c, f)]
+                if n == 1:
+                    total += [both[0].sum(), (both[0] > 0).sum(), both[1].sum()]
+                done = 0
+                for j, (a, b) in enumerate(zip(at, end, strict=True)):
+                    some = place[done : done + b - a]
+                    done += b - a
+                    sums[j].append(squeeze(C.pack(both[0][some], both[1][some])))
+                at = end
+            for chunk, own in zip(chunks, sums, strict=True):
+                yield C.blob_batch([(home_of(chunk, parts), b"A" + struct.pack("<Bqi", n, chunk, here) + b"".join(struct.pack("<q", len(x)) + x for x in own))])
             if n == 1:
-                yield C.blob_batch([(-1, C.pack(np.array([c.sum(), (c > 0).sum(), f.sum()], _I)))])
+                yield C.blob_batch([(-1, C.pack(total))])
 
     return C.materialise(C.exchange(requests, parts, add, C.BLOB), "n-gram-counts")
 
@@ -190,6 +205,18 @@ def places(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, own
 
 
+def sums_of(answers: list[bytes], expand) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all that a chunk asked for in one order, from its parts' answers in order."""
+    both = []
+    for x in answers:
+        at = 14
+        while at < len(x):
+            (size,) = struct.unpack_from("<q", x, at)
+            both.append(C.unpack(expand(x[at + 8 : at + 8 + size]), _I, _I))
+            at += 8 + size
+    return np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
+
+
 def at_home(blobs: Iterator[bytes], fold: bool, order: int) -> Iterator[Seen]:
     """The chunks of a home; ``fold``: only their texts of the deleted fold."""
     texts, answers = [], {}
@@ -212,13 +239,13 @@ def at_home(blobs: Iterator[bytes], fold: bool, order: int) -> Iterator[Seen]:
             if n > order:
                 c.append(np.zeros(int(mine.sum()), _I)), f.append(c[-1]), own.append(c[-1])
                 continue
-            sums = [C.unpack(expand(y[14:]), _I, _I) for k, _, y in got if k == n]
+            all_c, all_f = sums_of([y for k, _, y in got if k == n], expand)
             if fold:
                 place, mine_only = np.searchsorted(C.distinct(g), g[mine]), np.zeros(0, _I)
             else:
                 place, mine_only = places(g, row)
-            c.append(np.concatenate([s[0] for s in sums])[place])
-            f.append(np.concatenate([s[1] for s in sums])[place] if fold else np.zeros(0, _I))
+            c.append(all_c[place])
+            f.append(all_f[place] if fold else np.zeros(0, _I))
             own.append(mine_only)
         yield Seen(ids, row[mine], role[row[mine]], first[mine], c, f, own, order)
 
@@ -286,7 +313,7 @@ def learn_weights(held: DataFrame, n: int, v: int, rounds: int = 10) -> np.ndarr
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, deleted: int = 3, order: int = 3) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_without_own) for each document."""
     spark, parts = docs.sparkSession, C.part_count(docs)
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = docs.select(F.col("doc_id").cast("long"), "text", crc.alias("crc"))
@@ -311,19 +338,20 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, deleted: int = 3, orde
             add = lambda x, s=s: np.bincount(s.row, weights=x, minlength=len(s.ids))
             rest = [c - np.where(s.role > 0, o, 0) for c, o in zip(s.c, s.own, strict=True)]
             size = np.bincount(s.row, minlength=len(s.ids))
-            p = add(model.log10(*reversed(rest), *s.contexts(rest), np.where(s.role > 0, size[s.row], 0)))
-            yield from C.spread(C.part_of(C.mix(s.ids.view(_U)), parts), s.ids, size.astype(np.int32), add((s.c[0] > 0).astype(float)).astype(np.int32), add(model.base(s.c[0])), p)
+            p = add(model.log10(*reversed(s.c), *s.contexts(s.c), 0))
+            others = add(model.log10(*reversed(rest), *s.contexts(rest), np.where(s.role > 0, size[s.row], 0)))
+            yield from C.spread(C.part_of(C.mix(s.ids.view(_U)), parts), s.ids, size.astype(np.int32), add((s.c[0] > 0).astype(float)).astype(np.int32), add(model.base(s.c[0])), p, others)
 
     def add_up(blobs):
-        ids, count, seen, base, p = (np.concatenate(x) for x in zip(*(C.unpack(x, _I, np.int32, np.int32, _F, _F) for x in blobs), strict=True))
+        ids, count, seen, base, p, others = (np.concatenate(x) for x in zip(*(C.unpack(x, _I, np.int32, np.int32, _F, _F, _F) for x in blobs), strict=True))
         order = np.argsort(ids, kind="stable")
         at = C.runs(ids[order])[:-1]
         add = lambda x: np.add.reduceat(x[order], at)
         u = ids[order][at]
-        yield C.batch(_OUT, doc_id=pa.array(u, mask=u == -(2**63)), n_tokens=add(count.astype(_I)), n_known=add(seen.astype(_I)), base_score=add(base), score=add(p))
+        yield C.batch(_OUT, doc_id=pa.array(u, mask=u == -(2**63)), n_tokens=add(count.astype(_I)), n_known=add(seen.astype(_I)), base_score=add(base), score=add(p), score_without_own=add(others))
 
     out = C.exchange(spark.createDataFrame(homes.mapPartitions(scored), C.BLOB), parts, add_up, _OUT)
-    return out.select("doc_id", (crc % folds == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", (crc % folds == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "score_without_own")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

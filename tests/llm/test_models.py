@@ -56,7 +56,8 @@ def lm_brute(rows, folds=7, held=2, deleted=3, order=3):
         own = Counter(g for u, v, w in trigrams(t) for g in ((w,), (v, w), (u, v, w))[:order]) if role[i] else Counter()
         others = Counter({g: c[g] - own[g] for u, v, w in trigrams(t) for g in ((w,), (v,), (u, v), (v, w), (u, v, w), (None,))})
         mixed = [parts(u, v, w, k == 0, others, n - len(t) if role[i] else n) for k, (u, v, w) in enumerate(trigrams(t))]
-        score = sum(math.log10(sum(x * y for x, y in zip(a[b], p, strict=True))) for b, p in mixed)
+        log = lambda mixed: sum(math.log10(sum(x * y for x, y in zip(a[b], p, strict=True))) for b, p in mixed)
+        score = log([parts(u, v, w, k == 0, c, n) for k, (u, v, w) in enumerate(trigrams(t))]), log(mixed)
         out[i] = (role[i] == 0, len(t), sum(c[(w,)] > 0 for w in t), n, sum(math.log10((c[(w,)] + 1) / (n + v_size + 1)) for w in t), score)
     return out
 
@@ -73,7 +74,7 @@ def test_lm_scoring(spark, order):
     for r in got:
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
-        assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-9)
+        assert r.base_score == pytest.approx(w[4], rel=1e-9) and (r.score, r.score_without_own) == (pytest.approx(w[5][0], rel=1e-9), pytest.approx(w[5][1], rel=1e-9))
 
 
 def test_lm_scores_texts_that_occur_twice_apart(spark):
@@ -82,7 +83,7 @@ def test_lm_scores_texts_that_occur_twice_apart(spark):
     once = [(i, prose(rng, 60, 800)) for i in range(150)]
     twice = [(1000 + i, prose(rng, 60, 800)) for i in range(20)]
     rows = once + twice + [(2000 + i, t) for i, (_, t) in enumerate(twice)]
-    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.score_without_own / r.n_tokens for r in lm_scoring.score(frame(spark, rows)).collect()}
     line = sorted(got[i] for i, _ in once)[int(0.9 * len(once))]
     trained = [i for i in got if i >= 1000 and zlib.crc32(str(i).encode()) % 7 != 2]
     assert sum(got[i] > line for i in trained) > 0.8 * len(trained)
@@ -96,10 +97,13 @@ def test_lm_edges(spark):
 
 def test_lm_long_text_and_repeated_rows(spark):
     """One text longer than any slice; rows that repeat an id are pieces of one document."""
-    rows = [(1, "one two three " * 700_000), (2, "two three four"), (2, "two three four"), (4, None)]
+    long = "one two three " * 120_000
+    rows = [(1, long), (2, "two three four"), (2, "two three four"), (4, None)]
     got = {r.doc_id: r for r in lm_scoring.score(frame(spark, rows)).collect()}
-    assert {i: r.n_tokens for i, r in got.items()} == {1: 2_100_001, 2: 8, 4: 1}
-    assert all(r.score < 0 and r.n_known <= r.n_tokens for r in got.values())
+    assert {i: r.n_tokens for i, r in got.items()} == {1: 360_001, 2: 8, 4: 1}
+    want = lm_brute([(1, long), (4, None)])
+    alone = {r.doc_id: r.score for r in lm_scoring.score(frame(spark, [(1, long), (4, None)])).collect()}
+    assert alone == {i: pytest.approx(w[5][0], rel=1e-7) for i, w in want.items()}
 
 
 def test_lm_beats_base_on_held_out(spark, sf_dir):
