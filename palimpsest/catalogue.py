@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import engines, files, pages, readers, texts
+from .plans import engines, files, pages, readers, runs, texts
 
-QUERIES = texts.QUERIES | engines.QUERIES | files.QUERIES | pages.QUERIES | readers.QUERIES
-ORACLES = texts.ORACLES | engines.ORACLES | files.ORACLES | pages.ORACLES | readers.ORACLES
+QUERIES = texts.QUERIES | engines.QUERIES | files.QUERIES | pages.QUERIES | readers.QUERIES | runs.QUERIES
+ORACLES = texts.ORACLES | engines.ORACLES | files.ORACLES | pages.ORACLES | readers.ORACLES | runs.ORACLES

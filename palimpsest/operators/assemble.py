@@ -1,8 +1,8 @@
 """Documents from pages, collections from documents, frontmatter from metadata.
 
-A document is as large as its file and is built in one row. A collection grows with the
-corpus, so ``collection_parts`` keeps it as ordered rows; ``collection`` makes the single text
-that small collections are written as.
+A document is as large as its file and is built in one row. A collection grows with the corpus: ``write_collection``
+writes it as ordered files with a manifest, and ``collection_parts`` keeps it as ordered rows; ``collection`` makes the
+single text that small collections are written as.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import prefix
 
 # Frontmatter fields in order.
 FRONTMATTER = "title authors document_type language doi isbn journal publisher volume issue year date court docket_number edition series part_number revision pages abstract keywords identifiers".split()
@@ -67,3 +68,31 @@ def collection(docs: DataFrame, order: list[str], text: str = "document") -> Dat
     kept = docs.filter(~T.blank(F.col(text)))
     listed = F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in order), F.col(text).alias("_t"))))
     return kept.agg(F.count("*").alias("n_documents"), F.array_join(F.transform(listed, lambda d: d["_t"]), "\n\n---\n\n").alias("body"))
+
+
+RULE = "\n\n---\n\n"
+
+
+def manifest(docs: DataFrame, order: list[str], text: str = "document", parts: int | None = None) -> DataFrame:
+    """The non-blank documents with ``position`` (from 0), ``offset`` and ``bytes`` in the collection's UTF-8, ``sha256`` of
+    each, and ``_part``, the file that it is in.
+
+    Lengths are added up by ranges of the order, so neither the collection nor its list is ever in one task."""
+    d = prefix.ranges(docs.filter(~T.blank(F.col(text))), order, parts)
+    size = F.octet_length(text).cast("long")
+    d = prefix.sums_before(d, {"position": F.lit(1).cast("long"), "offset": size + F.lit(len(RULE)).cast("long")})
+    return d.withColumns({"bytes": size, "sha256": F.sha2(F.col(text), 256)})
+
+
+def write_collection(docs: DataFrame, order: list[str], folder: str, text: str = "document", parts: int | None = None) -> DataFrame:
+    """Writes the documents in order, parted by rules, as files under ``folder``; returns their manifest without texts.
+
+    ``_part=N`` holds range N of the order, in one file; end to end, by number, the files are the collection and a last
+    line break."""
+    known = manifest(docs, order, text, parts)
+    last = known.agg(F.max("position")).first()[0]
+    line = F.when(F.col("position") == last, F.col(text)).otherwise(F.concat(F.col(text), F.lit(RULE[:-1])))
+    # a range is one task and one file, whose rows are sorted by part first, as the writer wants them
+    rows = known.select("_part", "position", line.alias("value")).repartition("_part").sortWithinPartitions("_part", "position")
+    rows.select("_part", "value").write.partitionBy("_part").text(folder)
+    return known.drop(text)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
+from . import prefix
 
 
 def with_engine_cost(df: DataFrame, engines: DataFrame) -> DataFrame:
@@ -76,6 +77,68 @@ def admit_variable(df: DataFrame, cap: float, group: list[str], seq: str, estima
     return d.repartition(*group).sortWithinPartitions(*group, "seq").mapInArrow(fold, out)
 
 
+def admit_run(df: DataFrame, cap: float, order: list[str], estimate: str, actual: str, parts: int | None = None, unit: float = 1e-6) -> DataFrame:
+    """``df`` with ``admitted`` and ``spent`` (this call included) under one cap for the whole run, in order.
+
+    A call is admitted if spent + estimate <= cap; refused ones spend nothing. Seen from what was spent before it, a
+    range of calls is a function; two of its values are known from sums alone: if even its highest point (the greatest of
+    what is spent so far and the next estimate) stays under the cap, the whole range is admitted, and calls whose
+    estimate exceeds what is left are refused, however it goes on. So all ranges add up in parallel, and only one in
+    which a call that was affordable at its beginning is refused is folded call by call, by one task that streams it.
+    After that, the ranges behind it add up again, without the calls that can no longer be afforded. With few different
+    estimates that happens a few times; it cannot happen more often than there are ranges.
+
+    Costs are whole numbers of ``unit``; null and negative ones count as 0. Equal orders are to be told apart by
+    ``order``'s last columns. The driver holds a few numbers a range."""
+    micro = lambda c: F.greatest(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / unit), F.lit(0.0)).cast("long")
+    limit = round(cap / unit)
+    d = prefix.ranges(df.withColumns({"_e": micro(estimate), "_a": micro(actual)}), order, parts)
+    count = [r["_part"] for r in d.select("_part").distinct().collect()]
+    steps = {p: [] for p in count}  # of a range: from which call on how much was left, as far as refusals tell
+    spent, done = 0, -1
+    while done < max(count, default=-1):
+        left = limit - spent
+        before = F.coalesce(F.sum("_a").over(W.partitionBy("_part").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        open_ = d.filter((F.col("_part") > done) & (F.col("_e") <= left))
+        sums = {r["_part"]: r for r in open_.withColumn("_top", before + F.col("_e")).groupBy("_part").agg(F.sum("_a").alias("total"), F.max("_top").alias("top")).collect()}
+        folded = None
+        for p in sorted(q for q in count if q > done):
+            steps[p].append((0, left))
+            if p in sums and spent + sums[p]["top"] > limit:
+                folded = p
+                break
+            spent += sums[p]["total"] if p in sums else 0
+            done = p
+        if folded is not None:
+            steps[folded], spent = _folded(open_.filter(F.col("_part") == folded), spent, limit, left)
+            done = folded
+    known = prefix.of_parts(d, {p: ([{"k": k, "left": r} for k, r in v],) for p, v in steps.items()}, "_steps array<struct<k:int,left:long>>")
+    left = F.array_max(F.filter("_steps", lambda x: x["k"] <= F.col("_k")))["left"]
+    known = known.withColumn("admitted", F.col("_e") <= left).drop("_steps")
+    out = prefix.sums_before(known, {"_before": F.when(F.col("admitted"), F.col("_a")).otherwise(0)})
+    return out.withColumn("spent", (F.col("_before") + F.when(F.col("admitted"), F.col("_a")).otherwise(0)) * F.lit(unit)).drop("_before", "_e", "_a", "_part", "_k")
+
+
+def _folded(calls: DataFrame, spent: int, limit: int, left: int) -> tuple[list[tuple[int, int]], int]:
+    """One range, call by call: from which calls on less was left than an earlier call's estimate, and what was spent at its end."""
+
+    def fold(batches):
+        total, bound, k, r = spent, left, [0], [left]
+        for b in batches:
+            for place, e, a in zip(b["_k"].to_pylist(), b["_e"].to_pylist(), b["_a"].to_pylist(), strict=True):
+                if e > bound:
+                    continue
+                if total + e <= limit:
+                    total += a
+                else:
+                    bound = limit - total
+                    k.append(place), r.append(bound)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(r, pa.int64()), pa.array([total] * len(k), pa.int64())], names=["k", "left", "total"])
+
+    rows = calls.select("_k", "_e", "_a").repartition(1).sortWithinPartitions("_k").mapInArrow(fold, "k int, left long, total long").collect()
+    return [(r["k"], r["left"]) for r in rows], rows[0]["total"]
+
+
 def breaker(df: DataFrame, engine: list[str], order: list[str], failed: str, threshold: int = 5) -> DataFrame:
     """Adds ``failures`` (in a row, this call included) and ``open`` (threshold reached): one success closes."""
     w = W.partitionBy(*engine).orderBy(*order)

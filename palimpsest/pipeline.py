@@ -10,7 +10,8 @@ output folder:
     documents/ one row a file with frontmatter
     formats/   one row a page and output format
 
-A second run reads ``pages`` and skips files whose (path, sha256) is done.
+``pages`` is a keyed, versioned table (``operators/store.py``): a second run takes up the pages that are not done, and
+all pages of files whose content has changed, whose old pages go; a run that breaks off leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .formats import formatter
 from .formats.pages import BLOCKS
 from .functions import display
 from .functions import text as T
-from .operators import assemble, layout, metadata, reconcile, state
+from .operators import assemble, layout, metadata, reconcile, state, store
 from .sources import files, images, reader
 
 KEY = ["path", "page_index"]
@@ -49,11 +50,8 @@ class Pipeline:
 
     def pending(self, found: DataFrame) -> DataFrame:
         """Files that the state table does not show as done with the same content."""
-        try:
-            done = self.spark.read.parquet(f"{self.config.output_dir}/pages")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        done = store.pages_table(self.spark, self.config.output_dir).read()
+        if done is None:
             return found
         finished = done.groupBy("path", "sha256").agg(F.bool_and(F.col("status").isin(state.DONE)).alias("ok")).filter("ok").select("path", "sha256")
         return found.withColumn("sha256", F.coalesce(F.sha2("content", 256), F.lit(""))).join(finished, ["path", "sha256"], "left_anti").drop("sha256")
@@ -125,8 +123,13 @@ class Pipeline:
     def run(self) -> dict:
         """Write all tables; the run's counts."""
         out = self.config.output_dir.rstrip("/")
+        table = store.pages_table(self.spark, out)
         found = self.pending(self.discover())
-        pages = self.pages(found)
+        # files are read and parsed once: what follows starts from a table
+        self.pages(found).write.mode("overwrite").parquet(f"{out}/parsed")
+        pages, before = self.spark.read.parquet(f"{out}/parsed"), table.read()
+        if before is not None:
+            pages = state.pages_to_do(pages, before, [*KEY, "sha256"])
         merged = None
         if self.engines:
             # calls are made once: their results are a table before anything reads them twice
@@ -135,8 +138,8 @@ class Pipeline:
             seen = layout.page_blocks(outputs, KEY)
             self.reconciled(outputs).join(seen, KEY, "left").write.mode("overwrite").parquet(f"{out}/merged")
             merged = self.spark.read.parquet(f"{out}/merged")
-        self.with_comments(self.finished_pages(pages, merged)).write.mode("append").parquet(f"{out}/pages")
-        done = self.spark.read.parquet(f"{out}/pages")
+        table.merge(self.with_comments(self.finished_pages(pages, merged)), "run", table.head().writers.get("run", 0) + 1)
+        done = table.read()
         self.documents(done).write.mode("overwrite").parquet(f"{out}/documents")
         for name in self.config.output_formats:
             formatter(name)(done).select("short_sha", "page_label", F.lit(name).alias("output_format"), "content").write.mode("overwrite").partitionBy("output_format").parquet(f"{out}/formats/{name}")

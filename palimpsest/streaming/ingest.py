@@ -1,14 +1,10 @@
-"""Incremental ingestion: files as a stream, states kept by Spark's checkpoints."""
+"""Incremental ingestion: files as a stream, their pages as a keyed table that takes each micro-batch once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import store
 from ..sources import files, reader
 
 
@@ -18,37 +14,21 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*", per_trigge
 
 
 def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, pattern: str = "*", per_trigger: int = 1000) -> DataFrame:
-    """Parse all files that have come since the last call and append their pages; returns the pages table.
+    """Parse all files that have come since the last call into the table of pages at ``output``; returns its rows.
 
-    The trigger ends when everything that is there has been read; each file is read once over all calls."""
+    The trigger ends when everything that is there has been read; each file is read once over all calls. A batch is
+    merged under the stream's own name and the batch's number, so one that Spark repeats, because its end was not
+    recorded, leaves the table as it was. A file that comes again with other content replaces its pages."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        reader.pages(files.detect(batch)).write.mode("append").parquet(output)
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")  # of the checkpoint: stays over restarts
+        _table(session, output).merge(reader.pages(files.detect(batch)), f"stream {stream}", number)
 
     q = file_stream(spark, folder, pattern, per_trigger).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(output)
-
-
-def breaker_stream(calls: DataFrame, threshold: int = 5) -> DataFrame:
-    """(engine, seq, failures, is_open) for a stream of calls (engine, seq, failed): the count in a row is the engine's state.
-
-    Within a micro-batch an engine's calls are taken in order of ``seq``."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        calls = pd.concat(list(batches)).sort_values("seq")
-        counts = []
-        for failed in calls["failed"]:
-            run = run + 1 if failed else 0
-            counts.append(run)
-        state.update((run,))
-        yield pd.DataFrame({"engine": key[0], "seq": calls["seq"].to_numpy(), "failures": counts, "is_open": [c >= threshold for c in counts]})
-
-    return calls.groupBy("engine").applyInPandasWithState(step, "engine string, seq long, failures long, is_open boolean", "run long", "append", GroupStateTimeout.NoTimeout)
+    return _table(spark, output).read()
 
 
-def completed_documents(pages: DataFrame) -> DataFrame:
-    """(path, done) as pages (path, page_count, status) stream in: complete once every page is done."""
-    done = F.sum(F.when(F.col("status").isin("complete", "extracted", "skipped"), 1).otherwise(0))
-    return pages.groupBy("path").agg((done >= F.max("page_count")).alias("done"))
+def _table(spark: SparkSession, path: str) -> store.StateTable:
+    return store.StateTable(spark, path, ["path", "page_index"], ["path"], generation="sha256")

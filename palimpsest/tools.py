@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import config as settings
 from . import dims
 from .functions import script
-from .operators import state
+from .operators import state, store
 from .pipeline import Pipeline
 from .sources import files, reader
 
@@ -81,7 +81,7 @@ def process(spark: SparkSession, config: settings.Config, engines: list | None =
 
 
 def status(spark: SparkSession, output_dir: str) -> DataFrame:
-    return state.checkpoint_stats(spark.read.parquet(f"{output_dir}/pages").withColumnRenamed("path", "rel_path"))
+    return state.checkpoint_stats(store.pages_table(spark, output_dir).read().withColumnRenamed("path", "rel_path"))
 
 
 def transcript(texts: DataFrame, column: str = "text", limit: int = 10_000) -> DataFrame:

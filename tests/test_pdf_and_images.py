@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import answers, services
 from palimpsest.config import Config
-from palimpsest.operators import layout
+from palimpsest.operators import layout, store
 from palimpsest.pipeline import Pipeline
 from palimpsest.plans import readers
 from palimpsest.sources import files, images, pdf, reader
@@ -139,7 +139,7 @@ def test_blocks_reach_alto_and_hocr(spark, tmp_path):
     (tmp_path / "in" / "t.tiff").write_bytes(readers.tiff([b"abc", b"defg"]))
     config = Config(input_dir=str(tmp_path / "in"), output_dir=str(tmp_path / "out"), input_extensions=("cbz", "tiff"), output_formats=("alto", "hocr"), vlm_enabled=False)
     Pipeline(spark, config, engines=[services.StubRecognizer("marker", "marker {index} {size}"), Boxed()]).run()
-    pages = {(r.path.rsplit("/", 1)[1], r.page_index): r for r in spark.read.parquet(f"{tmp_path}/out/pages").collect()}
+    pages = {(r.path.rsplit("/", 1)[1], r.page_index): r for r in store.pages_table(spark, f"{tmp_path}/out").read().collect()}
     assert pages["c.cbz", 0].text.endswith("11") and pages["c.cbz", 1].text.endswith("222") and {r.status for r in pages.values()} == {"complete"}
     assert pages["t.tiff", 1].blocks[0].words[0].bbox.x1 == 3
     formats = spark.read.parquet(f"{tmp_path}/out/formats/alto").filter(F.col("content").contains('HPOS="1" VPOS="2" WIDTH="2" HEIGHT="2" CONTENT="seen" WC="0.5000"'))

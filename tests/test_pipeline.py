@@ -5,7 +5,6 @@ import re
 from pathlib import Path
 from xml.etree import ElementTree as ET
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from palimpsest import config as settings
 from palimpsest.errors import ConfigError, MergeError
 from palimpsest.formats import formatter
 from palimpsest.formats import pages as formats
+from palimpsest.operators import store
 from palimpsest.pipeline import Pipeline, write_text_files
 from palimpsest.sources import files, reader
 from palimpsest.streaming import ingest
@@ -157,7 +157,7 @@ def test_run(spark, folder):
     engines = [services.StubRecognizer("marker", "scan number {index}", fails_on=(2,), confidence=0.8), services.StubRecognizer("mathpix", "totally different words {index}", fails_on=(2,))]
     stats = Pipeline(spark, c, engines, services.StubMerger("merged by model", cost=0.01)).run()
     assert (stats["pages_processed"], stats["pages_complete"], stats["pages_failed"]) == (6, 4, 2)
-    pages = {(r.path.rsplit("/", 1)[1], r.page_index): r for r in spark.read.parquet(f"{out}/pages").collect()}
+    pages = {(r.path.rsplit("/", 1)[1], r.page_index): r for r in store.pages_table(spark, str(out)).read().collect()}
     assert (pages["a.txt", 0].status, pages["a.txt", 0].text, pages["a.txt", 0].estimated_cost) == ("extracted", "Plain text¬\nhere", 0.0)
     assert pages["b.html", 0].text.startswith('<!-- doc:" Web"')
     assert (pages["s.cbz", 0].status, pages["s.cbz", 0].merge_strategy, pages["s.cbz", 0].estimated_cost, pages["s.cbz", 0].confidence) == ("complete", "vlm", pytest.approx(0.015), 0.8)
@@ -179,7 +179,7 @@ def test_run_within_budget(spark, folder):
     c = settings.with_values(settings.Config(), {"input_dir": str(src), "output_dir": str(out), "input_extensions": "cbz", "budget_cap_usd": 0.00015})
     engines = [services.StubRecognizer("tesseract", "one {index}"), services.StubRecognizer("marker", "something else {index}")]
     Pipeline(spark, c, engines, services.StubMerger("merged")).run()
-    got = sorted((r.page_index, r.merge_strategy) for r in spark.read.parquet(f"{out}/pages").collect())
+    got = sorted((r.page_index, r.merge_strategy) for r in store.pages_table(spark, str(out)).read().collect())
     assert got == [(0, "vlm"), (1, "pick_best"), (2, "pick_best")]
 
 
@@ -197,16 +197,6 @@ def test_streams(spark, tmp_path):
     assert [r.text for r in ingest.ingest(*args).collect()] == ["one"]
     (src / "b.html").write_text("<p>two</p>")
     assert sorted(r.text for r in ingest.ingest(*args).collect()) == ["one", "two"]
-    calls = tmp_path / "calls"
-    for k, fails in enumerate(([1, 1, 0], [1, 1, 1])):
-        spark.createDataFrame(pd.DataFrame({"engine": "e", "seq": [3 * k + i for i in range(3)], "failed": [bool(x) for x in fails]}), "engine string, seq long, failed boolean").coalesce(1).write.mode("append").parquet(str(calls))
-    s = spark.readStream.schema("engine string, seq long, failed boolean").parquet(str(calls))
-    q = ingest.breaker_stream(s, 3).writeStream.format("memory").queryName("breaker").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [(r.seq, r.failures, r.is_open) for r in spark.table("breaker").orderBy("seq").collect()]
-    assert got == [(0, 1, False), (1, 2, False), (2, 0, False), (3, 1, False), (4, 2, False), (5, 3, True)]
-    p = spark.createDataFrame([("f", 2, "complete"), ("f", 2, "extracted"), ("g", 2, "complete")], "path string, page_count int, status string")
-    assert {(r.path, r.done) for r in ingest.completed_documents(p).collect()} == {("f", True), ("g", False)}
 
 
 def test_streaming_ingest_takes_all_pages(spark, sf_dir, monkeypatch):
