@@ -19,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import config as settings
@@ -29,7 +28,7 @@ from .formats import formatter
 from .formats.pages import BLOCKS
 from .functions import display
 from .functions import text as T
-from .operators import assemble, layout, metadata, reconcile, state, store
+from .operators import assemble, costing, layout, metadata, reconcile, state, store
 from .sources import files, images, reader
 
 KEY = ["path", "page_index"]
@@ -71,9 +70,9 @@ class Pipeline:
         c = self.config
         d = reconcile.reconcile(outputs, KEY, c.vlm_enabled and self.merger is not None, c.vlm_agreement_threshold)
         if c.budget_cap_usd is not None:
-            # constant cost of a call: the first cap / cost calls of the run, in order of pages
-            n = F.row_number().over(W.orderBy(*KEY))
-            wants = d.filter("merge_strategy = 'vlm'").select(*KEY).withColumn("_ok", n * F.lit(c.vlm_cost_per_call) <= F.lit(c.budget_cap_usd))
+            # in order of pages, over the whole run
+            asked = d.filter("merge_strategy = 'vlm'").select(*KEY, F.lit(c.vlm_cost_per_call).alias("_cost"))
+            wants = costing.admit_run(asked, c.budget_cap_usd, KEY, "_cost", "_cost").select(*KEY, F.col("admitted").alias("_ok"))
             d = d.join(wants, KEY, "left").withColumn("merge_strategy", F.when((F.col("merge_strategy") == "vlm") & ~F.coalesce("_ok", F.lit(False)), "pick_best").otherwise(F.col("merge_strategy"))).drop("_ok")
         all_text = F.array_join(F.transform("outputs", lambda o: F.coalesce(o["text"], F.lit(""))), " ")
         prof = settings.profile(c.profile)

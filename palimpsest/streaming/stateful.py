@@ -98,6 +98,8 @@ class Completion(StatefulProcessor):
         self.alarm = _Alarm(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.size.exists() and self.size.get()[1] + self.patience <= timerValues.getCurrentWatermarkInMs():
+            yield from self._given_up(key)  # its time was over before these rows came
         pages, last, complete = self.size.get() if self.size.exists() else (0, 0, False)
         for r in rows:
             pages, last = max(pages, r["page_count"]), max(last, r["ms"])
@@ -113,6 +115,10 @@ class Completion(StatefulProcessor):
         self.alarm.set(last + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.size.exists() and self.size.get()[1] + self.patience <= timerValues.getCurrentWatermarkInMs():
+            yield from self._given_up(key)
+
+    def _given_up(self, key) -> Iterator[Row]:
         pages, _, complete = self.size.get()
         if not complete:
             yield Row(path=key[0], pages_done=sum(1 for _ in self.done.keys()), page_count=pages, complete=False)
