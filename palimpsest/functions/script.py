@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from . import text as T
 
 # The classes of the comparison study.
 STUDY_CLASSES = {
@@ -17,21 +16,47 @@ STUDY_CLASSES = {
 }
 
 
+def _removed(x: Column, script: str) -> Column:
+    """Characters of a script: what a text loses with all runs of them, which is one match a run and not a character."""
+    return (F.length(x) - F.length(F.regexp_replace(x, f"{dims.SCRIPT_CLASSES[script]}+", ""))).cast("long")
+
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _beyond_ascii(x: Column) -> Column:
+    """The characters that can be of another script than latin."""
+    return F.regexp_replace(x, r"[\x00-\x7F]+", "")
+
+
 def script_counts(x: Column) -> dict[str, Column]:
-    """Characters of each script: what a text loses with all runs of them, which is one match a run and not a character."""
-    return {s: (F.length(x) - F.length(F.regexp_replace(x, f"{c}+", ""))).cast("long") for s, c in dims.SCRIPT_CLASSES.items()}
+    """Characters of each script."""
+    return {s: _removed(x if s == "latin" else _beyond_ascii(x), s) for s in dims.SCRIPT_CLASSES}
 
 
 def detect_script(x: Column) -> Column:
-    """The most frequent script; of equals the one whose character comes first; none: latin."""
-    counts = script_counts(x)
-    found = F.filter(F.array(*(F.struct(n.alias("n"), F.lit(s).alias("script")) for s, n in counts.items())), lambda s: s["n"] > 0)
-    best = F.array_max(found)
-    # places are looked for only where two scripts are equally frequent
-    places = F.create_map(*(v for s, c in dims.SCRIPT_CLASSES.items() for v in (F.lit(s), F.regexp_instr(x, F.lit(c)))))
-    equals = F.filter(found, lambda s: s["n"] == best["n"])
-    first = F.array_max(F.transform(equals, lambda s: F.struct((-F.try_element_at(places, s["script"])).alias("at"), s["script"].alias("script"))))["script"]
-    return F.coalesce(F.when(F.size(equals) > 1, first).otherwise(best["script"]), F.lit("latin"))
+    """The most frequent script; of equals the one whose character comes first; none: latin.
+
+    Two passes over the text, for latin characters and for those beyond ASCII; only where latin ones are not the
+    majority is what the second leaves looked through for each script."""
+
+    def settled(v: Column) -> Column:
+        counts = F.array(*(F.struct((v["latin"] if s == "latin" else _removed(v["rest"], s)).alias("n"), F.lit(s).alias("script")) for s in dims.SCRIPT_CLASSES))
+        found = F.filter(counts, lambda c: c["n"] > 0)
+        return F.when(v["latin"] > F.length(v["rest"]), F.lit("latin")).otherwise(_bound(found, among))
+
+    def among(found: Column) -> Column:
+        return _bound(F.array_max(found), lambda best: first_of(F.filter(found, lambda s: s["n"] == best["n"]), best))
+
+    def first_of(equals: Column, best: Column) -> Column:
+        # places are looked for only where two scripts are equally frequent
+        places = F.create_map(*(v for s, c in dims.SCRIPT_CLASSES.items() for v in (F.lit(s), F.regexp_instr(x, F.lit(c)))))
+        first = F.array_max(F.transform(equals, lambda s: F.struct((-F.try_element_at(places, s["script"])).alias("at"), s["script"].alias("script"))))["script"]
+        return F.when(F.size(equals) > 1, first).otherwise(best["script"])
+
+    return F.coalesce(_bound(F.struct(_removed(x, "latin").alias("latin"), _beyond_ascii(x).alias("rest")), settled), F.lit("latin"))
 
 
 def has_script(x: Column, script: str) -> Column:
@@ -61,24 +86,3 @@ def settle_language(detected: Column, hints: Column) -> Column:
     lang = dims.lookup(dims.CONFUSION_PAIRS, detected, detected)
     hinted = (F.size(hints) > 0) & ~F.array_contains(hints, lang)
     return F.when(F.coalesce(detected, F.lit("")) == "", "").when(hinted, F.try_element_at(hints, F.lit(1))).otherwise(lang)
-
-
-#: Function words of the detector that stands in for a statistical one (any can be passed instead).
-STOP_WORDS = {
-    "en": "the of and to in is that it was for on with as his be at by this have from", "fr": "le la les de des et en un une que qui est pour dans sur pas au aux avec ou",
-    "de": "der die das und ist nicht ein eine zu den von mit sich auf dem des im auch als war", "es": "el los las que y en un una por con para del se es al su como lo mas pero",
-    "it": "il che di e la un una per non sono con del della gli le si nel ha anche da", "pt": "o os as que e do da em um uma para com nao se na por mais dos como mas",
-    "nl": "de het een en van ik te dat die in niet zijn is was op aan met voor er maar", "sv": "och att det som en den av inte med var han for till har de ett om",
-}
-
-
-def detect_language(x: Column, hints: Column | None = None) -> Column:
-    """Language by function words and script; texts of under 10 visible characters give ''."""
-    low = F.lower(x)
-    hits = lambda stop: F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(stop.split())})(?!\p{{L}})"))
-    scored = F.array(*(F.struct(hits(stop).alias("n"), F.lit(-k).alias("at"), F.lit(c).alias("lang")) for k, (c, stop) in enumerate(STOP_WORDS.items())))
-    best = F.array_max(scored)
-    by_script = dims.lookup({"cyrillic": "ru", "cjk": "zh", "arabic": "ar", "greek": "el", "devanagari": "hi"}, detect_script(x))
-    lang = F.coalesce(by_script, F.when(best["n"] > 0, best["lang"]), F.lit(""))
-    lang = F.when(F.length(T.ptrim(x)) < 10, "").otherwise(lang)
-    return settle_language(lang, hints if hints is not None else F.array().cast("array<string>"))

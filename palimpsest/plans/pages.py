@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
-from ..errors import ConfigError
+from .. import dims, scratch
 from ..formats import pages as formats
 from ..operators import metadata
 from ..sources import files, parse_text, reader
@@ -162,11 +158,12 @@ _LINES = r"regexp_replace(replace(trim(text, ' ' || chr(10)), chr(10), ' '), '\s
 
 @query(f"SELECT conv_id, string_agg({_LINES}, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE length({_LINES}) > 0 GROUP BY conv_id")
 def subtitle_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as SubRip files and read back, a cue a turn."""
+    """Conversations written as SubRip files, every other one with carriage returns, and read back, a cue a turn."""
     line = F.regexp_replace(F.replace(F.trim(F.regexp_replace("text", r"\A[ \n]+|[ \n]+\z", "")), F.lit("\n"), F.lit(" ")), r"\s+", " ")
     cue = F.concat(F.col("turn").cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), line)
     d = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n\n").alias("srt"))
-    return d.select("conv_id", parse_text.srt(F.col("srt")).alias("transcript"))
+    content = F.when(F.col("conv_id") % 2 == 0, F.replace("srt", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("srt")).cast("binary")
+    return d.select("conv_id", parse_text.subtitles(parse_text.decode(content), F.lit(".srt")).alias("transcript"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -196,11 +193,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..pipeline import write_text_files
     from ..streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="palimpsest-stream-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch.folder(spark, "stream")
     raw = read(spark, sf_dir, "pages").select("page_id", "html")
     named = raw.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
     per_trigger = min(1000, max(1, -(-write_text_files(named, f"{base}/in").count() // 4)))

@@ -9,7 +9,7 @@ from .. import dims
 from ..functions import metrics as M
 from ..functions import script as S
 from ..functions import text as T
-from ..operators import evaluation, reconcile
+from ..operators import evaluation, language, reconcile
 from .inputs import ascii, read
 
 QUERIES: dict = {}
@@ -233,20 +233,37 @@ def script_config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.script_config_summary(d).drop("avg_non_latin")
 
 
-_BY_SCRIPT = {"cyrillic": "ru", "cjk": "zh", "arabic": "ar", "greek": "el", "devanagari": "hi"}
-_WORD_HITS = ", ".join(f"{{'n': len(list_filter(ws, lambda v: v IN ({', '.join(repr(w) for w in stop.split())}))), 'k': {-k}, 'lang': '{c}'}}" for k, (c, stop) in enumerate(S.STOP_WORDS.items()))
-_SCRIPT_OF = " ".join(f"WHEN script = '{s}' THEN '{c}'" for s, c in _BY_SCRIPT.items())
+_SCRIPT_OF = " ".join(f"WHEN script = '{s}' THEN '{c}'" for s, c in language.BY_SCRIPT.items())
 _PAIRS = " ".join(f"WHEN lang = '{a}' THEN '{b}'" for a, b in dims.CONFUSION_PAIRS.items())
 _THREE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dims.ISO639_3.items())
-
-
-@query(
+# Trigrams of letters, counted on four folds of five; the 300 most frequent of each language, weighted as log probabilities.
+_LANGUAGES = (
     _DETECT.replace(_SCRIPT_SRC, "WITH t AS (SELECT doc_id, text AS x FROM documents)", 1)
-    + rf""", v AS (SELECT doc_id, x, regexp_split_to_array(lower(x), '[^\p{{L}}]+') AS ws FROM t), h AS (SELECT doc_id, x, list_sort([{_WORD_HITS}])[-1] AS best FROM v),
-    g AS (SELECT h.doc_id, CASE WHEN length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) < 10 OR x IS NULL THEN '' {_SCRIPT_OF} WHEN best.n > 0 THEN best.lang ELSE '' END AS lang FROM h JOIN d ON h.doc_id = d.doc_id),
-    z AS (SELECT doc_id, CASE {_PAIRS} ELSE lang END AS language FROM g) SELECT doc_id, language, CASE language {_THREE} ELSE language END AS language3 FROM z"""
+    + rf""", ch AS (SELECT doc_id, lang, doc_id % 5 <> 0 AS train, string_split(' ' || regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g') || ' ', '') AS c FROM documents WHERE text IS NOT NULL),
+    tg AS MATERIALIZED (SELECT doc_id, lang, train, g, count(*) AS m FROM (SELECT doc_id, lang, train, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM ch) GROUP BY doc_id, lang, train, g),
+    cn AS (SELECT lang, g, sum(m) AS n FROM tg WHERE train AND lang IS NOT NULL GROUP BY lang, g),
+    us AS (SELECT DISTINCT g FROM (SELECT g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS k FROM cn) WHERE k <= 300),
+    tt AS (SELECT lang, sum(n) AS total FROM cn JOIN us USING (g) GROUP BY lang),
+    wt AS MATERIALIZED (SELECT us.g, tt.lang AS l, CAST(round(1000 * ln((coalesce(cn.n, 0) + 1) / (tt.total + (SELECT count(*) FROM us)))) AS BIGINT) AS w FROM us CROSS JOIN tt LEFT JOIN cn ON cn.g = us.g AND cn.lang = tt.lang),
+    sc AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY sum(m * w) DESC, l) AS k FROM tg JOIN wt USING (g) GROUP BY doc_id, l),
+    lg AS (SELECT t.doc_id, CASE WHEN x IS NULL OR length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) < 10 THEN '' {_SCRIPT_OF} ELSE coalesce(sc.l, '') END AS lang FROM t JOIN d ON t.doc_id = d.doc_id LEFT JOIN sc ON sc.doc_id = t.doc_id AND sc.k = 1),
+    lf AS (SELECT doc_id, CASE {_PAIRS} ELSE lang END AS language FROM lg)"""
 )
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return language.detect(d, language.learn(d.filter("doc_id % 5 <> 0")), "doc_id")
+
+
+@query(_LANGUAGES + f" SELECT doc_id, language, CASE language {_THREE} ELSE language END AS language3 FROM lf")
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in detector over all texts, with three-letter codes."""
-    d = read(spark, sf_dir, "documents").select("doc_id", S.detect_language(F.col("text")).alias("language"))
-    return d.select("doc_id", "language", S.iso639_3(F.col("language")).alias("language3"))
+    """Languages of all texts by trigrams learnt on four folds of five, with three-letter codes."""
+    return _languages(spark, sf_dir).select("doc_id", "language", S.iso639_3(F.col("language")).alias("language3"))
+
+
+@query(_LANGUAGES + " SELECT d.lang, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE lf.language = d.lang) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE lf.language = '') AS BIGINT) AS unknown FROM documents d JOIN lf USING (doc_id) WHERE d.doc_id % 5 = 0 GROUP BY d.lang")
+def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many held-out texts are told right, by their true language."""
+    d = read(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(_languages(spark, sf_dir), "doc_id")
+    return d.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.col("language") == F.col("lang")).alias("found"), F.count_if(F.col("language") == "").alias("unknown"))

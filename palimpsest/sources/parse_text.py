@@ -13,8 +13,8 @@ TXT_NOTE = "\n\n[truncated at 100 MB]"
 
 
 def decode(content: Column) -> Column:
-    """UTF-8, with replacement characters for bytes that are none."""
-    return F.decode(content, "UTF-8")
+    """UTF-8, with replacement characters for bytes that are none; every line end is a line feed."""
+    return F.regexp_replace(F.decode(content, "UTF-8"), "\r\n?", "\n")
 
 
 def plain_text(content: Column) -> Column:

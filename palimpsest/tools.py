@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from . import config as settings
 from . import dims
-from .functions import script
-from .operators import state, store
+from .operators import language, state, store
 from .pipeline import Pipeline
 from .sources import files, reader
 
@@ -84,9 +83,10 @@ def status(spark: SparkSession, output_dir: str) -> DataFrame:
     return state.checkpoint_stats(store.pages_table(spark, output_dir).read().withColumnRenamed("path", "rel_path"))
 
 
-def transcript(texts: DataFrame, column: str = "text", limit: int = 10_000) -> DataFrame:
-    """Transcripts with their language, cut for display."""
-    return texts.withColumns({"language": script.detect_language(F.col(column)), column: F.substring(column, 1, limit)})
+def transcript(texts: DataFrame, profiles: DataFrame, key: str = "path", column: str = "text", limit: int = 10_000) -> DataFrame:
+    """Transcripts with their language by ``profiles`` (``language.learn``), cut for display."""
+    found = language.detect(texts, profiles, key, column)
+    return texts.join(found, key).withColumn(column, F.substring(column, 1, limit))
 
 
 def handwriting_lines(lines: DataFrame, page_key: list[str], per_page: int = 50) -> DataFrame:

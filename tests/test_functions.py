@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import display, identifiers, metrics, script
 from palimpsest.functions import text as T
+from palimpsest.operators import language
 
 
 def values(spark, column, rows, schema="x string"):
@@ -100,8 +102,34 @@ def test_language_rules(spark):
     assert values(spark, script.settle_language(F.col("x"), hints), ["en", "de", "no", ""]) == ["en", "fr", "fr", ""]
     none = F.array().cast("array<string>")
     assert values(spark, script.settle_language(F.col("x"), none), ["no", "bs", "ca", "en"]) == ["nb", "hr", "es", "en"]
-    rows = ["the cat sat on the mat and it was good for all", "le chat est dans la maison avec une amie", "short", "Это довольно длинный текст"]
-    assert values(spark, script.detect_language(F.col("x")), rows) == ["en", "fr", "", "ru"]
+
+
+def test_scripts_of_mixed_texts(spark):
+    """Every mixture of the classes, against counting characters one by one."""
+    rng = random.Random(2)
+    some = {"latin": "aé", "cyrillic": "жд", "cjk": "漢か", "arabic": "مر", "greek": "Ελ", "devanagari": "मस", "": " 1.—"}
+    rows = ["".join(rng.choice(some[rng.choice(list(some))]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    want, counted = [], []
+    for r in rows:
+        n = {s: sum(c in some[s] for c in r) for s in some if s}
+        best = max(n.values())
+        want.append("latin" if best == 0 else min((s for s in n if n[s] == best), key=lambda s: min(r.index(c) for c in r if c in some[s])))
+        counted.append(tuple(n[s] for s in sorted(n)))
+    assert values(spark, script.detect_script(F.col("x")), rows) == want
+    counts = script.script_counts(F.col("x"))
+    assert [tuple(v) for v in values(spark, F.array(*(counts[s] for s in sorted(counts))), rows)] == counted
+
+
+def test_detected_languages(spark):
+    known = [("en", "the cat sat on the mat and it was good for all that they have"), ("fr", "le chat est dans la maison avec une amie et les enfants"), (None, "nobody knows")]
+    profiles = language.learn(spark.createDataFrame(known, "lang string, text string"), top=50)
+    rows = [(1, "the hat of that man"), (2, "une maison dans les champs"), (3, "short"), (4, "Это довольно длинный текст"), (5, None), (6, "??? !!! 12345 67890"), (7, "x" * 20)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    assert {r.k: r.language for r in language.detect(df, profiles, "k").collect()} == {1: "en", 2: "fr", 3: "", 4: "ru", 5: "", 6: "", 7: ""}
+    hinted = {r.k: r.language for r in language.detect(df, profiles, "k", hints=F.array(F.lit("fr"))).collect()}
+    assert hinted == {1: "fr", 2: "fr", 3: "", 4: "fr", 5: "", 6: "", 7: ""}
+    assert language.detect(df, language.learn(spark.createDataFrame([], "lang string, text string")), "k").filter("language = 'ru' OR language = ''").count() == 7
+    assert values(spark, language.trigrams(F.col("x")), ["Ab, c", ""]) == [[" ab", "ab ", "b c", " c "], []]
 
 
 def test_identifiers(spark):

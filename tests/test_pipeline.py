@@ -13,7 +13,7 @@ from palimpsest import config as settings
 from palimpsest.errors import ConfigError, MergeError
 from palimpsest.formats import formatter
 from palimpsest.formats import pages as formats
-from palimpsest.operators import store
+from palimpsest.operators import language, store
 from palimpsest.pipeline import Pipeline, write_text_files
 from palimpsest.sources import files, reader
 from palimpsest.streaming import ingest
@@ -226,7 +226,8 @@ def test_tools(spark, folder, capsys):
     assert tools.process(spark, c).first().n_pages == 1
     lines = spark.createDataFrame([(1, 1, "a", 0.5), (1, 2, "b", 1.0), (1, 51, "c", 0.0)], "page int, line_no int, text string, confidence double")
     assert tools.handwriting_lines(lines, ["page"]).first().asDict() == {"page": 1, "text": "a\nb", "confidence": 0.75}
-    assert tools.transcript(spark.createDataFrame([("the cat and the dog in the house",)], "text string")).first().language == "en"
+    profiles = language.learn(spark.createDataFrame([("en", "the cat and the dog in the house"), ("fr", "le chat et le chien dans la maison")], "lang string, text string"))
+    assert tools.transcript(spark.createDataFrame([("p", "the dog and the cat of the house")], "path string, text string"), profiles).first().language == "en"
     for flags in (["--list-profiles"], ["--list-engines"], ["--list-languages"], ["--list-languages-for", "marker"], ["-i", str(src), "-o", str(out), "--dry-run", "--input-extensions", "txt"]):
         assert cli.main(flags, spark) == 0
     assert "a.txt" in capsys.readouterr().out
