@@ -1,8 +1,12 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import dims
-from palimpsest.operators import assemble, costing, evaluation, layout, metadata, reconcile, state
+from palimpsest.functions import metrics
+from palimpsest.operators import alignment, assemble, costing, evaluation, layout, metadata, reconcile, state
 
 OUT = "page int, engine string, ord int, text string, error string, confidence double"
 
@@ -166,3 +170,41 @@ def test_reports(spark, tmp_path):
     assert (m[2].cross_cer_vs_baseline, m[2].cjk_found) == (None, True)
     evaluation.write_report(evaluation.benchmark(truth, outs, ["fixture"]), str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).columns == evaluation.BENCHMARK_COLUMNS
+
+
+def test_alignment_of_long_texts(spark):
+    """Sums over pieces against full tables: exact for misread texts, never less for any others; pieces make up the texts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdeé漢\U0001f600", k=rng.randint(1, 7)))
+
+    def misread(t):
+        return "".join(rng.choice(["", "x", c + c]) if rng.random() < 0.03 else c for c in t)
+
+    def some(n, words):
+        return "".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(n))
+
+    stock = [word() for _ in range(3000)]
+    read = [some(rng.randint(0, 1500), stock) for _ in range(12)]
+    pairs = [(k, t, misread(t)) for k, t in enumerate(read)]
+    other = [(100, "", ""), (101, None, "a b c"), (102, "x " * 2000, "x " * 1990), (103, some(600, stock), some(600, stock)), (104, (a := some(300, stock)) + (b := some(300, stock)), b + a), (105, "no words in common here", "other ones there")]
+    df = spark.createDataFrame([*pairs, *other], "k long, r string, h string").repartition(4)
+    got = {r.k: r for r in alignment.distances(df, ["k"], "r", "h", least=50).collect()}
+    for k, r, h in [*pairs, *other]:
+        exact = metrics.edit_distance(r or "", h or "")
+        assert (got[k].ref_chars, got[k].hyp_chars) == (len(r or ""), len(h or ""))
+        assert got[k].char_errors == exact if k < 100 or k in (100, 101, 102, 105) else got[k].char_errors >= exact
+    parts = {}
+    for p in sorted(alignment.pieces(df, ["k"], "r", "h", least=50).collect(), key=lambda p: p.piece):
+        x = parts.setdefault(p.k, ["", "", 0])
+        x[0], x[1], x[2] = x[0] + p.a, x[1] + p.b, max(x[2], len(p.a))
+    assert {k: tuple(v[:2]) for k, v in parts.items()} == {k: (r or "", h or "") for k, r, h in [*pairs, *other]}
+    assert max(parts[k][2] for k, r, _ in pairs) < 0.5 * max(len(r) for _, r, _ in pairs)
+
+
+def test_rising_chain():
+    rng = random.Random(8)
+    for _ in range(200):
+        b = rng.sample(range(30), rng.randint(0, 10))
+        chain = alignment.rising_chain(list(range(len(b))), b)
+        best = max((bin(m).count("1") for m in range(1 << len(b)) if all(x < y for x, y in itertools.pairwise([b[k] for k in range(len(b)) if m >> k & 1]))), default=0)
+        assert len(chain) == best and all(b[x] < b[y] for x, y in itertools.pairwise(chain))
