@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import assemble, costing, state, store
+from ..sources import datasource
 from ..streaming import stateful
 from .inputs import PAGES, pages, read
 
@@ -151,3 +152,19 @@ def collection_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = assemble.documents(read(spark, sf_dir, "conversations"), ["conv_id"], "turn")
     m = assemble.write_collection(d, ["conv_id"], scratch.folder(spark, "collection"))
     return m.select("conv_id", "position", "offset", "bytes", "sha256")
+
+
+@query(
+    r"""WITH f AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(12) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, strlen(body) AS length, unnest(string_split(body, chr(12))) AS text, generate_subscripts(string_split(body, chr(12)), 1) - 1 AS page_index FROM f)
+    SELECT conv_id, CAST(length AS BIGINT) AS length, CAST(page_index AS INTEGER) AS page_index, sha256(text) AS sha256 FROM p WHERE length >= 2000"""
+)
+def source_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of a format of its own, read as a data source that opens only files of 2,000 bytes and more."""
+    from ..pipeline import write_text_files
+
+    folder = scratch.folder(spark, "chapters")
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\f").alias("content"))
+    write_text_files(c.select(F.concat("conv_id", F.lit(".txt")).alias("name"), "content"), folder).count()
+    d = datasource.load(spark, datasource.Chapters, folder, partitionBytes=1 << 20).filter("length >= 2000")
+    return d.select(F.regexp_extract("path", r"(-?\d+)[.]txt$", 1).cast("long").alias("conv_id"), "length", "page_index", F.sha2("text", 256).alias("sha256"))
