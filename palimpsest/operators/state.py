@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import display
@@ -81,13 +82,30 @@ def invalidate(state: DataFrame, files: DataFrame) -> DataFrame:
     return state.join(files.select("rel_path").distinct(), "rel_path", "left_anti")
 
 
-def migrate_v1(old: DataFrame) -> DataFrame:
-    """Rows of version 1 (one row a file, ``pages`` as an array of structs) as rows of the page table."""
-    return old.select("rel_path", "sha256", F.posexplode_outer("pages").alias("page_index", "p")).select(
-        "rel_path", "sha256", "page_index", display.page_label(F.col("page_index")).alias("page_label"), F.coalesce("p.status", F.lit("pending")).alias("status"), F.coalesce("p.estimated_cost", F.lit(0.0)).alias("estimated_cost")
+def migrated(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Rows of the page table from checkpoint files of any version, one JSON text a row, mixed as they come.
+
+    Version 1 is an object of files by path; later ones hold one file under ``pdf``. Files are values of the JSON, and
+    so are their pages: no schema is imposed, fields that are missing have the state's defaults, texts that are no JSON
+    and files without pages give nothing. Of one path's files the one of the highest version counts, and of equal ones
+    the one last updated."""
+    spark = bodies.sparkSession
+    texts = bodies.select(F.try_parse_json(F.col(body)).alias("v")).filter("v IS NOT NULL")
+    files = spark.sql(
+        """SELECT path, version, updated, file FROM (
+             SELECT variant_get(v, '$.rel_path', 'string') AS path, try_variant_get(v, '$.version', 'int') AS version, coalesce(try_variant_get(v, '$.updated_at', 'string'), '') AS updated, variant_get(v, '$.pdf') AS file FROM {t} WHERE variant_get(v, '$.pdf') IS NOT NULL
+             UNION ALL SELECT f.key, 1, '', f.value FROM {t}, LATERAL variant_explode(v) AS f WHERE variant_get(v, '$.pdf') IS NULL AND f.key IS NOT NULL AND schema_of_variant(f.value) LIKE 'OBJECT<%')
+           WHERE variant_get(file, '$.pages') IS NOT NULL""",
+        t=texts,
     )
-
-
-def merge_state(state: DataFrame, news: DataFrame, key: list[str]) -> DataFrame:
-    """The state table after new rows: a key's new row replaces its old one."""
-    return state.join(news.select(*key), key, "left_anti").unionByName(news, allowMissingColumns=True)
+    latest = W.partitionBy("path").orderBy(F.desc("version"), F.desc("updated"))
+    files = files.withColumn("k", F.row_number().over(latest)).filter("k = 1")
+    pages = spark.sql(
+        """SELECT path AS rel_path, version, coalesce(try_variant_get(file, '$.sha256', 'string'), '') AS sha256, p.pos, p.value AS page FROM {f}, LATERAL variant_explode(variant_get(file, '$.pages')) AS p""", f=files
+    )
+    of = lambda name, kind: F.expr(f"try_variant_get(page, '$.{name}', '{kind}')")
+    index = F.coalesce(of("page_index", "int"), F.col("pos"))
+    return pages.select(
+        "rel_path", "version", "sha256", index.alias("page_index"), F.coalesce(of("page_label", "string"), display.page_label(index)).alias("page_label"), F.coalesce(of("status", "string"), F.lit("pending")).alias("status"),
+        F.coalesce(of("estimated_cost", "double"), F.lit(0.0)).alias("estimated_cost"), of("confidence", "double").alias("confidence"), of("error", "string").alias("error"),
+    )

@@ -16,13 +16,14 @@ all pages of files whose content has changed, whose old pages go; a run that bre
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as settings
-from . import dims, services
+from . import dims, progress, services
 from .config import Config
 from .formats import formatter
 from .formats.pages import BLOCKS
@@ -32,6 +33,7 @@ from .operators import assemble, costing, layout, metadata, reconcile, state, st
 from .sources import files, images, reader
 
 KEY = ["path", "page_index"]
+logger = logging.getLogger(__name__)
 
 
 @dataclass
@@ -137,7 +139,9 @@ class Pipeline:
             seen = layout.page_blocks(outputs, KEY)
             self.reconciled(outputs).join(seen, KEY, "left").write.mode("overwrite").parquet(f"{out}/merged")
             merged = self.spark.read.parquet(f"{out}/merged")
-        table.merge(self.with_comments(self.finished_pages(pages, merged)), "run", table.head().writers.get("run", 0) + 1)
+        finished, seen = progress.observed(self.with_comments(self.finished_pages(pages, merged)))
+        table.merge(finished, "run", table.head().writers.get("run", 0) + 1)
+        logger.info("pages of this run: %s", seen.get)
         done = table.read()
         self.documents(done).write.mode("overwrite").parquet(f"{out}/documents")
         for name in self.config.output_formats:

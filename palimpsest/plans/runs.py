@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import scratch
+from .. import progress, scratch
 from ..operators import assemble, costing, state, store
-from ..sources import datasource
+from ..sources import datasource, extras
 from ..streaming import stateful
 from .inputs import PAGES, pages, read
 
@@ -168,3 +168,90 @@ def source_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_text_files(c.select(F.concat("conv_id", F.lit(".txt")).alias("name"), "content"), folder).count()
     d = datasource.load(spark, datasource.Chapters, folder, partitionBytes=1 << 20).filter("length >= 2000")
     return d.select(F.regexp_extract("path", r"(-?\d+)[.]txt$", 1).cast("long").alias("conv_id"), "length", "page_index", F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    f"""WITH {PAGES}, x AS (SELECT rel_path, page_index, status, CAST(estimated_cost AS DOUBLE) AS estimated_cost, CAST(regexp_extract(rel_path, '[0-9]+') AS BIGINT) AS k FROM pg)
+    SELECT rel_path, CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END AS version, CASE WHEN k % 2 = 0 THEN '' ELSE 'sha' || k END AS sha256, page_index, 'page_' || lpad(CAST(page_index + 1 AS VARCHAR), 4, '0') AS page_label,
+      CASE WHEN k % 2 = 0 AND status = 'pending' THEN 'pending' ELSE status END AS status, estimated_cost FROM x"""
+)
+def state_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint files of two versions in one read: files of even numbers in old ones together, the others one each, and
+    also, outdated, in the old ones; some texts are broken."""
+    p = pages(spark, sf_dir).withColumn("k", F.regexp_extract("rel_path", "[0-9]+", 0).cast("long"))
+    old = F.struct("page_index", F.when(F.col("status") != "pending", F.col("status")).alias("status"), "estimated_cost")
+    new = F.struct("page_index", F.concat(F.lit("page_"), F.lpad((F.col("page_index") + 1).cast("string"), 4, "0")).alias("page_label"), "status", "estimated_cost", "confidence")
+    by_file = lambda page: p.groupBy("rel_path", "k").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    first = by_file(old).withColumn("pages", F.when(F.col("k") % 2 == 0, F.col("pages")).otherwise(F.slice("pages", 1, 1)))
+    entry = F.concat(F.to_json(F.struct(F.col("rel_path").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("rel_path").alias("v")))) - 6), F.lit(":"), F.to_json(F.struct("pages")))
+    files_of_old = first.groupBy(F.floor(F.col("k") / 50).alias("g")).agg(F.concat(F.lit('{"note":"none","empty":{},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("body")).select("body")
+    single = by_file(new).filter("k % 2 = 1").select(F.to_json(F.struct(F.lit(3).alias("version"), F.lit("2026-01-01").alias("updated_at"), "rel_path", F.struct(F.concat(F.lit("sha"), "k").alias("sha256"), "pages").alias("pdf"))).alias("body"))
+    broken = single.select(F.concat(F.col("body"), F.lit("}")).alias("body"))
+    d = state.migrated(files_of_old.union(single).union(broken))
+    return d.select("rel_path", "version", "sha256", "page_index", "page_label", "status", "estimated_cost")
+
+
+_RECORDS = """r AS (SELECT doc_id, lang, source, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header records of documents: a title and authors of their words, an imprint, and a reference for every third word of ten."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), " "), lambda w: w != "").alias("w"))
+    word = lambda k: F.coalesce(F.get("w", k), F.lit(""))
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split()[0]}>"))
+    author = lambda a, b: tag("author", tag("persName", tag('forename type="first"', a), tag("surname", b)))
+    number = F.col("doc_id").cast("string")
+    source = tag("sourceDesc", tag("biblStruct", tag("analytic", author(word(0), word(1)), author(word(2), word(3)), tag('idno type="DOI"', F.lit("10.1/"), number)),
+        tag("monogr", tag('title level="j"', F.lit("Journal "), F.col("lang")), tag("imprint", tag('biblScope unit="volume"', number), F.lit('<biblScope unit="page" from="1" to="2">1-2</biblScope><date type="other">1800</date><date type="published" when="2020-05-01"/>')))))
+    about = tag("profileDesc", tag("abstract", tag("p", word(4), F.lit(" "), word(5))), tag("textClass", tag("keywords", tag("term", word(6)), F.lit("<term/>"), tag("term", F.lit("known")))))
+    listed = F.array_join(F.transform(F.slice("w", 1, 9), lambda w, i: F.when(i % 3 == 2, tag("biblStruct", tag("analytic", tag("title", w), tag("author", F.lit("Some One"))), F.lit("<monogr><imprint><date>1999</date></imprint></monogr>"))).otherwise(F.lit("<biblStruct/>"))), "")
+    record = F.concat(F.lit('<?xml version="1.0"?><tei:TEI xmlns:tei="http://www.tei-c.org/ns/1.0" xmlns="http://www.tei-c.org/ns/1.0">'), tag("teiHeader", tag("fileDesc", tag("titleStmt", tag("title", word(0), F.lit(" "), word(1))), source), about), tag("text", tag("back", tag("div", tag("listBibl", listed)))), F.lit("</tei:TEI>"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 10 == 9, F.lit("broken <")).otherwise(record).alias("xml"))
+
+
+@query(
+    f"""WITH {_RECORDS}, g AS (SELECT *, doc_id % 10 <> 9 AS ok, list_transform(range(1, 8), lambda i: coalesce(w[i], '')) AS v FROM r)
+    SELECT doc_id, CASE WHEN ok THEN trim(v[1] || ' ' || v[2]) ELSE '' END AS title, CASE WHEN ok THEN array_to_string(list_filter([trim(v[1] || ' ' || v[2]), trim(v[3] || ' ' || v[4])], lambda a: a <> ''), ';') ELSE '' END AS authors,
+      CASE WHEN ok THEN trim(v[5] || ' ' || v[6]) ELSE '' END AS abstract, CASE WHEN NOT ok THEN '' WHEN v[7] = '' THEN 'known' ELSE v[7] || ';known' END AS keywords, CASE WHEN ok THEN '10.1/' || doc_id ELSE '' END AS doi,
+      CASE WHEN ok THEN 'Journal ' || lang ELSE '' END AS journal, CASE WHEN ok THEN CAST(doc_id AS VARCHAR) ELSE '' END AS volume, '' AS issue, CASE WHEN ok THEN '1-2' ELSE '' END AS pages, CASE WHEN ok THEN '2020' ELSE '' END AS year FROM g"""
+)
+def record_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of header records, by columns over their XML."""
+    d = extras.headers(_records(spark, sf_dir), "doc_id")
+    return d.withColumns({"authors": F.array_join("authors", ";"), "keywords": F.array_join("keywords", ";")})
+
+
+@query(
+    f"""WITH {_RECORDS}, i AS (SELECT doc_id, w[i] AS title, i // 3 - 1 AS number FROM (SELECT doc_id, w, unnest([3, 6, 9]) AS i FROM r WHERE doc_id % 10 <> 9) WHERE len(w) >= i)
+    SELECT doc_id, CAST(number AS INTEGER) AS number, title, 'Some One' AS authors, '1999' AS year, '' AS doi FROM i"""
+)
+def record_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of records, empty ones left out."""
+    d = extras.references(_records(spark, sf_dir), "doc_id")
+    return d.select("doc_id", "number", "title", F.array_join("authors", ";").alias("authors"), "year", "doi")
+
+
+@query(
+    f"""WITH {PAGES}, n AS (SELECT count(*) AS pages, count(*) FILTER (WHERE status IN ('complete', 'extracted', 'skipped')) AS done, count(*) FILTER (WHERE status = 'failed') AS failed, round(sum(estimated_cost), 4) AS cost FROM pg)
+    SELECT unnest(['batch', 'stream']) AS kind, CAST(pages AS BIGINT) AS pages, CAST(done AS BIGINT) AS done, CAST(failed AS BIGINT) AS failed, cost FROM n"""
+)
+def progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is observed while the pages are written, in a batch and in a stream of several micro-batches."""
+    import time
+
+    base = scratch.folder(spark, "progress")
+    seen_pages, seen = progress.observed(pages(spark, sf_dir))
+    seen_pages.repartition(3, "page_index").write.parquet(f"{base}/in")
+    log = progress.ProgressLog("pages")
+    spark.streams.addListener(log)
+    try:
+        source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        q = progress.observed_stream(source).writeStream.format("noop").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        until = time.time() + 60
+        while str(q.id) not in log.ended and time.time() < until:  # listeners are told a little later
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    row = lambda kind, c: (kind, c["pages"], c["done"], c["failed"], round(c["cost"] or 0.0, 4))
+    return spark.createDataFrame([row("batch", seen.get), row("stream", {"pages": 0, "done": 0, "failed": 0, "cost": 0.0} | log.total())], "kind string, pages long, done long, failed long, cost double")

@@ -10,97 +10,97 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parse_python import local, named, own_text, xml_root
-
 _IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tiff", ".tif", ".svg")
 _LEAST_BYTES = 100
 
 
-def _child(e, *path):
-    for tag in path:
-        e = next((c for c in e if local(c.tag) == tag), None) if e is not None else None
-    return e
-
-
-def _person(e) -> str:
-    p = _child(e, "persName")
-    names = [own_text(c) for c in (p if p is not None else ()) if local(c.tag) == "forename"] + [own_text(_child(p, "surname"))]
-    return " ".join(n for n in names if n) or "".join(e.itertext()).strip()
-
-
-def _imprint(monogr) -> dict:
-    i = _child(monogr, "imprint")
-    scope = {c.get("unit", ""): own_text(c) for c in (i if i is not None else ()) if local(c.tag) == "biblScope"}
-    dates = [c for c in (i if i is not None else ()) if local(c.tag) == "date"]
-    date = next((d for d in dates if d.get("type") == "published"), dates[0] if dates else None)
-    year = (date.get("when", "")[:4] or own_text(date)) if date is not None else ""
-    return {"journal": own_text(_child(monogr, "title")), "volume": scope.get("volume", ""), "issue": scope.get("issue", ""), "pages": scope.get("page", ""), "year": year}
-
-
-def _doi(e) -> str:
-    return next((own_text(i) for i in named(e, "idno") if i.get("type") == "DOI"), "")
-
-
-def header_fields(xml: str) -> dict:
-    """Title, authors, abstract, keywords, DOI and imprint of a header record; '' where missing or broken."""
-    try:
-        root = xml_root(xml.encode())
-    except Exception:
-        root = xml_root(b"<none/>")
-    statement = next(named(root, "titleStmt"), None)
-    title = _child(statement, "title")
-    inner = _child(title, "title")
-    source = next(named(root, "sourceDesc"), None)
-    monogr = next(named(source, "monogr"), None) if source is not None else None
-    abstract = next(named(root, "abstract"), None)
-    keywords = next(named(root, "keywords"), None)
-    return {
-        "title": own_text(inner) or own_text(title), "authors": [n for a in (named(source, "author") if source is not None else ()) if (n := _person(a))],
-        "abstract": own_text(_child(abstract, "p")), "keywords": [own_text(k) for k in (keywords if keywords is not None else ()) if local(k.tag) == "term" and own_text(k)], "doi": _doi(root),
-        **(_imprint(monogr) if monogr is not None else dict.fromkeys(("journal", "volume", "issue", "pages", "year"), "")),
-    }
-
-
-def reference_list(xml: str) -> list[dict]:
-    """The references of a record: title, authors, doi, journal, year, volume, pages, raw; empty ones left out."""
-    try:
-        root = xml_root(xml.encode())
-    except Exception:
-        return []
-    out = []
-    for listed in named(root, "listBibl"):
-        for b in (c for c in listed if local(c.tag) == "biblStruct"):
-            monogr = _child(b, "monogr")
-            im = _imprint(monogr) if monogr is not None else {}
-            r = {"title": own_text(_child(b, "analytic", "title")), "authors": [n for a in named(b, "author") if (n := _person(a))], "doi": _doi(b), **{k: im.get(k, "") for k in ("journal", "year", "volume", "pages")}, "raw": own_text(next(named(b, "note"), None))}
-            if any(r.values()):
-                out.append(r)
-    return out
-
-
-HEADER = "title string, authors array<string>, abstract string, keywords array<string>, doi string, journal string, volume string, issue string, pages string, year string"
-REFERENCE = "title string, authors array<string>, doi string, journal string, year string, volume string, pages string, raw string"
+_AUTHOR = "struct<_VALUE:string,persName:struct<forename:array<string>,surname:string>>"
+_ID = "struct<_VALUE:string,_type:string>"
+_MONOGR = "struct<title:array<string>,imprint:struct<biblScope:array<struct<_VALUE:string,_unit:string>>,date:array<struct<_VALUE:string,_when:string,_type:string>>>>"
+_ENTRY = f"struct<author:array<{_AUTHOR}>,idno:array<{_ID}>,note:array<string>,analytic:struct<title:array<string>,author:array<{_AUTHOR}>,idno:array<{_ID}>>,monogr:{_MONOGR}>"
+_TITLED = "titleStmt:struct<title:array<string>>"
+_SOURCE = f"sourceDesc:struct<biblStruct:{_ENTRY}>"
+_LISTED = f"listBibl:array<struct<biblStruct:array<{_ENTRY}>>>"
+#: Records as outside programs write them; each part also where shorter records have it.
+RECORD = (
+    f"teiHeader struct<fileDesc:struct<{_TITLED},{_SOURCE}>,{_TITLED},{_SOURCE},profileDesc:struct<abstract:struct<p:array<string>,div:array<struct<p:array<string>>>>,textClass:struct<keywords:struct<term:array<string>>>>>, "
+    f"text struct<{_LISTED},back:struct<{_LISTED},div:array<struct<{_LISTED}>>>>"
+)
 
 
-def headers(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
-    """(key, header fields) of records."""
+def _text(x: Column) -> Column:
+    return F.coalesce(F.trim(x), F.lit(""))
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([{key: k} | header_fields(x or "") for k, x in zip(b[key], b[xml], strict=True)], columns=[key, *(c.split()[0] for c in HEADER.split(", "))])
 
-    return records.select(key, xml).mapInPandas(run, f"{key} {dict(records.dtypes)[key]}, {HEADER}")
+def _first(x: Column) -> Column:
+    return _text(F.get(x, 0))
 
 
-def references(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
-    """(key, number, reference fields): one row a reference."""
+def _all(x: Column, kind: str) -> Column:
+    return F.coalesce(x, F.array().cast(f"array<{kind}>"))
 
-    def run(batches):
-        for b in batches:
-            rows = [{key: k, "number": n} | r for k, x in zip(b[key], b[xml], strict=True) for n, r in enumerate(reference_list(x or ""))]
-            yield pd.DataFrame(rows, columns=[key, "number", *(c.split()[0] for c in REFERENCE.split(", "))])
 
-    return records.select(key, xml).mapInPandas(run, f"{key} {dict(records.dtypes)[key]}, number int, {REFERENCE}")
+def record(xml: Column) -> Column:
+    """A record's XML as a struct, prefixes of names left out; null fields where it is broken."""
+    return F.from_xml(F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:", "$1"), RECORD, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
+
+
+def person(author: Column) -> Column:
+    """Forenames and surname, else what the element says itself."""
+    names = F.concat(_all(author["persName"]["forename"], "string"), F.array(author["persName"]["surname"]))
+    named = F.array_join(F.filter(F.transform(names, _text), lambda n: n != ""), " ")
+    return F.coalesce(F.nullif(named, F.lit("")), _text(author["_VALUE"]))
+
+
+def people(authors: Column) -> Column:
+    return F.filter(F.transform(_all(authors, _AUTHOR), person), lambda n: n != "")
+
+
+def _doi(entry: Column) -> Column:
+    ids = F.concat(_all(entry["analytic"]["idno"], _ID), _all(entry["idno"], _ID))
+    return _text(F.get(F.filter(ids, lambda i: i["_type"] == "DOI"), 0)["_VALUE"])
+
+
+def _authors(entry: Column) -> Column:
+    return F.concat(people(entry["analytic"]["author"]), people(entry["author"]))
+
+
+def _imprint(entry: Column) -> dict[str, Column]:
+    i = entry["monogr"]["imprint"]
+    scope = lambda unit: _text(F.get(F.filter(i["biblScope"], lambda s: s["_unit"] == unit), 0)["_VALUE"])
+    date = F.coalesce(F.get(F.filter(i["date"], lambda d: d["_type"] == "published"), 0), F.get(i["date"], 0))
+    year = F.coalesce(F.nullif(F.substring(date["_when"], 1, 4), F.lit("")), _text(date["_VALUE"]))
+    return {"journal": _first(entry["monogr"]["title"]), "volume": scope("volume"), "issue": scope("issue"), "pages": scope("page"), "year": year}
+
+
+def headers(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """(key, title, authors, abstract, keywords, doi, journal, volume, issue, pages, year) of header records; '' where
+    missing or broken."""
+    d = records.select(key, record(F.col(xml)).alias("_r"))
+    h = F.col("_r")["teiHeader"]
+    entry = F.coalesce(h["fileDesc"]["sourceDesc"]["biblStruct"], h["sourceDesc"]["biblStruct"])
+    about = h["profileDesc"]["abstract"]
+    terms = F.filter(F.transform(_all(h["profileDesc"]["textClass"]["keywords"]["term"], "string"), _text), lambda t: t != "")
+    return d.select(
+        key, F.coalesce(F.get(h["fileDesc"]["titleStmt"]["title"], 0), _first(h["titleStmt"]["title"])).alias("title"), _authors(entry).alias("authors"), F.coalesce(F.get(about["p"], 0), _first(F.get(about["div"], 0)["p"])).alias("abstract"),
+        terms.alias("keywords"), _doi(entry).alias("doi"), *(v.alias(k) for k, v in _imprint(entry).items()),
+    )
+
+
+def references(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """(key, number, title, authors, doi, journal, year, volume, pages, raw): one row a reference; empty ones are left out."""
+    t = F.col("_r")["text"]
+    kind = f"struct<biblStruct:array<{_ENTRY}>>"
+    lists = F.concat(_all(t["listBibl"], kind), _all(t["back"]["listBibl"], kind), F.flatten(F.transform(_all(t["back"]["div"], f"struct<{_LISTED}>"), lambda d: _all(d["listBibl"], kind))))
+    entries = F.flatten(F.transform(lists, lambda x: _all(x["biblStruct"], _ENTRY)))
+
+    def fields(e: Column) -> dict[str, Column]:
+        im = _imprint(e)
+        return {"title": _first(e["analytic"]["title"]), "authors": _authors(e), "doi": _doi(e), **{k: im[k] for k in ("journal", "year", "volume", "pages")}, "raw": _first(e["note"])}
+
+    rows = F.transform(entries, lambda e: F.struct(*(v.alias(k) for k, v in fields(e).items())))
+    kept = F.filter(rows, lambda r: (F.size(r["authors"]) > 0) | (F.concat(*(r[k] for k in ("title", "doi", "journal", "year", "volume", "pages", "raw"))) != ""))
+    return records.select(key, record(F.col(xml)).alias("_r")).select(key, F.posexplode(kept).alias("number", "_e")).select(key, "number", "_e.*")
 
 
 PROBE = "format struct<format_name:string,duration:string,bit_rate:string,size:string>, streams array<struct<codec_type:string,codec_name:string,channels:string,width:string,height:string>>"

@@ -1,10 +1,11 @@
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import dims
+from palimpsest import dims, progress
 from palimpsest.functions import metrics
 from palimpsest.operators import alignment, assemble, costing, evaluation, layout, metadata, reconcile, state
 
@@ -91,11 +92,6 @@ def test_state(spark):
     assert state.pending_pages(p).count() == 3
     assert state.run_stats(p).first().avg_confidence == 0.45
     assert state.page_estimate(spark.createDataFrame([("a", 10), ("b", None)], "f string, page_count int"), True).first()[0] == 6
-    new = spark.createDataFrame([("b", 1, "complete", 0.5, 1.0)], p.schema)
-    merged = state.merge_state(p, new, ["rel_path", "page_index"])
-    assert merged.count() == 6 and merged.filter("rel_path = 'b' AND page_index = 1").first().status == "complete"
-    old = spark.createDataFrame([("x", "s", [("complete", 0.5)])], "rel_path string, sha256 string, pages array<struct<status:string,estimated_cost:double>>")
-    assert state.migrate_v1(old).first().asDict() == {"rel_path": "x", "sha256": "s", "page_index": 0, "page_label": "page_0001", "status": "complete", "estimated_cost": 0.5}
     files = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 2.0)], "rel_path string, size_bytes long, mtime double")
     assert [r.rel_path for r in state.unchanged(files, files.filter("rel_path = 'a'")).collect()] == ["a"]
     assert [r.rel_path for r in state.invalidate(files, files.filter("rel_path = 'a'")).collect()] == ["b"]
@@ -208,3 +204,20 @@ def test_rising_chain():
         chain = alignment.rising_chain(list(range(len(b))), b)
         best = max((bin(m).count("1") for m in range(1 << len(b)) if all(x < y for x, y in itertools.pairwise([b[k] for k in range(len(b)) if m >> k & 1]))), default=0)
         assert len(chain) == best and all(b[x] < b[y] for x, y in itertools.pairwise(chain))
+
+
+def test_checkpoints_of_any_version(spark):
+    old = {"a.pdf": {"sha256": "s", "pages": [{"status": "complete", "estimated_cost": 0.5, "extra": [1]}, {"page_index": 7, "page_label": "seven", "confidence": 0.25}]}, "b.pdf": {"pages": []}, "note": "x", "none": None, "list": [1], "c.pdf": {"pages": [{}]}}
+    new = lambda status, updated, version=3: {"version": version, "updated_at": updated, "rel_path": "c.pdf", "pdf": {"sha256": "n", "pages": [{"page_index": 0, "status": status, "error": "e", "estimated_cost": "much"}]}}
+    bodies = [json.dumps(x) for x in (old, new("failed", "2024"), new("complete", "2025"), new("old", "2026", 2), {"version": 3, "rel_path": "d.pdf", "pdf": {}}, [1], 5)] + ["{", "", None]
+    got = sorted(tuple(r) for r in state.migrated(spark.createDataFrame([(b,) for b in bodies], "body string").repartition(3)).collect())
+    assert got == [("a.pdf", 1, "s", 0, "page_0001", "complete", 0.5, None, None), ("a.pdf", 1, "s", 7, "seven", "pending", 0.0, 0.25, None), ("c.pdf", 3, "n", 0, "page_0001", "complete", 0.0, None, "e")]
+    assert state.migrated(spark.createDataFrame([], "body string")).count() == 0
+
+
+def test_observed_counts(spark):
+    rows = [("a", 0, "complete", 0.5, 0.97, None), ("a", 1, "failed", None, None, "boom"), ("b", 0, "skipped", 0.0, None, None), ("b", 1, "pending", 0.25, None, None)]
+    d, seen = progress.observed(spark.createDataFrame(rows, "path string, page_index int, status string, estimated_cost double, confidence double, error string"))
+    lines = sorted(r[0] for r in d.select(progress.page_line()).collect())
+    assert lines == ["a page_0001: complete, 97 %, $0.5000", "a page_0002: failed: boom", "b page_0001: skipped", "b page_0002: pending, $0.2500"]
+    assert seen.get == {"pages": 4, "done": 2, "complete": 1, "extracted": 0, "skipped": 1, "failed": 1, "pending": 1, "cost": 0.75}
