@@ -41,20 +41,38 @@ from . import common as C
 DEPTH, SLOTS = 100, 64
 
 # Elements of HTML by their kind.
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object audio video canvas".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
-_AWAY = frozenset("nav header footer aside form select button menu dialog datalist".split())
-_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr tbody thead tfoot ul".split())
+_VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+])
+_RAW = frozenset([
+    "script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "audio", "video", "canvas",
+])
+_INLINE = frozenset([
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
+    "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
+    "time", "tt", "u", "var",
+])
+_AWAY = frozenset([
+    "nav", "header", "footer", "aside", "form", "select", "button", "menu", "dialog", "datalist",
+])
+_ENDS_P = frozenset([
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p",
+    "pre", "section", "summary", "table", "td", "th", "tr", "tbody", "thead", "tfoot", "ul",
+])
 #: an element that ends open ones of the same kind, up to the nearest of their container
 _SIBLINGS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",))}
 #: words of a class, id or role that name what is not the article
-_NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alertdialog popup modal overlay newsletter subscribe signup login comment comments "
-    "commentlist respond disqus reply replies share sharing social related recommended sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar footer contentinfo complementary widget".split()
-)
+_NOISE = frozenset([
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+    "notice", "notices", "alert", "alertdialog", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "comment", "comments", "commentlist", "respond", "disqus",
+    "reply", "replies", "share", "sharing", "social", "related", "recommended", "sidebar", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination",
+    "pager", "toolbar", "footer", "contentinfo", "complementary", "widget",
+])
 #: the same, but not within an article
-_NOISE_OUTSIDE = frozenset("header masthead banner search copyright legal disclaimer side".split())
+_NOISE_OUTSIDE = frozenset([
+    "header", "masthead", "banner", "search", "copyright", "legal", "disclaimer", "side",
+])
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|[!?/][^>]*>?)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
