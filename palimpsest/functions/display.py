@@ -37,3 +37,15 @@ def page_comment(text: Column, page_index: Column, title: Column, author: Column
         F.lit(" | page: "), (page_index + 1).cast("string"), F.lit(" -->\n\n"),
     )
     return F.when(text.startswith("<!-- doc:"), text).otherwise(F.concat(comment, text))
+
+
+def iso(t: Column) -> Column:
+    """A time in UTC as ISO 8601; microseconds where there are any."""
+    seconds = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(t, ".SSSSSS")
+    return F.concat(seconds, F.when(micros == ".000000", "").otherwise(micros), F.lit("+00:00"))
+
+
+def now_iso() -> Column:
+    """The time at which a query began, the same in all its rows."""
+    return iso(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))

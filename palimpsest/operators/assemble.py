@@ -14,7 +14,10 @@ from ..functions import text as T
 from . import prefix
 
 # Frontmatter fields in order.
-FRONTMATTER = "title authors document_type language doi isbn journal publisher volume issue year date court docket_number edition series part_number revision pages abstract keywords identifiers".split()
+FRONTMATTER = [
+    "title", "authors", "document_type", "language", "doi", "isbn", "journal", "publisher", "volume", "issue", "year", "date",
+    "court", "docket_number", "edition", "series", "part_number", "revision", "pages", "abstract", "keywords", "identifiers",
+]
 
 
 def documents(pages: DataFrame, file: list[str], index: str = "page_index", text: str = "text") -> DataFrame:

@@ -50,6 +50,16 @@ def first_hit(candidates: DataFrame, key: list[str], rank: str, hit: Column) ->
     return candidates.filter(hit).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def first_pages(pages: DataFrame, key: list[str], index: str = "page_index", text: str = "text", n: Column | int = 3) -> DataFrame:
+    """(key, pages): what a model is shown to find metadata, the first ``n`` pages (1 to 5, whatever is asked), in order.
+
+    Not more than five pages of a file are held at a time, however many it has."""
+    most = F.least(F.greatest(F.coalesce(n if isinstance(n, Column) else F.lit(n), F.lit(1)), F.lit(1)), F.lit(5))
+    d = pages.withColumns({"_n": most, "_k": F.row_number().over(W.partitionBy(*key).orderBy(index))}).filter(F.col("_k") <= F.col("_n"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.coalesce(text, F.lit("")).alias("t"))))
+    return d.groupBy(*key).agg(F.transform(listed, lambda p: p["t"]).alias("pages"))
+
+
 def enrich(meta: DataFrame, dois: DataFrame, isbns: DataFrame) -> DataFrame:
     """Fill from registry answers: ``dois`` (doi, body) first, then ``isbns`` (isbn, body)."""
     d = meta.withColumns({"_doi": identifiers.normalize_doi(F.coalesce("doi", F.lit(""))), "_isbn": identifiers.normalize_isbn(F.coalesce("isbn", F.lit("")))})

@@ -121,11 +121,17 @@ class Pipeline:
         d = body.join(meta, "path", "left")
         return d.select("path", "short_sha", "n_pages", assemble.frontmatter_document(d.drop("extra")).alias("document"), *(c for c in ("title", "language", "extraction_method")))
 
-    def run(self) -> dict:
-        """Write all tables; the run's counts."""
+    def process_one(self, path: str) -> dict:
+        """A run over one file: the counts of its pages."""
+        self.run(files.detect(files.scan(self.spark, path)))
+        done = store.pages_table(self.spark, self.config.output_dir).read()
+        return state.run_stats(done.filter(F.col("path").endswith(path.removeprefix("file:")))).first().asDict()
+
+    def run(self, found: DataFrame | None = None) -> dict:
+        """Write all tables, for ``found`` (as ``discover`` gives it) or all files; the counts of all pages."""
         out = self.config.output_dir.rstrip("/")
         table = store.pages_table(self.spark, out)
-        found = self.pending(self.discover())
+        found = self.pending(self.discover() if found is None else found)
         # files are read and parsed once: what follows starts from a table
         self.pages(found).write.mode("overwrite").parquet(f"{out}/parsed")
         pages, before = self.spark.read.parquet(f"{out}/parsed"), table.read()

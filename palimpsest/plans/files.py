@@ -272,22 +272,37 @@ def lang_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(known, "code", "left").select("doc_id", "code", F.col("_k").isNotNull().alias("valid"), F.when(F.col("_k").isNull(), dims.lookup(dims.CODE_SUGGESTIONS, F.lower("code"))).alias("suggestion"))
 
 
-@query(f"WITH {_EL} SELECT code, '(' || CASE WHEN count(*) = 4 THEN 'all engines' ELSE string_agg(engine, ', ' ORDER BY CASE engine WHEN 'marker' THEN 0 WHEN 'surya2' THEN 1 WHEN 'google_doc_ai' THEN 2 ELSE 3 END) END || ')' AS label FROM el GROUP BY code")
+#: Codes as they are found: those of the documents, some of which no engine reads.
+_FOUND = "found AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gle' WHEN doc_id % 13 = 0 THEN 'he' WHEN doc_id % 17 = 0 THEN 'xx' ELSE lang END AS code FROM documents)"
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    code = F.when(i % 11 == 0, "gle").when(i % 13 == 0, "he").when(i % 17 == 0, "xx").otherwise(F.col("lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
+
+
+@query(
+    f"""WITH {_FOUND}, {_EL}, lb AS (SELECT code, '(' || CASE WHEN count(*) = 4 THEN 'all engines' ELSE string_agg(engine, ', ' ORDER BY CASE engine WHEN 'marker' THEN 0 WHEN 'surya2' THEN 1 WHEN 'google_doc_ai' THEN 2 ELSE 3 END) END || ')' AS label FROM el GROUP BY code)
+    SELECT found.code, coalesce(label, '(no engine)') AS label, CAST(count(*) AS BIGINT) AS documents FROM found LEFT JOIN lb ON found.code = lb.code GROUP BY ALL"""
+)
 def engine_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which engines read a language."""
+    """Which engines read the languages of the documents."""
     order = dims.lookup({e: k for k, e in enumerate(dims.engine_languages())}, F.col("engine"))
     d = dims.dim_engine_language(spark).groupBy("code").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "engine"))).alias("e"))
     names = F.array_join(F.transform("e", lambda x: x["engine"]), ", ")
-    return d.select("code", F.concat(F.lit("("), F.when(F.size("e") == 4, "all engines").otherwise(names), F.lit(")")).alias("label"))
+    labels = d.select("code", F.concat(F.lit("("), F.when(F.size("e") == 4, "all engines").otherwise(names), F.lit(")")).alias("label"))
+    counted = _found(spark, sf_dir).groupBy("code").agg(F.count("*").alias("documents"))
+    return counted.join(F.broadcast(labels), "code", "left").select("code", F.coalesce("label", F.lit("(no engine)")).alias("label"), "documents")
 
 
-@query(f"WITH {_LANGS}, {_EL} (SELECT 'union' AS op, code FROM langs UNION SELECT 'union', code FROM el WHERE engine = 'surya2') UNION ALL (SELECT 'except' AS op, code FROM langs EXCEPT SELECT 'except', code FROM el WHERE engine = 'google_doc_ai') UNION ALL (SELECT 'intersect' AS op, code FROM langs INTERSECT SELECT 'intersect', code FROM el WHERE engine = 'marker')")
+@query(f"WITH {_FOUND}, {_EL} (SELECT 'union' AS op, code FROM found UNION SELECT 'union', code FROM el WHERE engine = 'surya2') UNION ALL (SELECT 'except' AS op, code FROM found EXCEPT SELECT 'except', code FROM el WHERE engine = 'google_doc_ai') UNION ALL (SELECT 'intersect' AS op, code FROM found INTERSECT SELECT 'intersect', code FROM el WHERE engine = 'marker')")
 def lang_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set algebra on language codes."""
-    named, el = dims.dim_language(spark).select("code"), dims.dim_engine_language(spark)
+    """Set algebra on the languages of the documents and those of engines."""
+    found, el = _found(spark, sf_dir).select("code").distinct(), dims.dim_engine_language(spark)
     of = lambda e: el.filter(F.col("engine") == e).select("code")
     tag = lambda op, d: d.select(F.lit(op).alias("op"), "code")
-    return tag("union", named.union(of("surya2")).distinct()).union(tag("except", named.subtract(of("google_doc_ai")))).union(tag("intersect", named.intersect(of("marker"))))
+    return tag("union", found.union(of("surya2")).distinct()).union(tag("except", found.subtract(of("google_doc_ai")))).union(tag("intersect", found.intersect(of("marker"))))
 
 
 @query(f"WITH m(a, b) AS (VALUES {_values(dims.ISO639_3.items())}), c(a, b) AS (VALUES {_values(dims.CONFUSION_PAIRS.items())}), t AS (SELECT doc_id, CASE lang WHEN 'es' THEN 'ca' WHEN 'de' THEN 'no' ELSE lang END AS lang FROM documents), f AS (SELECT doc_id, t.lang AS detected, coalesce(c.b, t.lang) AS lang FROM t LEFT JOIN c ON t.lang = c.a) SELECT doc_id, detected, CASE WHEN f.lang IN ('en', 'es') THEN f.lang ELSE 'en' END AS language, coalesce(m.b, f.detected) AS language3 FROM f LEFT JOIN m ON f.detected = m.a")
@@ -301,11 +316,42 @@ def language_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "detected", S.settle_language(F.col("detected"), hints).alias("language"), S.iso639_3(F.col("detected")).alias("language3"))
 
 
-@query("SELECT code, name, code IN ('ar', 'fa', 'ur', 'he', 'ps', 'sd', 'ug', 'ku') AS rtl FROM (VALUES " + _values(dims.LANGUAGE_NAMES.items()) + ") t(code, name)")
+@query(f"WITH {_FOUND}, {_LANGS} SELECT found.code, name, found.code IN ('ar', 'fa', 'ur', 'he', 'ps', 'sd', 'ug', 'ku') AS rtl, CAST(count(*) AS BIGINT) AS documents FROM found LEFT JOIN langs ON found.code = langs.code GROUP BY ALL")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.dim_language(spark)
+    """The languages of the documents, by name; null: a code that is none."""
+    from ..functions import script as S
+
+    counted = _found(spark, sf_dir).groupBy("code").agg(F.count("*").alias("documents"))
+    return counted.select("code", S.language_name(F.col("code")).alias("name"), S.is_rtl(F.col("code")).alias("rtl"), "documents")
+
+
+_NAMES = sorted(dims.PROFILES)
+_PROFILED = f"pr AS (SELECT doc_id, {_NAMES!r}[CAST(doc_id % {len(_NAMES)} AS INTEGER) + 1] AS profile, CASE lang WHEN 'de' THEN 'cyrillic' WHEN 'es' THEN 'cjk' ELSE 'latin' END AS script FROM documents)"
 
 
-@query("SELECT profile, script, model FROM (VALUES " + _values((p.name, s, m) for p in dims.PROFILES.values() for s, m in p.model_routing.items()) + ") t(profile, script, model)")
+@query(f"WITH {_PROFILED}, rt(profile, script, model) AS (VALUES {_values((p.name, s, m) for p in dims.PROFILES.values() for s, m in p.model_routing.items())}) SELECT pr.profile, pr.script, rt.model, CAST(count(*) AS BIGINT) AS documents FROM pr LEFT JOIN rt ON pr.profile = rt.profile AND pr.script = rt.script GROUP BY ALL")
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.dim_routing(spark)
+    """The models that documents go to, by profile and script."""
+    profile = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    script = F.when(F.col("lang") == "de", "cyrillic").when(F.col("lang") == "es", "cjk").otherwise("latin")
+    d = read(spark, sf_dir, "documents").select(profile.alias("profile"), script.alias("script")).groupBy("profile", "script").agg(F.count("*").alias("documents"))
+    return d.join(F.broadcast(dims.dim_routing(spark)), ["profile", "script"], "left").select("profile", "script", "model", "documents")
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS iso FROM events"""
+)
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import display
+
+    return read(spark, sf_dir, "events").select("event_id", display.iso(F.col("ts")).alias("iso"))
+
+
+@query(
+    """WITH k AS (SELECT conv_id, coalesce(text, '') AS t, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_pages, sha256(string_agg(t, chr(12) ORDER BY turn)) AS shown FROM k WHERE k <= least(greatest(conv_id % 8 - 1, 1), 5) GROUP BY conv_id"""
+)
+def metadata_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of each file, as many as were asked for between one and five."""
+    d = metadata.first_pages(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", F.col("conv_id") % 8 - 1)
+    return d.select("conv_id", F.size("pages").cast("long").alias("n_pages"), F.sha2(F.array_join("pages", "\f"), 256).alias("shown"))

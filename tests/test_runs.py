@@ -102,6 +102,17 @@ def test_a_second_run_repeats_no_page(spark, tmp_path):
     assert docs["a.epub"].document.count("first page text") == 1 and docs["b.txt"].document.endswith("new")
 
 
+def test_one_file_alone(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for name in ("a.txt", "b.txt"):
+        (src / name).write_text(f"text of {name}")
+    p = Pipeline(spark, settings.with_values(settings.Config(), {"input_dir": str(src), "output_dir": str(tmp_path / "out"), "input_extensions": "txt"}))
+    assert p.process_one(str(src / "b.txt"))["pages_complete"] == 1
+    assert [r.text for r in store.pages_table(spark, str(tmp_path / "out")).read().collect()] == ["text of b.txt"]
+    assert p.run()["pages_complete"] == 2
+
+
 def test_a_replayed_batch_is_written_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
