@@ -117,6 +117,16 @@ def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def in_buckets(spark: SparkSession, parts: int) -> tuple[int, int]:
+    """(parts, buckets): at least ``parts``, a multiple of the buckets, of which there are no more than Spark allows.
+
+    What ``bucket_of`` deals to a part is then of one bucket, which several parts' files make up."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    each = -(-parts // most)
+    buckets = -(-parts // each)
+    return buckets * each, buckets
+
+
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket that Spark gives each 64-bit integer: its Murmur3 hash with seed 42, modulo ``buckets``."""
     turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))

@@ -166,9 +166,9 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
     return C.exchange(blobs, parts, count, schema)
 
 
-def sets_of(docs: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
+def sets_of(docs: DataFrame, chosen: DataFrame, parts: int, buckets: int | None = None) -> DataFrame:
     """The whole sets (sorted hashes) of the chosen documents (doc_id, f1, f2), each once: a table in buckets by doc_id,
-    so that no join by document moves them again. Texts go to the buckets' tasks compressed."""
+    so that no join by document moves them again. Texts go to the buckets' tasks, ``parts``, compressed."""
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -222,7 +222,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
             yield C.batch(_SETS, doc_id=ids, n=np.diff(o), grams=flat).filter(pa.array(take))
 
     blobs = chosen.mapInArrow(C.lean(name), C.BLOB).union(docs.select("doc_id", "text").mapInArrow(C.lean(send), C.BLOB))
-    return C.bucketed(C.exchange(blobs, parts, build, _SETS), "doc_id", parts, "sets")
+    return C.bucketed(C.exchange(blobs, parts, build, _SETS), "doc_id", buckets or parts, "sets")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +435,7 @@ def contract(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    parts = C.part_count(docs)
+    parts, buckets = C.in_buckets(docs.sparkSession, C.part_count(docs))
     seen = C.materialise(scan(docs, parts), "shingle-scan")
     per_doc = seen.filter("kind = 0").select("doc_id", "n", "f1", "f2")
     classes = per_doc.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -445,12 +445,12 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     texts = per_doc.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x")).select("doc_id", "x.*")
     chosen = classes.join(met.hint("merge"), classes.rep == met.doc_id).filter(F.col("met") >= enough).select("doc_id").distinct()
     chosen = C.materialise(texts.join(chosen.hint("merge"), "doc_id", "left_semi").select("doc_id", "f1", "f2"), "chosen")
-    sets = sets_of(docs, chosen, parts)
+    sets = sets_of(docs, chosen, parts, buckets)
     raw = C.materialise(columns_of(sets, frequent(sets, parts)), "all-columns")
     about = raw.filter("gram IS NULL").select("doc_id", F.col("place").alias("n"), "core")
     raw = raw.filter("gram IS NOT NULL").select("gram", "doc_id", "place")
     shared = raw.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
-    cols = C.bucketed(raw.join(shared.hint("merge"), "gram").repartition(parts, "doc_id"), "doc_id", parts, "columns")
+    cols = C.bucketed(raw.join(shared.hint("merge"), "gram").repartition(parts, "doc_id"), "doc_id", buckets, "columns")
     labels = C.materialise(about.withColumn("comp", F.col("doc_id")), "labels")
     tested = None
     for r in range(rounds + 1):

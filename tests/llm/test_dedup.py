@@ -391,6 +391,24 @@ def test_decisions_rest_on_matching_statistics(monkeypatch, spark):
     assert decide([contexts]) == []
 
 
+def test_more_parts_than_buckets_are_allowed(spark):
+    """64 parts in at most 8 buckets: the same components as in as many buckets as parts."""
+    rng = random.Random(31)
+    base = [prose(rng, 60, 300).split() for _ in range(12)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else "changed" for w in rng.choice(base))) for i in range(120)] + EDGES
+    keys = {"spark.sql.sources.bucketing.maxBuckets": "8", "spark.sql.shuffle.partitions": "64"}
+    found = lambda: sorted(tuple(r) for r in jaccard_join.near_components(frame(spark, rows)).collect())
+    want, before = found(), {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert C.in_buckets(spark, 64) == (64, 8) and C.in_buckets(spark, 20) == (21, 7) and C.in_buckets(spark, 5) == (5, 5)
+        assert found() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_buckets_are_those_of_spark(spark):
     import numpy as np
 
