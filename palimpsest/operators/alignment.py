@@ -7,20 +7,23 @@ sum over the pieces, each over its full table, so it is the length of a real edi
 distance, and equal to it where the anchors lie on a best alignment, as in two readings of one text. A pair without
 anchors is one piece, and exact.
 
-Words, anchors and pieces are rows, found by grouping and joining on (pair, words); only the chain of one pair's
-anchors is followed in order, as pairs of integers.
+Both texts of a pair stand in one row, so it is cut where it lies: nothing is shuffled but what the caller spreads, and
+memory is that of one pair and its words.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..sources.reader import bound_batches
+
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def rising_chain(a: list[int], b: list[int]) -> list[int]:
@@ -31,7 +34,11 @@ def rising_chain(a: list[int], b: list[int]) -> list[int]:
     for k, x in enumerate(b):
         p = bisect_left(tops, x)
         before[k] = at[p - 1] if p else -1
-        tops[p:], at[p:] = ([x], [k]) if p == len(tops) else ([x, *tops[p + 1 :]], [k, *at[p + 1 :]])
+        if p == len(tops):
+            tops.append(x)
+            at.append(k)
+        else:
+            tops[p], at[p] = x, k
     k, chain = (at[-1] if at else -1), []
     while k >= 0:
         chain.append(k)
@@ -39,46 +46,53 @@ def rising_chain(a: list[int], b: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def _words(texts: DataFrame, key: list[str], column: str, n: int) -> DataFrame:
-    """(key, gram, start): where each run of ``n`` words stands that its text has once only."""
-    d = texts.select(*key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"(\s*\S+)"), 1)).alias("_k", "_w"))
-    here = W.partitionBy(*key).orderBy("_k")
-    before = F.coalesce(F.sum(F.length("_w")).over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # a word comes with the white space before it
-    word = F.regexp_replace("_w", r"^\s+", "")
-    d = d.select(*key, "_k", word.alias("_t"), (before + F.length("_w") - F.length(word)).alias("start"))
-    d = d.select(*key, F.array(*(F.lead("_t", j).over(here) if j else F.col("_t") for j in range(n))).alias("_g"), "start").filter(F.get("_g", n - 1).isNotNull())
-    return d.groupBy(*key, F.array_join("_g", " ").alias("gram")).agg(F.min("start").alias("start"), F.count("*").alias("_c")).filter("_c = 1").drop("_c")
+def anchors(text: str, n: int) -> dict[str, int]:
+    """Where each run of ``n`` words stands that the text has once only."""
+    found = [(m.group(), m.start()) for m in _WORD.finditer(text)]
+    at: dict[str, int] = {}
+    for k in range(len(found) - n + 1):
+        gram = " ".join(w for w, _ in found[k : k + n])
+        at[gram] = -1 if gram in at else found[k][1]
+    return {gram: start for gram, start in at.items() if start >= 0}
+
+
+def cut(a: str, b: str, n: int = 3, least: int = 400) -> list[tuple[str, str]]:
+    """Two texts cut at common anchors."""
+    if a == b or len(a) < least:
+        return [(a, b)]
+    first, second = anchors(a, n), anchors(b, n)
+    met = sorted((i, second[gram]) for gram, i in first.items() if gram in second)
+    out, i, j = [], 0, 0
+    for k in rising_chain([x for x, _ in met], [y for _, y in met]):
+        x, y = met[k]
+        if x - i >= least and y > j:
+            out.append((a[i:x], b[j:y]))
+            i, j = x, y
+    return [*out, (a[i:], b[j:])]
+
+
+def _texts(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    bound_batches(pairs.sparkSession)
+    return pairs.select(*key, F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b"))
 
 
 def pieces(pairs: DataFrame, key: list[str], a: str, b: str, n: int = 3, least: int = 400) -> DataFrame:
     """(key, piece, a, b): texts cut at common anchors; the pieces of one pair, in order, make up its texts."""
-    first, second = (_words(pairs, key, c, n).withColumnRenamed("start", s) for c, s in ((a, "i"), (b, "j")))
-    met = first.join(second, [*key, "gram"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_met"))
-
-    @F.pandas_udf("array<struct<i:long,j:long>>")
-    def cuts(found: pd.Series) -> pd.Series:
-        def one(met) -> list[dict]:
-            if met is None:
-                return []
-            i, j = [int(m["i"]) for m in met], [int(m["j"]) for m in met]
-            out = []
-            for k in rising_chain(i, j):
-                if i[k] - (out[-1]["i"] if out else 0) >= least and j[k] > (out[-1]["j"] if out else 0):
-                    out.append({"i": i[k], "j": j[k]})
-            return out
-
-        return found.map(one)
-
-    d = pairs.select(*key, F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b")).join(met, key, "left").withColumn("_cuts", cuts("_met"))
-    start, end = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")), F.struct(F.length("_a").cast("long").alias("i"), F.length("_b").cast("long").alias("j"))
-    d = d.withColumn("_edges", F.concat(F.array(start), "_cuts", F.array(end)))
-    part = lambda t, f: F.substring(F.col(t), (F.get("_edges", F.col("piece"))[f] + 1).cast("int"), (F.get("_edges", F.col("piece") + 1)[f] - F.get("_edges", F.col("piece"))[f]).cast("int"))
-    d = d.select(*key, "_a", "_b", "_edges", F.explode(F.sequence(F.lit(0), F.size("_edges") - 2)).alias("piece"))
-    return d.select(*key, "piece", part("_a", "i").alias("a"), part("_b", "j").alias("b"))
+
+    @F.pandas_udf("array<struct<a:string,b:string>>")
+    def parts(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": p, "b": q} for p, q in cut(s, t, n, least)] for s, t in zip(x, y, strict=True)])
+
+    return _texts(pairs, key, a, b).select(*key, F.posexplode(parts("_a", "_b")).alias("piece", "_p")).select(*key, "piece", "_p.a", "_p.b")
 
 
 def distances(pairs: DataFrame, key: list[str], a: str, b: str, n: int = 3, least: int = 400) -> DataFrame:
-    """(key, char_errors, ref_chars, hyp_chars) of each pair of texts, of any length; null counts as empty."""
-    cut = metrics.spread(pieces(pairs, key, a, b, n, least))
-    return cut.groupBy(*key).agg(F.sum(metrics.distance(F.col("a"), F.col("b"))).alias("char_errors"), F.sum(F.length("a")).alias("ref_chars"), F.sum(F.length("b")).alias("hyp_chars"))
+    """(key, char_errors, ref_chars, hyp_chars) of each pair of texts, of any length; null counts as empty.
+
+    Rows stay where they are: callers deal them out first (``metrics.spread``) if they lie in few partitions."""
+
+    @F.pandas_udf("long")
+    def errors(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([sum(metrics.edit_distance(p, q) for p, q in cut(s, t, n, least)) for s, t in zip(x, y, strict=True)], dtype="int64")
+
+    return _texts(pairs, key, a, b).select(*key, errors("_a", "_b").alias("char_errors"), F.length("_a").cast("long").alias("ref_chars"), F.length("_b").cast("long").alias("hyp_chars"))

@@ -77,7 +77,7 @@ def wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character errors over whole documents of any length, by pieces between common anchors."""
-    d = read(spark, sf_dir, "documents").select("doc_id", ascii(F.coalesce("text", F.lit(""))).alias("r"))
+    d = M.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", ascii(F.coalesce("text", F.lit(""))).alias("r"))
     return alignment.distances(d.withColumn("h", _HYP(F.col("r"))), ["doc_id"], "r", "h")
 
 

@@ -221,3 +221,11 @@ def test_observed_counts(spark):
     lines = sorted(r[0] for r in d.select(progress.page_line()).collect())
     assert lines == ["a page_0001: complete, 97 %, $0.5000", "a page_0002: failed: boom", "b page_0001: skipped", "b page_0002: pending, $0.2500"]
     assert seen.get == {"pages": 4, "done": 2, "complete": 1, "extracted": 0, "skipped": 1, "failed": 1, "pending": 1, "cost": 0.75}
+
+
+def test_distances_shuffle_no_words(spark):
+    """Pairs are cut where they lie: the plan has no exchange, whatever the number of words."""
+    df = spark.createDataFrame([(1, "a b c " * 200, "a b d " * 200)], "k long, r string, h string")
+    d = alignment.distances(df, ["k"], "r", "h")
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert d.first().char_errors == 200
