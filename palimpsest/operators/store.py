@@ -107,8 +107,8 @@ class StateTable:
             news = news.groupBy(*self.key).agg(F.max_by(F.struct(*(F.col(c) for c in news.columns)), F.struct(*self.latest)).alias("_row")).select("_row.*")
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         bucket = F.pmod(F.xxhash64(*self.by), F.lit(self.n)).cast("int")
-        # computed once: the rows' buckets say what has to be read
-        news.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(staged)
+        # computed once: the rows' buckets say what has to be read; gathered by bucket, or each task writes a file to each
+        news.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(staged)
         try:
             for _ in range(attempts):
                 if (done := self._merged(news.schema, staged, writer, number)) is not None:

@@ -196,7 +196,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch.folder(spark, "stream")
     raw = read(spark, sf_dir, "pages").select("page_id", "html")
     named = raw.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
-    per_trigger = min(1000, max(1, -(-write_text_files(named, f"{base}/in").count() // 4)))
+    per_trigger = max(1, -(-write_text_files(named, f"{base}/in").count() // 4))  # a merge rewrites the table: their number is fixed
     out = ingest.ingest(spark, f"{base}/in", f"{base}/pages", f"{base}/checkpoint", "*.html", per_trigger)
     page_id = F.regexp_extract("path", r"(-?\d+)[.]html$", 1).cast("long").alias("page_id")
     return out.select(page_id, F.col("page_index").cast("int").alias("page_index"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))

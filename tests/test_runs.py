@@ -219,3 +219,12 @@ def test_collection_is_written_in_order(spark, tmp_path):
     whole = b"".join(f.read_bytes() for (f,) in files)
     assert whole.decode() == "\n\n---\n\n".join(t for _, t in kept) + "\n"
     assert [whole[r.offset : r.offset + r.bytes].decode() for r in m] == [t for _, t in kept] and [r.id for r in m] == [k for k, _ in kept]
+
+
+def test_merge_stages_a_file_a_bucket(spark, tmp_path, monkeypatch):
+    """Rows are gathered by bucket before they are staged: many tasks do not write a file to each bucket each."""
+    staged, real = [], store.StateTable._merged
+    monkeypatch.setattr(store.StateTable, "_merged", lambda self, schema, folder, *rest: staged.extend(Path(folder).rglob("*.parquet")) or real(self, schema, folder, *rest))
+    news = spark.range(400).repartition(16).selectExpr("concat('f', id) AS path", "0 AS page_index", "'s' AS sha256", "'t' AS text")
+    assert table(spark, tmp_path).merge(news, "w", 0) and 4 <= len(staged) <= 8
+    assert table(spark, tmp_path).read().count() == 400
