@@ -273,3 +273,9 @@ def test_records_probes_images(spark):
     files_ = spark.createDataFrame([("d.docx", "docx", z), ("bad", "docx", b"no")], "path string, format string, content binary")
     got = extras.embedded_images(files_).collect()
     assert [(i.path, i.name, i.ext) for i in got] == [("d.docx", "w_a.JPEG", "jpg")]
+
+
+def test_title_cut_within_a_reference():
+    title = lambda x: P.parse_html(f"<title>{x}</title><p>x".encode(), "x.html")[1]["title"]
+    assert title("a &amp;&quot; b&amp") == 'a &" b&amp'
+    assert [title(x) for x in ("&copy 20 &lt;", "a&b ", " a&amp; ")] == ["© 20 <", "a&b", "a&"]
