@@ -30,7 +30,7 @@ def _record(meta: dict) -> dict:
     return strings | lists | {"extra": [(str(k), str(v)) for k, v in (meta.get("extra") or {}).items()]}
 
 
-def bound_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches by size, unless the session says otherwise: a batch of whole files may not be 10,000 of them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
@@ -75,7 +75,7 @@ def parsed_pages(found: DataFrame, extra: dict[str, Callable] | None = None) ->
                 for k, t in enumerate(pages or [None]):
                     rows.append((path, kind, sha, k, t, len(pages), error, record))
                     size += len(t or "") + 500
-                    if size > 4 << 20:
+                    if size > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
                         rows, size = [], 0
         if rows:

@@ -7,9 +7,11 @@ import struct
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.plans import readers
 from palimpsest.sources import files, latex, parse_text, reader
 from palimpsest.sources import parse_python as P
 
@@ -279,3 +281,21 @@ def test_title_cut_within_a_reference():
     title = lambda x: P.parse_html(f"<title>{x}</title><p>x".encode(), "x.html")[1]["title"]
     assert title("a &amp;&quot; b&amp") == 'a &" b&amp'
     assert [title(x) for x in ("&copy 20 &lt;", "a&b ", " a&amp; ")] == ["© 20 <", "a&b", "a&"]
+
+
+def test_files_are_built_a_few_at_once():
+    whole = pa.RecordBatch.from_pydict({"conv_id": list(range(1000)), "turns": [["t"]] * 1000})
+    out = list(readers.built([whole], lambda n, t: f"{n} {t[0]}".encode(), ".x"))
+    assert max(b.num_rows for b in out) <= 64
+    assert [(r["path"], r["content"]) for b in out for r in b.to_pylist()] == [(f"in/c{n}.x", f"{n} t".encode()) for n in range(1000)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        reader.bound_batches(spark)
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
