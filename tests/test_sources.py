@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.formats import pages as formats
 from palimpsest.plans import readers
 from palimpsest.sources import files, latex, parse_text, reader
 from palimpsest.sources import parse_python as P
@@ -297,5 +298,8 @@ def test_batches_are_bounded_by_bytes(spark):
         spark.conf.unset(key)
         reader.bound_batches(spark)
         assert int(spark.conf.get(key)) <= 4 << 20
+        spark.conf.unset(key)
+        formats.alto(spark.createDataFrame([(0, "p", "t")], "page_index int, page_label string, text string"))
+        assert int(spark.conf.get(key)) <= 4 << 20
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
