@@ -270,9 +270,10 @@ _LANGUAGES = (
 )
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _languages(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Languages of the texts that meet a condition."""
     d = read(spark, sf_dir, "documents")
-    return language.detect(d, language.learn(d.filter("doc_id % 5 <> 0")), "doc_id")
+    return language.detect(d.filter(which), language.learn(d.filter("doc_id % 5 <> 0")), "doc_id")
 
 
 @query(_LANGUAGES + f" SELECT doc_id, language, CASE language {_THREE} ELSE language END AS language3 FROM lf")
@@ -284,5 +285,5 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LANGUAGES + " SELECT d.lang, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE lf.language = d.lang) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE lf.language = '') AS BIGINT) AS unknown FROM documents d JOIN lf USING (doc_id) WHERE d.doc_id % 5 = 0 GROUP BY d.lang")
 def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many held-out texts are told right, by their true language."""
-    d = read(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(_languages(spark, sf_dir), "doc_id")
+    d = read(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(_languages(spark, sf_dir, "doc_id % 5 = 0"), "doc_id")
     return d.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.col("language") == F.col("lang")).alias("found"), F.count_if(F.col("language") == "").alias("unknown"))

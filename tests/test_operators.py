@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import dims, progress
+from palimpsest import catalogue, dims, progress
 from palimpsest.functions import metrics
-from palimpsest.operators import alignment, assemble, costing, evaluation, layout, metadata, reconcile, state
+from palimpsest.operators import alignment, assemble, costing, evaluation, language, layout, metadata, reconcile, state
 
 OUT = "page int, engine string, ord int, text string, error string, confidence double"
 
@@ -229,3 +229,10 @@ def test_distances_shuffle_no_words(spark):
     d = alignment.distances(df, ["k"], "r", "h")
     assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
     assert d.first().char_errors == 200
+
+
+def test_accuracy_detects_held_out_texts_alone(spark, sf_dir, monkeypatch):
+    real, asked = language.detect, []
+    monkeypatch.setattr(language, "detect", lambda texts, *rest: asked.append(texts) or real(texts, *rest))
+    catalogue.QUERIES["language_accuracy"](spark, sf_dir)
+    assert asked[0].count() > 0 and asked[0].filter("doc_id % 5 <> 0").count() == 0
