@@ -90,12 +90,13 @@ def state_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, rows: DataFrame, last: DataFrame, deal, batches: int, run) -> DataFrame:
-    """What ``run`` gives for ``rows`` as a stream of files, dealt by ``deal`` and then ``last``, one file a micro-batch."""
+    """What ``run`` gives for ``rows`` as a stream of files, dealt by ``deal`` and then ``last``, in as many micro-batches and one."""
     base = scratch.folder(spark, "stream")
     for k in range(batches):
-        rows.filter(F.pmod(deal, F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows.filter(F.pmod(deal, F.lit(batches)) == k).write.mode("append").parquet(f"{base}/in")
+    files = len(spark.read.schema(rows.schema).parquet(f"{base}/in").inputFiles())
     last.select(*(F.col(c).cast(t) for c, t in rows.dtypes)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/in")
     q = run(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")

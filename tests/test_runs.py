@@ -159,6 +159,56 @@ def test_breaker_in_any_split(spark, tmp_path):
         assert {r.seq: (r.engine, r.failures, r.is_open) for r in got} == want and len(got) == len(want)
 
 
+def test_breaker_holds_few_of_the_waiting_calls(monkeypatch):
+    """Runs merge in levels, stop at the watermark and go on from there; no more than a block of each run is held."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "_BLOCK", 4)
+    monkeypatch.setattr(stateful, "_SORTED", 2)
+    monkeypatch.setattr(stateful, "_RUNS", 3)
+
+    class State(dict):
+        exists, get, update = lambda s: "v" in s, lambda s: s["v"], lambda s, v: s.__setitem__("v", v)
+        iterator, getValue, updateValue, removeKey = lambda s: iter(list(s.items())), dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        timers: list = []
+        getValueState = getMapState = lambda s, *_: State()
+        listTimers, deleteTimer, registerTimer = lambda s: list(s.timers), lambda s, t: s.timers.remove(t), lambda s, t: t in s.timers or s.timers.append(t)
+
+    class Time:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rng = random.Random(3)
+    calls = [(rng.choice([rng.randint(-5, 300), 100]) * 1000, k - 150, rng.random() < 0.6) for k in range(300)] + [(100_000, None, True), (100_000, 7, False), (100_000, 7, True)]
+    want, failures = [], 0
+    for _, seq, failed in sorted(calls, key=lambda c: (c[0], c[1] is not None, c[1] or 0, c[2])):
+        failures = failures + 1 if failed else 0
+        want.append((seq, failures, failures >= 2))
+    rng.shuffle(calls)
+    b, handle = stateful.Breaker(2), Handle()
+    b.init(handle)
+    frame = lambda rows: pd.DataFrame({"us": np.array([r[0] for r in rows], "int64"), "seq": np.array([r[1] or 0 for r in rows], "int64"), "named": [r[1] is not None for r in rows], "failed": [r[2] for r in rows]})
+    got, held = [], 0
+    read, block = [], b._block
+    b._block = lambda r, k: read.append(r) or block(r, k)
+    for k in range(0, len(calls), 30):
+        got += list(b.handleInputRows(("e",), iter([frame(calls[k : k + 17]), frame(calls[k + 17 : k + 30])]), Time(-10)))
+    assert not got and len(b.runs) <= 3 * 4 and max(len(v[0]) for v in b.blocks.values()) <= 4 * stateful._CALL.itemsize
+    for ms in (50, 100, 101, 400):
+        assert b.alarm.handle.timers == [min(v[3] for v in b.runs.values()) // 1000 + 1]
+        read.clear()
+        parts = b.handleExpiredTimer(("e",), Time(ms), None)
+        got.append(next(parts))
+        held = max(held, len(read) - len(got[-1]) // 4)  # blocks read for the first rows
+        got += list(parts)
+    assert not b.runs and not b.blocks and not handle.timers and held <= 3 * 4
+    rows = [(None if pd.isna(s) else int(s), int(n), bool(o)) for d in got for s, n, o in zip(d["seq"], d["failures"], d["is_open"], strict=True)]
+    assert rows == want
+
+
 def test_completion_emits_once_and_forgets(spark, tmp_path):
     pages = lambda p, n, ks, s: [(p, k, n, True, at(s + k)) for k in ks]
     batches = [pages("a", 2, [0], 0) + pages("b", 3, [0, 1], 0), pages("a", 2, [0, 1, 1], 5) + pages("c", 1, [0], 9), [("d", 0, 2, False, at(2000))] + pages("a", 2, [1], 10), pages("b", 3, [2], 30_000) + pages("end", 5, [0], 60_000)]
