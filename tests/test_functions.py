@@ -89,6 +89,30 @@ def test_similarity_bounds(spark, pairs):
     assert ab == ba and all(0 <= x <= 1 for x in ab)
 
 
+def test_readings_of_one_text_fill_no_long_table(monkeypatch):
+    rng, filled, full = random.Random(2), [], metrics._by_columns
+    monkeypatch.setattr(metrics, "_by_columns", lambda a, b: filled.append(len(a)) or full(a, b))
+    text = " ".join("".join(rng.choice("acemnrst") for _ in range(rng.randint(1, 9))) for _ in range(80))
+    misread = text.replace("rn", "m").replace("e ", "c ")
+    assert metrics.edit_distance(text, misread) == metrics.edit_distance(misread, text) == distance(text, misread) > 0
+    assert max(filled) < 20
+
+
+def test_edit_distance_where_bounds_do_not_meet():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
+    for k in range(300):
+        a = [word() for _ in range(rng.randint(12, 24))]
+        b = [word() if rng.random() < 0.2 else w for w in a]
+        if k % 3 == 0:
+            b = b[1:] + [word()]  # words that move: as many, but not in their places
+        if k % 5 == 0:
+            b.insert(rng.randint(0, len(b)), word())
+        a, b = " ".join(a), " ".join(b)
+        assert metrics.edit_distance(a, b) == distance(a, b), (a, b)
+    assert metrics.edit_distance("ab " * 20 + "x" * 70, "ba " * 20 + "x" * 70 + "y") == distance("ab " * 20 + "x" * 70, "ba " * 20 + "x" * 70 + "y")
+
+
 def test_scripts(spark):
     rows = ["Hello", "Привет мир", "漢字かな", "مرحبا", "Ελλάδα", "नमस्ते", "", "123", "жa", "aж", "ἀ"]
     want = ["latin", "cyrillic", "cjk", "arabic", "greek", "devanagari", "latin", "latin", "cyrillic", "latin", "latin"]
