@@ -7,15 +7,19 @@ import struct
 import tarfile
 import zipfile
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import catalogue
 from palimpsest.formats import pages as formats
 from palimpsest.plans import readers
 from palimpsest.sources import files, latex, parse_text, reader
 from palimpsest.sources import parse_python as P
 
+from .oracle import same_rows
+
 
 def zipped(**members):
     b = io.BytesIO()
@@ -303,3 +307,19 @@ def test_batches_are_bounded_by_bytes(spark):
         assert int(spark.conf.get(key)) <= 4 << 20
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_text_cut_within_a_reference():
+    text = lambda x: P.parse_html(x.encode(), "x.html")[0][0]
+    assert text("<title>a &quot</title><h1>b &lt </h1><!-- &quot --><p title='&lt'>c &amp</p>&copy; d &#3") == "a &quotb &lt c &© d &#3"
+    assert text("<p>a &quot;b &copy 20</p><script>x = '&lt</p>' + y &lt</script>") == "a \"b © 20x = '&lt</p>' + y &lt"
+    assert P.parse_html(b"<title>a &quot</title>", "x.html")[1]["title"] == "a &quot"
+
+
+def test_page_with_cut_references_as_in_sql(spark, tmp_path):
+    html = ["<html><head><title>t = &quot</title><style>p{margin:0}</style></head><body><h1>t = &quot</h1><p>&amp;quot; &quot;x&quot; &lt</p><p>&gt</p></body></html>", "<title>a &lt;b&amp</title><p>c &quo</p>", "<title>a</title><p>b &gt"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_text_content", "streaming_ingest"):
+        same_rows(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.ORACLES[name])
