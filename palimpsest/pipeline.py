@@ -167,6 +167,8 @@ def write_text_files(rows: DataFrame, folder: str, name: str = "name", content:
 
     from pyarrow import fs
 
+    reader.bound_batches(rows.sparkSession)
+
     def run(batches):
         for pdf in batches:
             for n, c in zip(pdf[name], pdf[content], strict=True):

@@ -194,7 +194,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import ingest
 
     base = scratch.folder(spark, "stream")
-    raw = read(spark, sf_dir, "pages").select("page_id", "html")
+    raw = read(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id")  # a table of one row group would be written by one task
     named = raw.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
     per_trigger = max(1, -(-write_text_files(named, f"{base}/in").count() // 4))  # a merge rewrites the table: their number is fixed
     out = ingest.ingest(spark, f"{base}/in", f"{base}/pages", f"{base}/checkpoint", "*.html", per_trigger)

@@ -278,3 +278,25 @@ def test_merge_stages_a_file_a_bucket(spark, tmp_path, monkeypatch):
     news = spark.range(400).repartition(16).selectExpr("concat('f', id) AS path", "0 AS page_index", "'s' AS sha256", "'t' AS text")
     assert table(spark, tmp_path).merge(news, "w", 0) and 4 <= len(staged) <= 8
     assert table(spark, tmp_path).read().count() == 400
+
+
+def test_a_stream_of_many_small_files_takes_few_tasks(spark, tmp_path, monkeypatch):
+    """A batch's files are listed and read by tasks that go by the cores, not by one for each file or 32 of them."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(300):
+        (src / f"{k}.txt").write_text(f"text {k}")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")}
+    groups, parts, real = [], [], store.StateTable.merge
+
+    def merge(self, news, *rest):
+        groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id"))
+        parts.append(news.rdd.getNumPartitions())
+        return real(self, news, *rest)
+
+    monkeypatch.setattr(store.StateTable, "merge", merge)
+    assert ingest.ingest(spark, str(src), str(tmp_path / "pages"), str(tmp_path / "cp")).count() == 300
+    cores, known = spark.sparkContext.defaultParallelism, spark.sparkContext.statusTracker()
+    stages = [known.getStageInfo(s) for j in known.getJobIdsForGroup(groups[0]) for s in known.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * cores and parts[0] <= cores + 1
+    assert before == {k: spark.conf.get(k, None) for k in before}
