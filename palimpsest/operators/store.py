@@ -1,8 +1,9 @@
 """A keyed, versioned state table: copy on write by buckets, with a ledger of commits.
 
-``merge`` takes new rows by key. Rows are kept in buckets of a hash of ``by``; a merge reads and rewrites only
-the buckets that its rows fall into, in a folder of its own, and then adds one record to the ledger, which says for
-every bucket in which folder it lies, and how far each writer has come. The record is renamed into place and never
+``merge`` takes new rows by key. Rows are kept in buckets of a hash of ``by``; a merge writes its rows to a folder of its
+own. Buckets in which old rows have the same ``by`` (or that lie in many folders) are rewritten, in another folder; to
+the others the new rows are added. Then one record goes to the ledger, which says for
+every bucket in which folders it lies, and how far each writer has come. The record is renamed into place and never
 overwrites another, so a merge counts wholly or not at all: what a crash leaves behind is in folders that no record
 names, and readers go by the last record alone. Each merge has a writer's name and a number; one that the ledger has
 already seen changes nothing, so a batch that is repeated after a lost answer is written once.
@@ -23,11 +24,14 @@ from pyspark.sql.types import StructType
 
 from ..errors import CheckpointError
 
+# Fixed value: a bucket in so many folders is rewritten by the next merge that touches it.
+MOST_FOLDERS = 16
+
 
 @dataclass
 class Commit:
     version: int = 0
-    buckets: dict[str, str] = field(default_factory=dict)
+    buckets: dict[str, list[str]] = field(default_factory=dict)
     writers: dict[str, int] = field(default_factory=dict)
     schema: dict | None = None
 
@@ -61,7 +65,9 @@ class StateTable:
         if not names:
             return Commit()
         body = "".join(r["value"] for r in self.spark.read.text(f"{self.path}/ledger/{names[-1]}", wholetext=True).collect())
-        return Commit(**json.loads(body))
+        found = Commit(**json.loads(body))
+        found.buckets = {b: [f] if isinstance(f, str) else f for b, f in found.buckets.items()}  # ledgers of one folder a bucket
+        return found
 
     def _commit(self, commit: Commit) -> bool:
         """Puts a record into the ledger; False if its version is there already."""
@@ -88,7 +94,7 @@ class StateTable:
 
     def _rows(self, commit: Commit, buckets: list[str] | None = None) -> DataFrame | None:
         """The rows of some buckets (all), or None where there are none."""
-        held = [f"{self.path}/data/{folder}/_bucket={b}" for b, folder in sorted(commit.buckets.items()) if buckets is None or b in buckets]
+        held = [f"{self.path}/data/{folder}/_bucket={b}" for b, folders in sorted(commit.buckets.items()) if buckets is None or b in buckets for folder in folders]
         return self.spark.read.schema(StructType.fromJson(commit.schema)).parquet(*held) if held else None
 
     def read(self) -> DataFrame | None:
@@ -105,51 +111,79 @@ class StateTable:
             return False
         if self.latest:
             news = news.groupBy(*self.key).agg(F.max_by(F.struct(*(F.col(c) for c in news.columns)), F.struct(*self.latest)).alias("_row")).select("_row.*")
-        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*self.by), F.lit(self.n)).cast("int")
-        # computed once: the rows' buckets say what has to be read; gathered by bucket, or each task writes a file to each
-        news.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(staged)
-        try:
-            for _ in range(attempts):
-                if (done := self._merged(news.schema, staged, writer, number)) is not None:
-                    return done
-        finally:
+        folder = uuid.uuid4().hex
+        self._write(news, folder)  # computed once: the rows' buckets say what has to be read
+        for _ in range(attempts):
+            if (done := self._merged(news.schema, f"{self.path}/data/{folder}", writer, number)) is not None:
+                break
+        self._drop_unnamed(folder)  # after an error nobody knows whether the record is there: ``vacuum`` does
+        if done is None:
+            raise CheckpointError(f"other writers were faster {attempts} times in a row: {self.path}")
+        return done
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.n)).cast("int")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        """Rows in buckets, gathered by bucket, or each task would write a file to each."""
+        rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+
+    def _drop_unnamed(self, folder: str) -> None:
+        if not any(folder in folders for folders in self.head().buckets.values()):
             jvm, _, fs = self._files()
-            fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
-        raise CheckpointError(f"other writers were faster {attempts} times in a row: {self.path}")
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{folder}"), True)
+
+    def _buckets_in(self, folder: str) -> list[str]:
+        return sorted(n.partition("=")[2] for n in self._names(f"data/{folder}") if n.startswith("_bucket="))
+
+    def _same(self, names: list[str]) -> list:
+        return [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+
+    def _hit(self, head: Commit, news: DataFrame, touched: list[str]) -> set[str]:
+        """The buckets in which old and new rows have the same ``by``; no other column is read."""
+        old = self._rows(head, touched)
+        if old is None:
+            return set()
+        both = old.select(*self.by).join(news.select(*(F.col(c).alias(f"_{c}") for c in self.by)), self._same(self.by), "left_semi")
+        return {str(r[0]) for r in both.select(self._bucket()).distinct().collect()}
+
+    def _staying(self, old: DataFrame, news: DataFrame) -> DataFrame:
+        """Old rows that no new one replaces."""
+        old = old.join(news.select(*(F.col(c).alias(f"_{c}") for c in self.key)), self._same(self.key), "left_anti")
+        if self.generation:
+            now = news.select(*(F.col(c).alias(f"_{c}") for c in self.by), F.col(self.generation).alias("_generation")).distinct()
+            old = old.join(now, [*self._same(self.by), ~F.col(self.generation).eqNullSafe(F.col("_generation"))], "left_anti")
+        return old
 
     def _merged(self, schema: StructType, staged: str, writer: str, number: int) -> bool | None:
-        head = self.head()
+        head, own = self.head(), staged.rpartition("/")[2]
         if head.writers.get(writer, -1) >= number:
             return False
-        named = lambda names: sorted(n.partition("=")[2] for n in names if n.startswith("_bucket="))
-        touched = named(self._names(staged.removeprefix(f"{self.path}/")))
+        touched = self._buckets_in(own)
         commit = Commit(head.version + 1, dict(head.buckets), head.writers | {writer: number}, json.loads(schema.json()) if head.schema is None else head.schema)
         if touched:
-            news = self.spark.read.schema(schema).parquet(*(f"{staged}/_bucket={b}" for b in touched))
-            rows, old = news, self._rows(head, touched)
-            if old is not None:
-                keys = news.select(*(F.col(c).alias(f"_{c}") for c in self.key))
-                old = old.join(keys, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in self.key], "left_anti")
-                if self.generation:
-                    now = news.select(*(F.col(c).alias(f"_{c}") for c in self.by), F.col(self.generation).alias("_generation")).distinct()
-                    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in self.by]
-                    old = old.join(now, [*same, ~F.col(self.generation).eqNullSafe(F.col("_generation"))], "left_anti")
-                rows = old.unionByName(news, allowMissingColumns=True)
-            commit.schema = json.loads(rows.schema.json())
-            folder = f"{commit.version:012d}-{uuid.uuid4().hex}"
-            rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.by), F.lit(self.n)).cast("int")).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
-            written = set(named(self._names(f"data/{folder}")))
+            read = lambda buckets: self.spark.read.schema(schema).parquet(*(f"{staged}/_bucket={b}" for b in buckets))
+            again = self._hit(head, read(touched), touched) | {b for b in touched if len(head.buckets.get(b, [])) >= MOST_FOLDERS}
+            if head.schema is not None:
+                was = StructType.fromJson(head.schema)
+                now = self.spark.createDataFrame([], was).unionByName(self.spark.createDataFrame([], schema), allowMissingColumns=True).schema
+                commit.schema = json.loads(now.json())
+                if any(now[f.name].dataType != f.dataType for f in was):
+                    again = {b for b in touched if b in head.buckets}  # files keep their types
             for b in touched:
-                commit.buckets.pop(b, None)
-                if b in written:
-                    commit.buckets[b] = folder
+                if b not in again:
+                    commit.buckets[b] = [*head.buckets.get(b, []), own]
+            if again:
+                folder = f"{commit.version:012d}-{uuid.uuid4().hex}"
+                news = read(sorted(again))
+                self._write(self._staying(self._rows(head, sorted(again)), news).unionByName(news, allowMissingColumns=True), folder)
+                commit.buckets |= {b: [folder] for b in self._buckets_in(folder)}
         return True if self._commit(commit) else None
 
     def vacuum(self) -> int:
         """Removes folders that the last record does not name, when no one writes or reads older versions; how many."""
         jvm, _, fs = self._files()
-        named = set(self.head().buckets.values())
+        named = {f for folders in self.head().buckets.values() for f in folders}
         gone = [n for n in self._names("data") if n not in named]
         for n in gone:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{n}"), True)

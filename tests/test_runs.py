@@ -1,5 +1,6 @@
 """State tables, streams with state, run-wide budgets and collections: repeated, torn, late and dealt in other ways."""
 
+import json
 import random
 import zipfile
 from pathlib import Path
@@ -300,3 +301,29 @@ def test_a_stream_of_many_small_files_takes_few_tasks(spark, tmp_path, monkeypat
     stages = [known.getStageInfo(s) for j in known.getJobIdsForGroup(groups[0]) for s in known.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages if s) <= 4 * cores and parts[0] <= cores + 1
     assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_a_merge_of_new_files_rewrites_nothing(spark, tmp_path, monkeypatch):
+    """Rows of other files are added to the buckets; a bucket in many folders is rewritten, and one whose file comes again."""
+    t, data = table(spark, tmp_path, generation="sha256"), str(tmp_path / "t" / "data")
+    df = lambda k, sha="s": spark.createDataFrame([(f"{k}-{i}", 0, sha, f"{k} {i}") for i in range(20)], SHAPE)
+    stored = lambda: spark.read.option("recursiveFileLookup", True).parquet(data).count()
+    for k in range(3):
+        assert t.merge(df(k), "w", k)
+    assert stored() == 60 and t.read().count() == 60
+    assert t.merge(df(1, "new").withColumn("more", F.lit(1)), "w", 3)  # a column more, and all pages of these files again
+    assert sorted((r.path, r.sha256, r.more) for r in t.read().collect()) == sorted((f"{k}-{i}", "new" if k == 1 else "s", 1 if k == 1 else None) for k in range(3) for i in range(20))
+    monkeypatch.setattr(store, "MOST_FOLDERS", 2)
+    for k in range(4, 8):
+        assert t.merge(df(k), "w", k) and max(map(len, t.head().buckets.values())) <= 2
+    assert t.read().count() == 140 and t.vacuum() > 0 and len({r.path for r in t.read().collect()}) == 140
+
+
+def test_a_ledger_of_one_folder_a_bucket_goes_on(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.merge(spark.createDataFrame([("a", 0, "x", "1")], SHAPE), "w", 0)
+    (record,) = (tmp_path / "t" / "ledger").glob("0*.json")
+    body = json.loads(record.read_text())
+    record.write_text(json.dumps(body | {"buckets": {b: f if isinstance(f, str) else f[0] for b, f in body["buckets"].items()}}))
+    (tmp_path / "t" / "ledger" / f".{record.name}.crc").unlink(missing_ok=True)
+    assert t.merge(spark.createDataFrame([("a", 1, "x", "2")], SHAPE), "w", 1) and rows_of(t) == [("a", 0, "x", "1"), ("a", 1, "x", "2")]
